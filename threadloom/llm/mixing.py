@@ -90,7 +90,8 @@ _FLOWN = "row long, source string, size long, p double"
 
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "row"], kind="stable")
+        # Large documents first: those that stay open to the end, and land, are small.
+        pdf = pdf.sort_values(["size", "h", "row"], ascending=[False, True, True], kind="stable")
         p, size = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
         flown = flight(p, size, np.random.default_rng(abs(int(pdf["h"].iloc[0])) if len(pdf) else 0))
         if last:
