@@ -8,6 +8,7 @@ Four passes over the packed text, which itself never moves again:
    once more than once, to hash buckets; the buckets answer which occur again.
 2. Around each such anchor the stretch of text whose windows it anchors goes to the anchor's bucket.
    Of equal stretches a block sends the first only: all windows of the others also start earlier.
+   Those it sends along as they are.
 3. A bucket sorts its windows' starts as a suffix array by two-stage sorting and computes common
    prefixes of neighbours; in each run of windows that share WIDTH bytes all but the earliest are
    repeats.
@@ -31,6 +32,7 @@ from threadloom.llm.shared import NULL_ID, Block, bucket_count, each_block, mix,
 
 WIDTH = 100
 GRAM = 16
+_PIECE = 1 << 15
 
 
 # --- anchors -----------------------------------------------------------------------------------
@@ -42,30 +44,31 @@ def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, n
     n = len(data)
     if n < width:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    word = np.ndarray((n - 7,), "<u8", block.data, strides=(1,))
-    h = word[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += word[GRAM - 8 :]
-    h = mix(h)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    h = np.empty(n - GRAM + 1, np.uint64)
+    owner = np.empty(n - width + 1, np.int64)
     reach = width - GRAM + 1  # anchors in a window
-    least, step = key, 1
-    while step * 2 <= reach:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if reach > step:
-        least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
-    inside = np.zeros(n - width + 1, np.int8)
+    for begin in range(0, n - width + 1, _PIECE):  # pieces that stay in a processor's cache
+        end = min(begin + _PIECE, n - width + 1)
+        word = np.ndarray((end - begin + width - 8,), "<u8", block.data, begin, (1,)).astype(np.uint64)
+        x = word[: end - begin + reach - 1] * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x += word[GRAM - 8 : GRAM - 8 + len(x)]
+        h[begin : begin + len(x)] = x = mix(x)
+        least = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=np.uint64)
+        step = 1
+        while step * 2 <= reach:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        least = np.minimum(least[: end - begin], least[reach - step : reach - step + end - begin])
+        owner[begin:end] = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + begin
     starts, ends = block.offsets[:-1], block.offsets[1:] - width + 1
     full = ends > starts
-    edge = np.zeros(n - width + 2, np.int32)
-    np.add.at(edge, starts[full], 1)
-    np.add.at(edge, ends[full], -1)
+    edge = np.bincount(starts[full], minlength=n - width + 2) - np.bincount(ends[full], minlength=n - width + 2)
     inside = np.cumsum(edge[:-1]) > 0
     windows = np.flatnonzero(inside)
     if not len(windows):
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    place = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = owner[windows]
     new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[new[1:], len(windows)] - 1
     at = place[new]
@@ -96,38 +99,41 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
 # --- two-stage suffix sorting ------------------------------------------------------------------
 
 
-def load_words(text: bytes, at: np.ndarray, step: int) -> np.ndarray:
-    """Eight bytes each from at + step, so that numbers compare as the strings do."""
-    view = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
-    return view[at + step].astype(np.uint64)
+def all_words(text: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as numbers that compare as the strings do."""
+    return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,)).astype(np.uint64)
 
 
-def sort_directly(text: bytes, at: np.ndarray, width: int) -> np.ndarray:
+def sort_directly(word: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """at in the order of the width bytes there: by the first eight, then ties by the next, and so on."""
-    order = np.argsort(load_words(text, at, 0), kind="stable")
-    at = at[order]
-    word = load_words(text, at, 0)
-    group = np.cumsum(np.r_[False, word[1:] != word[:-1]]) if len(at) else np.zeros(0, np.int64)
+    lead = word[at]
+    order = np.argsort(lead, kind="stable")
+    at, lead = at[order], lead[order]
+    new = np.r_[True, lead[1:] != lead[:-1]] if len(at) else np.zeros(0, bool)
+    where = None
     for step in range(8, width, 8):
-        tied = np.zeros(len(at), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        where = np.flatnonzero(tied)
+        # Only places in groups of two or more are looked at again.
+        alone = new & np.r_[new[1:], True]
+        where = np.flatnonzero(~alone) if where is None else where[~alone]
         if not len(where):
             break
-        word = load_words(text, at[where], step)
-        order = np.lexsort((word, group[where]))
-        at[where] = at[where][order]
-        word = word[order]
-        new = np.zeros(len(at), bool)
-        new[where[1:]] = word[1:] != word[:-1]
-        new[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(new)
+        new = new[~alone]
+        more = word[at[where] + step]
+        group = np.cumsum(new) - 1
+        apart = ~new & np.r_[False, more[1:] != more[:-1]]
+        if apart.any():
+            # Groups whose next words are all equal stay as they are.
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[apart]] = True
+            some = np.flatnonzero(mixed[group])
+            order = np.lexsort((more[some], group[some]))
+            at[where[some]] = at[where[some]][order]
+            more[some] = more[some][order]
+            new = new | np.r_[False, more[1:] != more[:-1]]
     return at
 
 
-def suffix_array(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
+def suffix_array(text: bytes, word: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """The starts in the order of the suffixes there, true to width bytes.
 
     Behind its last start text has width zero bytes, then 255. Two stages: suffixes smaller than
@@ -149,7 +155,7 @@ def suffix_array(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
     wanted += np.bincount(heads, minlength=n + 1).astype(np.int32)
     wanted -= np.bincount(direct[np.searchsorted(direct, tails)] + 1, minlength=n + 1).astype(np.int32)
     wanted = np.cumsum(wanted)[:n] > 0
-    sorted_at = sort_directly(text, np.flatnonzero(wanted & smaller), width)
+    sorted_at = sort_directly(word, np.flatnonzero(wanted & smaller), width)
     induced = wanted & ~smaller
     own = np.searchsorted(data[sorted_at], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -183,12 +189,12 @@ def suffix_array(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
     return order[asked[order]]
 
 
-def shared_prefix(text: bytes, order: np.ndarray, width: int) -> np.ndarray:
+def shared_prefix(word: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it, up to width; 0 for the first."""
     out = np.zeros(len(order), np.int64)
     left = np.arange(1, len(order))
     for step in range(0, width, 8):
-        x = load_words(text, order[left], step) ^ load_words(text, order[left - 1], step)
+        x = word[order[left] + step] ^ word[order[left - 1] + step]
         same = x == 0
         apart = x[~same]
         if len(apart):
@@ -205,11 +211,12 @@ def shared_prefix(text: bytes, order: np.ndarray, width: int) -> np.ndarray:
 
 def repeats(text: bytes, starts: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
     """Which starts have width bytes that also start at a start of lower rank."""
-    order = suffix_array(text, starts, width)
+    word = all_words(text)
+    order = suffix_array(text, word, starts, width)
     number = np.zeros(len(text), np.int64)
     number[starts] = np.arange(len(starts))
     at = number[order]
-    bounds = np.flatnonzero(shared_prefix(text, order, width) < width)
+    bounds = np.flatnonzero(shared_prefix(word, order, width) < width)
     ranks = rank[at]
     least = np.repeat(np.minimum.reduceat(ranks, bounds), np.diff(np.r_[bounds, len(at)])) if len(at) else ranks
     out = np.zeros(len(starts), bool)
@@ -241,19 +248,21 @@ def _stretch_pass(buckets: int, width: int):
             h, low, high, same = _find_again(block, again or [], width)
             doc = np.searchsorted(block.offsets, low, "right") - 1
             rows: list[tuple] = []
+            own = (low[same].astype(np.int64).tobytes(), (high[same] + 1).astype(np.int64).tobytes())
             h, low, high, doc = h[~same], low[~same], high[~same], doc[~same]
             for b, at in split_by_bucket(h, buckets):
                 length = high[at] - low[at] + width
                 total = np.r_[0, np.cumsum(length)]
                 take = np.repeat(low[at] - total[:-1], length) + np.arange(total[-1])
-                rows.append((b, block.block_id, block.bytes[take].tobytes(), length.astype(np.int64).tobytes(), low[at].astype(np.int64).tobytes(), block.ids[doc[at]].tobytes()))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "block_id", "text", "lengths", "places", "docs"])
+                rows.append((b, block.block_id, block.bytes[take].tobytes(), length.astype(np.int64).tobytes(), low[at].astype(np.int64).tobytes(), block.ids[doc[at]].tobytes(), *own))
+                own = (b"", b"")  # with the first row only
+            types = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "block_id", "text", "lengths", "places", "docs", "low", "high"])
 
     return run
 
 
-_STRETCH = "bucket long, block_id long, text binary, lengths binary, places binary, docs binary"
+_STRETCH = "bucket long, block_id long, text binary, lengths binary, places binary, docs binary, low binary, high binary"
 
 
 def _sort_pass(width: int):
@@ -282,6 +291,7 @@ def _sort_pass(width: int):
         first = place[which] + low - total[which]
         frame = pd.DataFrame({"block_id": of[which], "low": first, "high": first + high - low})
         rows = [(int(b), g["low"].to_numpy().tobytes(), g["high"].to_numpy().tobytes()) for b, g in frame.groupby("block_id", sort=False)]
+        rows += [x for x in zip(pdf["block_id"], pdf["low"], pdf["high"], strict=True) if x[1]]
         return pd.DataFrame(rows, columns=["block_id", "low", "high"])
 
     return run
@@ -289,13 +299,11 @@ def _sort_pass(width: int):
 
 def _mark_pass(width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, again, low, high in each_block(batches, "again", "low", "high"):
-            _, first, last, same = _find_again(block, again or [], width)
-            starts = np.concatenate([first[same], *[np.frombuffer(x, np.int64) for x in low or []]])
-            ends = np.concatenate([last[same] + 1, *[np.frombuffer(x, np.int64) for x in high or []]])
-            edge = np.zeros(len(block.bytes) + 1, np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, ends + width - 1, -1)
+        for block, low, high in each_block(batches, "low", "high"):
+            starts = np.frombuffer(b"".join(low or []), np.int64)
+            ends = np.frombuffer(b"".join(high or []), np.int64)
+            n = len(block.bytes) + 1
+            edge = np.bincount(starts, minlength=n) - np.bincount(ends + width - 1, minlength=n)
             gone = np.cumsum(edge[:-1]) > 0
             left = block.bytes[~gone].tobytes()
             sums = np.r_[0, np.cumsum(gone)]
@@ -337,7 +345,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     stretches = blocks.join(again, "block_id", "left").mapInArrow(_stretch_pass(buckets, width), _STRETCH)
     found = stretches.groupBy("bucket").applyInPandas(_sort_pass(width), "block_id long, low binary, high binary")
     found = written(found, "repeats").groupBy("block_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
-    marked = blocks.join(again, "block_id", "left").join(found, "block_id", "left")
+    marked = blocks.join(found, "block_id", "left")
     return marked.mapInArrow(_mark_pass(width, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
