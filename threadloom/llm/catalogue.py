@@ -4,9 +4,11 @@ from threadloom.llm.language_id import op10_language_id
 from threadloom.llm.license_scan import op2_license_scan
 from threadloom.llm.mixing import op6_mixing
 from threadloom.llm.quality import op4_quality
+from threadloom.llm.suffix_dedup import op1_suffix_dedup
 from threadloom.llm.url_filter import op8_url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
