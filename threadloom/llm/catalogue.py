@@ -1,5 +1,9 @@
 """The corpus operators' registered queries, with DuckDB SQL where it can express them."""
 
+from threadloom.llm.chat_format import op9_chat_format
+from threadloom.llm.decontaminate import op5_decontaminate
+from threadloom.llm.fingerprint import op3_fingerprint
+from threadloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from threadloom.llm.language_id import op10_language_id
 from threadloom.llm.license_scan import op2_license_scan
 from threadloom.llm.mixing import op6_mixing
@@ -10,9 +14,13 @@ from threadloom.llm.url_filter import op8_url_filter
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_fingerprint": op3_fingerprint,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filter": op8_url_filter,
+    "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {"op7_jaccard_join": OP7_SQL}

@@ -44,14 +44,12 @@ def partitions(spark: SparkSession) -> int:
 
 # --- packed blocks -----------------------------------------------------------------------------
 
-_BLOCK = "block_id long, ids array<long>, offsets binary, data binary"
-
-
-def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Texts as UTF-8, joined into blocks of about block_bytes, in a table bucketed by block_id.
 
     A later join with rows keyed by block_id moves those rows only, never the text. In a block,
     documents are in the order of their ids, nulls last. One long document makes one long block.
+    The columns in carry go along, as an array of structs.
     """
     spark = docs.sparkSession
 
@@ -61,6 +59,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
         def emit(parts: list[pa.RecordBatch]):
             nonlocal made
             table = pa.Table.from_batches(parts).combine_chunks()
+            more = pa.concat_arrays(table.column(2).chunks) if carry else None
             ids = pc.fill_null(table.column(0).combine_chunks(), NULL_ID)
             order = pc.sort_indices(ids)
             ids = ids.take(order).to_numpy()
@@ -80,8 +79,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
                         pa.array([ids[start:end]], pa.list_(pa.int64())),
                         pa.array([(offsets[start : end + 1] - offsets[start]).tobytes()], pa.binary()),
                         pa.array([bytes(data[offsets[start] : offsets[end]])], pa.binary()),
+                        *([pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), pc.take(more, order[start:end]))] if carry else []),
                     ],
-                    ["block_id", "ids", "offsets", "data"],
+                    ["block_id", "ids", "offsets", "data", *["carry"] * bool(carry)],
                 )
                 made += 1
                 start = end
@@ -96,9 +96,12 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
             yield from emit(held)
 
     path, table = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}", f"blocks_{uuid.uuid4().hex}"
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
+    fields = [("block_id", "long"), ("ids", "array<long>"), ("offsets", "binary"), ("data", "binary")]
+    if carry:
+        fields.append(("carry", f"array<{source.schema['carry'].dataType.simpleString()}>"))
     (
-        source.mapInArrow(blocks, _BLOCK)
+        source.mapInArrow(blocks, ", ".join(f"{n} {t}" for n, t in fields))
         .write.bucketBy(min(max(1, partitions(spark)), 100_000), "block_id")
         .option("path", path)
         .option("compression", "zstd")

@@ -297,9 +297,14 @@ def _sort_pass(width: int):
     return run
 
 
-def _mark_pass(width: int, with_text: bool):
+def _mark_pass(width: int, with_text: bool, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, low, high in each_block(batches, "low", "high"):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield marked(batch.slice(i, 1))
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        for block, low, high in each_block(iter([batch]), "low", "high"):
             starts = np.frombuffer(b"".join(low or []), np.int64)
             ends = np.frombuffer(b"".join(high or []), np.int64)
             n = len(block.bytes) + 1
@@ -323,21 +328,23 @@ def _mark_pass(width: int, with_text: bool):
                 pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
                 pa.array([t.decode("utf-8", "ignore") if with_text else None for t in texts], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            if carry:
+                columns.append(batch.column(batch.schema.names.index("carry")).flatten())
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *["carry"] * carry])
 
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each row of docs.
 
     Bytes are judged on the input and never across documents. Null and empty texts, and texts
     shorter than width, lose nothing. Of rows with one id, the one packed first counts as earlier;
     null ids come after all others. kept_text drops bytes of a cut character (null unless
-    with_text). An empty table gives an empty table; other columns of docs are not read.
+    with_text); the columns named in carry come along in a struct of that name. An empty table gives an empty table; other columns of docs are not read.
     width is at least GRAM.
     """
-    blocks = pack(docs, id_col, text_col)
+    blocks = pack(docs, id_col, text_col, carry)
     buckets = bucket_count(blocks)
     sent = blocks.mapInArrow(_count_pass(buckets, width), "bucket long, block_id long, keys binary, many binary")
     again = sent.groupBy("bucket").applyInPandas(_repeated, "block_id long, again binary")
@@ -346,7 +353,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     found = stretches.groupBy("bucket").applyInPandas(_sort_pass(width), "block_id long, low binary, high binary")
     found = written(found, "repeats").groupBy("block_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
     marked = blocks.join(found, "block_id", "left")
-    return marked.mapInArrow(_mark_pass(width, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    if carry:
+        schema += f", carry {blocks.schema['carry'].dataType.elementType.simpleString()}"
+    return marked.mapInArrow(_mark_pass(width, with_text, bool(carry)), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
