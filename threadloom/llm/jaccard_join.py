@@ -16,7 +16,9 @@ least. Such sets may miss at most t = n - ceil(n * num / den) of their n tokens
 Equal sets are one class with one representative. Each indexed key links its members to one of
 them by lot, so candidates grow with the index, not with the square of a group; what those links
 connect needs no further comparison. Members of a key that are still unconnected are then compared
-in all pairs, so no link between different components is lost. Candidates are verified on the sets.
+by bitmaps: a set's tokens flip bits, so two bitmaps differ in no more places than the sets do, and
+pairs whose bitmaps differ in too many are no links. All others are candidates, so no link between
+different components is lost. Candidates are verified on the sets.
 """
 
 from __future__ import annotations
@@ -38,6 +40,19 @@ COUNTED = 0.3
 FREQUENT = 16
 #: Candidates that a set is first compared with: those that share most keys with it.
 FIRST_LOOKS = 2
+#: 64-bit words of a bitmap.
+BITMAP = 16
+
+
+def bitmap(tokens: np.ndarray) -> list[int]:
+    """Parity of the tokens that fall to each bit."""
+    odd = np.bincount((mix(tokens ^ np.uint64(3)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _bitmaps_fit(x: str, y: str, nx: str, ny: str, num: int, den: int) -> Column:
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BITMAP)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    return (den + num) * apart <= (den - num) * (F.col(nx) + F.col(ny))
 
 
 def _counted(block: Block, k: int):
@@ -107,7 +122,7 @@ def keys_of(tokens: np.ndarray, kind: np.ndarray, num: int, den: int) -> np.ndar
 
 
 def _index_pass(buckets: int, k: int, num: int, den: int):
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+    types = (*[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, found in each_block(batches, "found"):
@@ -125,14 +140,14 @@ def _index_pass(buckets: int, k: int, num: int, den: int):
             rows = []
             for i in np.flatnonzero(open_):
                 own = tokens[at[i] : at[i + 1]]
-                rows.append((keys_of(own, kind[at[i] : at[i + 1]], num, den).view(np.int64), own.tobytes(), *(int(np.bitwise_xor.reduce(mix(own + np.uint64(salt))).view(np.int64)) for salt in (1, 2))))
+                rows.append((keys_of(own, kind[at[i] : at[i + 1]], num, den).view(np.int64), own.tobytes(), *(int(np.bitwise_xor.reduce(mix(own + np.uint64(salt))).view(np.int64)) for salt in (1, 2)), bitmap(own)))
             slot = np.full(len(n), -1)
             slot[open_] = np.arange(len(rows))
             pick = lambda j: [rows[s][j] if s >= 0 else None for s in slot]  # noqa: E731, B023
-            columns = [(block.block_id << 20) + np.arange(len(n)), np.where(block.ids == NULL_ID, 0, block.ids), n, pick(2), pick(3), pick(0), pick(1)]
+            columns = [(block.block_id << 20) + np.arange(len(n)), np.where(block.ids == NULL_ID, 0, block.ids), n, pick(2), pick(3), pick(0), pick(1), pick(4)]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             arrays[1] = pa.array(columns[1], pa.int64(), mask=block.ids == NULL_ID)
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "n", "h1", "h2", "keys", "tokens"])
+            yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "n", "h1", "h2", "keys", "tokens", "bits"])
 
     return run
 
@@ -163,12 +178,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     the least other id of its component, else null. Other columns of docs are not read; an empty
     table gives an empty table. Sets are compared by 64-bit hashes of their shingles.
     """
-    blocks = pack(docs, id_col, text_col)
+    blocks = pack(docs, id_col, text_col, block_bytes=2 << 20)
     buckets = bucket_count(blocks)
     sent = blocks.mapInArrow(_count_pass(buckets, k), "bucket long, block_id long, keys binary, counts binary")
     kinds = sent.groupBy("bucket").applyInPandas(_classes, "block_id long, bucket long, kinds binary")
     kinds = kinds.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "kinds")).alias("found"))
-    indexed = blocks.join(kinds, "block_id", "left").mapInArrow(_index_pass(buckets, k, num, den), "uid long, doc_id long, n long, h1 long, h2 long, keys array<long>, tokens binary")
+    indexed = blocks.join(kinds, "block_id", "left").mapInArrow(_index_pass(buckets, k, num, den), "uid long, doc_id long, n long, h1 long, h2 long, keys array<long>, tokens binary, bits array<long>")
     indexed = written(indexed, "indexed")
     open_ = indexed.where(F.col("tokens").isNotNull())
     classes = open_.groupBy("n", "h1", "h2").agg(F.min("uid").alias("rep"))
@@ -187,9 +202,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     labelled = entries.select("uid", "n", "key").join(labels, F.col("uid") == F.col("node"), "left").select("uid", "n", "key", F.coalesce("component", "uid").alias("label"))
     labelled = written(labelled, "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(several, "key")
-    x, y = (rest.select("key", F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}")) for i in "ab")
-    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den)).select("a", "b").distinct()
+    rest = written(labelled.join(several, "key").join(open_.select("uid", "bits"), "uid"), "rest")
+    x, y = (rest.select("key", F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}")) for i in "ab")
+    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den)).select("a", "b").distinct()
     looked = looks.union(looks.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _verified(more.join(looked, ["a", "b"], "left_anti"), open_, num, den)
     edges = links.union(more).union(members.where("uid <> rep").select("uid", "rep"))
