@@ -13,7 +13,7 @@ from threadloom.llm.shared import written
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents that one flight handles; what it leaves undecided goes on to the next round.
-FLIGHT_ROWS = 20_000
+FLIGHT_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
