@@ -46,7 +46,7 @@ class Evidence:
         n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
         told = {w: float(np.log((b + 0.5) / n1) - np.log((a + 0.5) / n0)) for w, (a, b) in counts.items() if a + b >= MIN_DOCS}
         told = dict(sorted(told.items(), key=lambda x: (-abs(x[1]) * np.sqrt(sum(counts[x[0]])), x[0]))[:max_words])
-        x = np.array([cls._row(figures, found, told) for figures, found in rows], float).reshape(len(rows), -1)
+        x = np.array([cls._row(figures, found, told) for figures, found in rows], float).reshape(len(rows), 14)
         if len(x) == 0 or y.min() == y.max():
             width = x.shape[1] if len(x) else 14
             bias = np.log(n1 / n0) if len(x) else 0.0
