@@ -56,7 +56,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(doc_id, item_id, start_word, n_words, hamming, similarity) of each document and item that it holds.
 
     Words are lower-cased runs of letters and digits. A window has as many words as an item and
-    stands where it shares a shingle with one of that size: windows that share none are not similar.
+    stands where it shares a shingle with one of that size, in a document that has enough of that
+    item's shingles for a similar window: no other window can be similar.
     The windows' SimHashes are looked up in the items' multi-index, and candidates verified on their
     weighted shingles. The best window of each pair is returned, the first of equal ones. Null and
     empty texts, and texts and items of fewer than five words, match nothing; repeated rows and rows
@@ -65,13 +66,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
     items = items.select("item_id", F.size("words").alias("n"), shingle_rows("words").alias("g")).select("item_id", "n", F.transform("g", lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)])).alias("item_grams"))
     items = items.withColumn("item_print", simhash("item_grams"))
-    known = items.select("n", F.posexplode("item_grams").alias("at", "gram")).distinct()
+    known = items.select("item_id", "n", F.size("item_grams").alias("m"), F.posexplode("item_grams").alias("at", "gram"))
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
     rows = rows.select("doc_id", F.xxhash64("_t", F.lit(5)).alias("k"), "_t")
     grams = rows.select("doc_id", "k", word_array(F.col("_t")).alias("words")).select("doc_id", "k", F.posexplode(shingle_rows("words")).alias("pos", "g"))
     hits = grams.select("doc_id", "k", "pos", _hashed("g").alias("gram")).join(known, "gram")
-    windows = hits.select("doc_id", "k", "n", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    # A similar window has at least the part `similar` of the item's shingles, so the document has them.
+    pairs = hits.groupBy("doc_id", "k", "item_id", "n", "m").agg(F.collect_set("at").alias("found"), F.collect_set(F.col("pos") - F.col("at")).alias("starts"))
+    pairs = pairs.where(F.size("found") >= similar * F.col("m"))
+    windows = pairs.select("doc_id", "k", "n", F.explode("starts").alias("start")).distinct()
     by_doc = windows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "windows")
     held = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).dropDuplicates(["doc_id", "k"])
