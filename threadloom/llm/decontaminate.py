@@ -26,6 +26,11 @@ def _hashed(g: str, k: int = SHINGLE) -> Column:
     return F.xxhash64(*[F.col(f"{g}.w{i}") for i in range(k)])
 
 
+def once(value: Column) -> Column:
+    """value as a generated column, which the optimizer doesn't copy into each place that uses it."""
+    return F.explode(F.array(value))
+
+
 def simhash(hashes: str) -> Column:
     """64-bit SimHash of an array of hashes, each counted as often as it occurs."""
     ones = lambda bit: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, bit).cast("int"))
@@ -65,7 +70,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
     items = items.select("item_id", F.size("words").alias("n"), shingle_rows("words").alias("g")).select("item_id", "n", F.transform("g", lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)])).alias("item_grams"))
-    items = items.withColumn("item_print", simhash("item_grams"))
+    items = items.withColumn("item_grams", once(F.col("item_grams"))).withColumn("item_print", once(simhash("item_grams")))
     known = items.select("item_id", "n", F.size("item_grams").alias("m"), F.posexplode("item_grams").alias("at", "gram"))
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
@@ -83,7 +88,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     start = F.greatest(F.col("w.start"), F.lit(0))
     end = F.least(F.col("w.start") + F.col("w.n") - (SHINGLE - 1), F.size("all"))
     looked = held.select("doc_id", "k", F.col("w.n").alias("n"), start.alias("start_word"), F.slice("all", start + 1, F.greatest(end - start, F.lit(0))).alias("grams"))
-    looked = looked.withColumn("print", simhash("grams"))
+    looked = looked.withColumn("grams", once(F.col("grams"))).withColumn("print", once(simhash("grams")))
     left = looked.withColumn("b", F.explode(index_blocks("print", radius)))
     right = items.withColumn("b", F.explode(index_blocks("item_print", radius)))
     near = left.join(right.withColumnRenamed("n", "m"), (F.col("n") == F.col("m")) & (left["b"] == right["b"])).drop("b", "m")
