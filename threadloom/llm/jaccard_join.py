@@ -18,7 +18,8 @@ them by lot, so candidates grow with the index, not with the square of a group;
 connect needs no further comparison. Members of a key that are still unconnected are then compared
 by bitmaps: a set's tokens flip bits, so two bitmaps differ in no more places than the sets do, and
 pairs whose bitmaps differ in too many are no links. All others are candidates, so no link between
-different components is lost. Candidates are verified on the sets.
+different components is lost. A pair is made at one of the keys it shares: its least, where the
+least few keys of both sets show it, else at each. Candidates are verified on the sets.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ FREQUENT = 16
 FIRST_LOOKS = 2
 #: 64-bit words of a bitmap.
 BITMAP = 16
+#: Least keys of a set that are kept with each of its keys, to tell the least key that a pair shares.
+LEAST_KEYS = 16
 
 
 def bitmap(tokens: np.ndarray) -> list[int]:
@@ -55,6 +58,12 @@ def _bitmaps_fit(x: str, y: str, nx: str, ny: str, num: int, den: int) -> Column
     return (den + num) * apart <= (den - num) * (F.col(nx) + F.col(ny))
 
 
+def _least_shared(x: str, y: str) -> Column:
+    """Whether key is the least that two sets share, as far as their least keys x and y tell."""
+    # A filter function keeps the join out of whole-stage code, whose one method would be too long to compile.
+    return F.coalesce(F.col("key") == F.get(F.filter(x, lambda v: F.array_contains(y, v)), F.lit(0)), F.lit(True))
+
+
 def _counted(block: Block, k: int):
     hashes, _, first = words(block)
     tokens, at = shingles(hashes, first, k)
@@ -202,9 +211,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     labelled = entries.select("uid", "n", "key").join(labels, F.col("uid") == F.col("node"), "left").select("uid", "n", "key", F.coalesce("component", "uid").alias("label"))
     labelled = written(labelled, "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = written(labelled.join(several, "key").join(open_.select("uid", "bits"), "uid"), "rest")
-    x, y = (rest.select("key", F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}")) for i in "ab")
-    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den)).select("a", "b").distinct()
+    rest = labelled.join(several, "key").groupBy("uid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list("key")).alias("keys"))
+    rest = written(rest.join(open_.select("uid", "bits"), "uid"), "rest")
+    x, y = (rest.select(F.explode("keys").alias("key"), F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}"), F.slice("keys", 1, LEAST_KEYS).alias(f"k{i}")) for i in "ab")
+    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den) & _least_shared("ka", "kb")).select("a", "b").distinct()
     looked = looks.union(looks.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _verified(more.join(looked, ["a", "b"], "left_anti"), open_, num, den)
     edges = links.union(more).union(members.where("uid <> rep").select("uid", "rep"))
