@@ -7,19 +7,21 @@ least. Such sets may miss at most t = n - ceil(n * num / den) of their n tokens
   link, and any other set has that many fewer to spare;
 * the rest are ordered by class, rare tokens before frequent ones, then by hash. Of rare tokens the
   first (spare + 1) are indexed alone;
-* where they do not suffice, the prefix is extended over the frequent class, which hash sub-classes
-  divide, until the sub-classes hold (spare + 1) tokens beyond the first of each: whichever spare
-  tokens are missing, two of one sub-class are left in both sets. Pairs of one sub-class are indexed.
+* where they do not suffice, all rare tokens are indexed alone, and the prefix is extended over the
+  frequent class: hash sub-classes divide every token that is in more than one set. Two sets that
+  link differ in d tokens at most, both ways counted, so with more than d / 2 sub-classes one of
+  them differs in one token at most. A sub-class has four parts; each three of them, with all
+  their tokens, are one indexed combination, and the differing token spares one of the four.
   The number of sub-classes follows the size of the set by steps; a set that can link over a step is
-  indexed for both.
+  indexed for both. A combination holds a number of tokens that does not depend on the size of the
+  set, so long texts that merely share frequent tokens meet at hardly any key.
 
 Equal sets are one class with one representative. Each indexed key links its members to one of
 them by lot, so candidates grow with the index, not with the square of a group; what those links
 connect needs no further comparison. Members of a key that are still unconnected are then compared
 by bitmaps: a set's tokens flip bits, so two bitmaps differ in no more places than the sets do, and
 pairs whose bitmaps differ in too many are no links. All others are candidates, so no link between
-different components is lost. A pair is made at one of the keys it shares: its least, where the
-least few keys of both sets show it, else at each. Candidates are verified on the sets.
+different components is lost. Candidates are verified on the sets.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ FREQUENT = 16
 FIRST_LOOKS = 2
 #: 64-bit words of a bitmap.
 BITMAP = 16
-#: Least keys of a set that are kept with each of its keys, to tell the least key that a pair shares.
-LEAST_KEYS = 16
+#: Parts of a sub-class, of which a combination leaves out one.
+PARTS = 4
 
 
 def bitmap(tokens: np.ndarray) -> list[int]:
@@ -58,12 +60,6 @@ def _bitmaps_fit(x: str, y: str, nx: str, ny: str, num: int, den: int) -> Column
     return (den + num) * apart <= (den - num) * (F.col(nx) + F.col(ny))
 
 
-def _least_shared(x: str, y: str) -> Column:
-    """Whether key is the least that two sets share, as far as their least keys x and y tell."""
-    # A filter function keeps the join out of whole-stage code, whose one method would be too long to compile.
-    return F.coalesce(F.col("key") == F.get(F.filter(x, lambda v: F.array_contains(y, v)), F.lit(0)), F.lit(True))
-
-
 def _counted(block: Block, k: int):
     hashes, _, first = words(block)
     tokens, at = shingles(hashes, first, k)
@@ -94,13 +90,23 @@ def _classes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def size_steps(num: int, den: int, most: int) -> list[int]:
-    """Set sizes at which the number of sub-classes changes; sets that link are at most one step apart."""
+    """Set sizes at which the number of sub-classes changes, two beyond most; sets that link are at most one step apart."""
     steps = [1]
-    while steps[-1] <= most:
+    while len(steps) < 3 or steps[-3] <= most:
         steps.append(max(steps[-1] + 1, -(-steps[-1] * den // num)))
     return steps
 
 
+def combinations_of(tokens: np.ndarray, step: int, apart: int) -> np.ndarray:
+    """Keys of which two token sets share one, if at most apart tokens are in one of them only."""
+    classes = apart // 2 + 1
+    part = mix(tokens ^ np.uint64(step << 8)) % np.uint64(PARTS * classes)
+    sums = np.zeros(PARTS * classes, np.uint64)
+    np.add.at(sums, part.astype(np.int64), mix(tokens + np.uint64(step)))
+    left = np.repeat(sums.reshape(classes, PARTS).sum(1, dtype=np.uint64), PARTS) - sums
+    return mix(mix(left) ^ (np.arange(PARTS * classes, dtype=np.uint64) + np.uint64(step << 32)))
+
+
 def keys_of(tokens: np.ndarray, kind: np.ndarray, num: int, den: int) -> np.ndarray:
     """The index keys of one set, its tokens rising."""
     n = len(tokens)
@@ -109,24 +115,13 @@ def keys_of(tokens: np.ndarray, kind: np.ndarray, num: int, den: int) -> np.ndar
     if len(rare) > spare:
         return mix(rare[: spare + 1])
     out = [mix(rare)]
-    spare -= len(rare)
-    frequent = tokens[kind == 2]
+    shared = tokens[kind > 0]
     steps = size_steps(num, den, n)
-    own = len(steps) - 2  # steps[own] <= n < steps[own + 1]
+    own = len(steps) - 4  # steps[own] <= n < steps[own + 1]
     for step in [own, own + 1] if n * den // num >= steps[own + 1] else [own]:
-        classes = max(1, steps[step] // 8)
-        which = (mix(frequent ^ np.uint64(step)) % np.uint64(classes)).astype(np.int64)
-        first = np.zeros(len(frequent), bool)
-        first[np.unique(which, return_index=True)[1]] = True
-        beyond = np.cumsum(~first)
-        end = int(np.searchsorted(beyond, spare + 1)) + 1
-        order = np.argsort(which[:end], kind="stable")
-        which, some = which[:end][order], frequent[:end][order]
-        for apart in range(1, len(some)):
-            pair = np.flatnonzero(which[apart:] == which[:-apart])
-            if not len(pair):
-                break
-            out.append(mix(mix(some[pair] + np.uint64(step)) ^ (some[pair + apart] * np.uint64(0x9E3779B97F4A7C15))))
+        apart = 2 * (den - num) * (steps[step + 1] - 1) // (den + num)
+        if apart:  # else only equal sets link
+            out.append(combinations_of(shared, step, apart))
     return np.concatenate(out)
 
 
@@ -211,10 +206,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     labelled = entries.select("uid", "n", "key").join(labels, F.col("uid") == F.col("node"), "left").select("uid", "n", "key", F.coalesce("component", "uid").alias("label"))
     labelled = written(labelled, "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(several, "key").groupBy("uid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list("key")).alias("keys"))
+    rest = labelled.join(several, "key").groupBy("uid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list("key").alias("keys"))
     rest = written(rest.join(open_.select("uid", "bits"), "uid"), "rest")
-    x, y = (rest.select(F.explode("keys").alias("key"), F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}"), F.slice("keys", 1, LEAST_KEYS).alias(f"k{i}")) for i in "ab")
-    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den) & _least_shared("ka", "kb")).select("a", "b").distinct()
+    x, y = (rest.select(F.explode("keys").alias("key"), F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}")) for i in "ab")
+    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den)).select("a", "b").distinct()
     looked = looks.union(looks.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _verified(more.join(looked, ["a", "b"], "left_anti"), open_, num, den)
     edges = links.union(more).union(members.where("uid <> rep").select("uid", "rep"))
