@@ -3,6 +3,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,6 +141,44 @@ def test_decontamination(spark):
     assert {x["doc_id"]: x["start_word"] for x in got}[0] == 20
 
 
+def best_windows_by_hand(docs, items, similar=0.8):
+    """{(doc, item): (similarity, start)} over all starts, partial windows at either end too."""
+    words = lambda t: re.findall("[0-9a-z]+", t.lower())
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = {}
+    for d, t in docs:
+        of = grams(words(t))
+        for i, x in items:
+            want = Counter(g := grams(words(x)))
+            for s in range(1 - len(g), len(of)):
+                have = Counter(of[max(s, 0) : max(s + len(g), 0)])
+                common = sum((have & want).values())
+                alike = common / (sum(have.values()) + len(g) - common)
+                if alike >= similar and ((d, i) not in out or (-alike, max(s, 0)) < out[d, i]):
+                    out[d, i] = (-alike, max(s, 0))
+    return out
+
+
+def test_decontamination_tries_every_start(spark):
+    r = random.Random(21)
+    known = [f"word{i}" for i in range(300)]
+    pick = lambda n: [r.choice(known) for _ in range(n)]
+    items = [(i, pick(n)) for i, n in enumerate([50, 59, 120, 30, 80, 120])] + [(6, pick(4) * 12)]
+    rows = []
+    for i, w in items:
+        h = len(w) // 2
+        for moved in (w[h:] + w[:h], w[: h // 2] + w[h:] + w[h // 2 : h], w[h:] + pick(1) + w[:h], w, w[: -len(w) // 7]):
+            rows.append((len(rows), " ".join(pick(r.randrange(40)) + moved + pick(r.randrange(40)))))
+            rows.append((len(rows), " ".join(moved)))
+    # A long text in which the item stands twice, once whole.
+    rows.append((len(rows), " ".join(items[1][1][30:] + items[1][1][:30] + pick(60) + items[1][1])))
+    items = [(i, " ".join(w)) for i, w in items]
+    want = best_windows_by_hand(rows, items)
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): (-x["similarity"], x["start_word"]) for x in got} == want
+    assert {(2 * j, i) for i, j in ((0, 0), (1, 5), (2, 10))} <= set(want)
+
+
 def test_multi_index_covers_the_radius(spark):
     r = random.Random(6)
     rows = []

@@ -57,13 +57,28 @@ def weighted_jaccard(a: str, b: str) -> Column:
     return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
 
+def window_starts(hits: str, m: str, similar: float) -> Column:
+    """Starts of all windows of m shingles that hold at least the part `similar` of m places in hits (sorted).
+
+    From each place on, the window must reach `least - 1` places further; a start at or before the
+    place before is that one's. A window that begins before the text has a negative start.
+    """
+    least = F.greatest(F.ceil(F.lit(similar) * F.col(m) - F.lit(1e-9)).cast("int"), F.lit(1))
+    at = lambda i: F.element_at(hits, i)
+    low = lambda i: F.greatest(at(i + least - 1) - F.col(m) + 1, F.when(i > 1, at(F.greatest(i - 1, F.lit(1))) + 1))
+    each = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(hits) - least + 1, F.lit(1))), lambda i: i + least - 1 <= F.size(hits)), lambda i: F.struct(low(i).alias("low"), at(i).alias("high")))
+    return F.flatten(F.transform(F.filter(each, lambda r: r["low"] <= r["high"]), lambda r: F.sequence(r["low"], r["high"])))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity) of each document and item that it holds.
 
-    Words are lower-cased runs of letters and digits. A window has as many words as an item and
-    stands where it shares a shingle with one of that size, in a document that has enough of that
-    item's shingles for a similar window: no other window can be similar.
-    The windows' SimHashes are looked up in the items' multi-index, and candidates verified on their
+    Words are lower-cased runs of letters and digits. A window has as many words as an item and may
+    start at any word, or before the text or end after it, with those of its words that are there.
+    Windows with fewer places of the item's shingles than the part `similar` of them are left out:
+    what two sets of shingles share is at most those places, and their union is at least the item,
+    so none of them can be similar, in whatever order the item's parts stand.
+    The others' SimHashes are looked up in the items' multi-index, and candidates verified on their
     weighted shingles. The best window of each pair is returned, the first of equal ones. Null and
     empty texts, and texts and items of fewer than five words, match nothing; repeated rows and rows
     with null ids match as one row of that id and text. Other columns are not read.
@@ -78,22 +93,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     grams = rows.select("doc_id", "k", word_array(F.col("_t")).alias("words")).select("doc_id", "k", F.posexplode(shingle_rows("words")).alias("pos", "g"))
     hits = grams.select("doc_id", "k", "pos", _hashed("g").alias("gram")).join(known, "gram")
     # A similar window has at least the part `similar` of the item's shingles, so the document has them.
-    pairs = hits.groupBy("doc_id", "k", "item_id", "n", "m").agg(F.collect_set("at").alias("found"), F.collect_set(F.col("pos") - F.col("at")).alias("starts"))
+    pairs = hits.groupBy("doc_id", "k", "item_id", "n", "m").agg(F.collect_set("at").alias("found"), F.sort_array(F.collect_set("pos")).alias("hits"))
     pairs = pairs.where(F.size("found") >= similar * F.col("m"))
-    windows = pairs.select("doc_id", "k", "n", F.explode("starts").alias("start")).distinct()
+    windows = pairs.select("doc_id", "k", "n", F.explode(window_starts("hits", "m", similar)).alias("start")).distinct()
     by_doc = windows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "windows")
     held = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).dropDuplicates(["doc_id", "k"])
     held = held.select("doc_id", "k", word_array(F.col("_t")).alias("words"), "windows").select("doc_id", "k", F.transform(shingle_rows("words"), lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)])).alias("all"), F.explode("windows").alias("w"))
     start = F.greatest(F.col("w.start"), F.lit(0))
     end = F.least(F.col("w.start") + F.col("w.n") - (SHINGLE - 1), F.size("all"))
-    looked = held.select("doc_id", "k", F.col("w.n").alias("n"), start.alias("start_word"), F.slice("all", start + 1, F.greatest(end - start, F.lit(0))).alias("grams"))
+    looked = held.select("doc_id", "k", F.col("w.n").alias("n"), F.col("w.start").alias("start"), start.alias("start_word"), F.slice("all", start + 1, F.greatest(end - start, F.lit(0))).alias("grams"))
     looked = looked.withColumn("grams", once(F.col("grams"))).withColumn("print", once(simhash("grams")))
     left = looked.withColumn("b", F.explode(index_blocks("print", radius)))
     right = items.withColumn("b", F.explode(index_blocks("item_print", radius)))
     near = left.join(right.withColumnRenamed("n", "m"), (F.col("n") == F.col("m")) & (left["b"] == right["b"])).drop("b", "m")
     near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= radius)
-    near = near.dropDuplicates(["doc_id", "k", "n", "start_word", "item_id"]).withColumn("similarity", weighted_jaccard("grams", "item_grams")).where(F.col("similarity") >= similar)
+    near = near.dropDuplicates(["doc_id", "k", "n", "start", "item_id"]).withColumn("similarity", weighted_jaccard("grams", "item_grams")).where(F.col("similarity") >= similar)
     best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start_word", "n", "hamming")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start_word"), F.col("b.n").alias("n_words"), F.col("b.hamming"), (-F.col("b")["col1"]).alias("similarity"))
 
