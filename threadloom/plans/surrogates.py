@@ -35,7 +35,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations of customer and brand tweets, with marked parts, mentions and signatures."""
     c = table(spark, sf_dir, "conversations")
     swapped = F.when((F.col("conv_id") % 2 == 1) & F.col("turn").isin(1, 2), 3 - F.col("turn")).otherwise(F.col("turn"))
-    text = F.concat(F.lit("@u"), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit(": "), F.substring("text", 1, 40), F.lit(" /AB"))
+    text = F.concat(F.lit("@u"), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit(": "), F.col("text"), F.lit(" /AB"))
     return c.select(
         F.col("conv_id").alias("conversation_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("turn") % 3 == 0).alias("inbound"), F.when(F.col("turn") % 3 == 0, "cust").otherwise("brand").alias("author_id"),
         F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.floor((F.col("turn") - 1) / 2)).alias("parent"), F.timestamp_seconds(1509400800 + swapped * 60).alias("ts"), F.regexp_replace(text, r"\s+", " ").alias("text"),
