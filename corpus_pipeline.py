@@ -14,20 +14,34 @@ from threadloom.llm.shared import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """COLUMNS with key, a 64-bit hash of id and text: ids may be null, or stand on several texts."""
+    return docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("key"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those that are rejected go."""
     return language_id.identify(docs, min_margin=language_id.MIN_MARGIN).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect (five-word shingles, similarity of 0.8), the document of the least id."""
-    grouped = written(jaccard_join.join(docs, k=5, num=80, den=100).select("doc_id", "component_id", "uid", "component"), "groups")
-    gone = grouped.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    # Rows that repeat an id are of one group as a rule; then one of them stays.
-    if grouped.groupBy("doc_id", "component").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """Of each group that links connect (five-word shingles, similarity of 0.8), the row of the least id, nulls last.
+
+    Rows are told apart by id and text, so one id may stand on several texts, and any number of ids may be null.
+    """
+    docs = keyed(docs)
+    grouped = written(jaccard_join.join(docs, id_col="key", k=5, num=80, den=100).select(F.col("doc_id").alias("key"), "component"), "groups")
+    several = grouped.groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1").select("component")
+    members = grouped.join(several, "component").groupBy("component", "key").agg(F.count("*").alias("rows"))
+    members = members.join(docs.select("key", "doc_id").distinct(), "key")
+    least = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"))
+    members = written(members.join(least, "component").select("key", "rows", (F.col("key") == F.col("least.key")).alias("stays")), "members")
+    kept = docs.join(members.where("not stays").select("key"), "key", "left_anti")
+    # Equal rows of one id and text: one of them stays. Rows without words are in no group.
+    again = members.where("stays and rows > 1").select("key")
+    if again.limit(1).count():
+        kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select(*COLUMNS)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +52,10 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    """Rows whose text holds no benchmark item."""
+    docs = keyed(docs)
+    leaks = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(leaks, "key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
