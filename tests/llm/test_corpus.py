@@ -141,6 +141,15 @@ def test_decontamination(spark):
     assert {x["doc_id"]: x["start_word"] for x in got}[0] == 20
 
 
+def test_repeated_rows_vote_once(spark):
+    half = "general public", "permission is hereby granted free of charge to any person"
+    rows = [(1, half[0]), (1, half[0]), (None, half[1]), (None, half[1]), (2, "the mit license"), (2, "the mit license")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6
+    assert all((x["n_base"], x["base_labels"], x["labels"], x["score"]) == (0, "", "", 0.0) for x in got if x["doc_id"] != 2)
+    assert [(x["n_base"], x["base_labels"], x["score"]) for x in got if x["doc_id"] == 2] == [(1, "mit", 1.0)] * 2
+
+
 def best_windows_by_hand(docs, items, similar=0.8):
     """{(doc, item): (similarity, start)} over all starts, partial windows at either end too."""
     words = lambda t: re.findall("[0-9a-z]+", t.lower())

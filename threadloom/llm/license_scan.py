@@ -53,7 +53,7 @@ def places(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, st
     known = _templates(docs.sparkSession, base, templates)
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     votes = grams.join(known, "gram").where("w1 = t1 and w2 = t2").select("id", "template", "label", "kind", "grams", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
-    lines = votes.groupBy("id", "template", "label", "kind", "grams", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("at").alias("at_low"), F.max("at").alias("at_high"))
+    lines = votes.groupBy("id", "template", "label", "kind", "grams", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("at").alias("at_low"), F.max("at").alias("at_high"))
     # Neighbouring diagonals are one place when the later part of the template follows in the text too.
     w = Window.partitionBy("id", "template").orderBy("diagonal", "low")
     after = (F.col("diagonal") - F.lag("diagonal").over(w) <= NEAR) & (F.col("at_low") > F.lag("at_high").over(w)) & (F.col("low") > F.lag("high").over(w)) & (F.col("kind") == "own")
@@ -72,7 +72,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     and templates take phrases of two words at least.
     """
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    # Equal (id, text) rows are scanned once.
+    # Equal (id, text) rows have one id in places, which counts each place of a template once.
     words = rows.select("_doc", word_array(F.col("_text")).alias("words"), F.xxhash64("_text", F.lit(1)).alias("_k"))
     at = places(words.where(F.size("words") > 1).select(F.struct("_doc", "_k").alias("id"), "words"), base, templates).distinct()
     is_base = F.col("kind") == "base"
