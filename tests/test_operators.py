@@ -104,6 +104,15 @@ def test_knn_ties(spark):
         vectors.top_k(query, corpus, 0)
 
 
+def test_more_queries_than_one_pass_takes(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(30)]
+    queries, corpus = spark.createDataFrame(rows, "query_id long, qv array<float>"), spark.createDataFrame(rows, "item_id long, cv array<float>")
+    want = sorted(map(tuple, vectors.top_k(queries, corpus, 3).select("query_id", "item_id", "similarity", "rank").collect()))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 8)
+    assert vectors.query_blocks(queries) > 1
+    assert sorted(map(tuple, vectors.top_k(queries, corpus, 3).select("query_id", "item_id", "similarity", "rank").collect())) == want and len(want) == 90
+
+
 def test_allocation(spark):
     def quotas(counts, total):
         return {r["stratum"]: r["quota"] for r in sampling.allocate(spark.createDataFrame(list(counts.items()), "stratum string, n long"), total).collect()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that one pass over the corpus compares; more are refused, as they would not be a small stated set.
+#: Queries that one pass over the corpus compares; more are taken in blocks, each against all of the corpus.
 MAX_QUERIES = 100_000
 
 
@@ -22,8 +24,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, exclude: Column | None
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if queries.count() > MAX_QUERIES:
-        raise ValueError("too many queries for one pass")
+    blocks = query_blocks(queries)
+    if blocks > 1:
+        return reduce(DataFrame.union, [_ranked(queries.where(_block(blocks) == b), corpus, k, exclude) for b in range(blocks)])
+    return _ranked(queries, corpus, k, exclude)
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+
+
+def query_blocks(queries: DataFrame) -> int:
+    """Blocks by the hash of query_id, so that each has MAX_QUERIES rows at most (one id's rows are of one block)."""
+    n = queries.count()
+    blocks = max(1, -(-n // MAX_QUERIES))
+    while 1 < blocks < n and queries.groupBy(_block(blocks).alias("b")).count().agg(F.max("count")).first()[0] > MAX_QUERIES:
+        blocks += 1 + blocks // 8
+    return blocks
+
+
+def _ranked(queries: DataFrame, corpus: DataFrame, k: int, exclude: Column | None) -> DataFrame:
     pairs = corpus.join(F.broadcast(queries), F.lit(True) if exclude is None else ~exclude)
     pairs = pairs.withColumn("similarity", dot(F.col("qv"), F.col("cv")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
