@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,18 @@ def test_tweets_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text(good + good.splitlines()[1] + "\n")
     with pytest.raises(AssertionError):
         io.read_tweets(spark, str(tmp_path / "c.csv"))
+
+
+def test_bootstrap_of_any_metric(spark):
+    rows = [(i, float(i % 3 == 0), float(i % 4)) for i in range(11)]
+    pairs = spark.createDataFrame(rows, "pos long, hit double, weight double")
+    scores = []
+    for r in range(1000):
+        drawn = [rows[int(hashlib.md5(f"42:{r}:{p}".encode()).hexdigest()[:8], 16) % 11] for p in range(11)]
+        scores.append(sum(x[1] * x[2] for x in drawn) / max(sum(x[2] for x in drawn), 1.0))
+    scores.sort()
+    at = lambda q: scores[int(q * 999)] + (q * 999 - int(q * 999)) * (scores[int(q * 999) + 1] - scores[int(q * 999)])
+    weighted = F.sum(F.col("hit") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1.0))
+    got = metrics.bootstrap(pairs, metric=weighted, name="weighted").first()
+    assert got["n"] == 11 and got["weighted"] == pytest.approx(sum(x[1] * x[2] for x in rows) / sum(x[2] for x in rows))
+    assert (got["low"], got["high"]) == pytest.approx((at(0.025), at(0.975)))

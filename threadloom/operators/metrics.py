@@ -55,15 +55,17 @@ def kappa(matrix: DataFrame) -> DataFrame:
     return one.select("n", po.alias("accuracy"), F.when(pe == 1, 0.0).otherwise((po - pe) / (1 - pe)).alias("kappa"), F.when(F.col("ew") == 0, 0.0).otherwise(1 - F.col("ow") * n / F.col("ew")).alias("qw_kappa"))
 
 
-def bootstrap(pairs: DataFrame, resamples: int = 200, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(n, accuracy, low, high) of the accuracy over hashed draws with replacement, shared by all that use the seed.
+def bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 42, low: float = 0.025, high: float = 0.975, metric: Column | None = None, name: str = "accuracy") -> DataFrame:
+    """(n, name, low, high) of a metric over hashed draws with replacement, shared by all that use the seed.
 
-    pairs: (pos, hit) with pos from 0 without gaps. Draw p of resample r is the number in the first
+    pairs: (pos, ...) with pos from 0 without gaps. metric is an aggregate of the other columns, the
+    mean of hit by default. Draw p of resample r is the number in the first
     eight hex digits of md5('seed:r:p'), modulo n.
     """
     spark = pairs.sparkSession
+    metric = F.avg("hit") if metric is None else metric
     n = pairs.count()
     draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("p"))
     draws = draws.select("r", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "p").cast("binary")), 1, 8), 16, 10).cast("long") % n).alias("pos"))
-    scores = draws.join(pairs, "pos").groupBy("r").agg(F.avg("hit").alias("score"))
-    return scores.agg(F.percentile("score", F.lit(low)).alias("low"), F.percentile("score", F.lit(high)).alias("high")).crossJoin(pairs.agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy")))
+    scores = draws.join(pairs, "pos").groupBy("r").agg(metric.alias("score"))
+    return scores.agg(F.percentile("score", F.lit(low)).alias("low"), F.percentile("score", F.lit(high)).alias("high")).crossJoin(pairs.agg(F.count("*").alias("n"), metric.alias(name)))

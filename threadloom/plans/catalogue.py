@@ -152,7 +152,7 @@ SELECT (SELECT n FROM k) AS n, round((SELECT avg(hit) FROM p), 6) AS accuracy, r
 def bootstrap_ci(spark, sf_dir):
     hit = (F.col("y_true") == F.col("y_pred")).cast("double")
     pairs = _votes(spark, sf_dir).select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("pos"), hit.alias("hit"))
-    return metrics.bootstrap(forest.cut(pairs)).select("n", *[r6(c).alias(c) for c in ("accuracy", "low", "high")])
+    return metrics.bootstrap(forest.cut(pairs), resamples=200).select("n", *[r6(c).alias(c) for c in ("accuracy", "low", "high")])
 
 
 # --- forest and conversations ------------------------------------------------------------------
