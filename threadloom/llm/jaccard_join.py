@@ -16,12 +16,18 @@ least. Such sets may miss at most t = n - ceil(n * num / den) of their n tokens
   indexed for both. A combination holds a number of tokens that does not depend on the size of the
   set, so long texts that merely share frequent tokens meet at hardly any key.
 
-Equal sets are one class with one representative. Each indexed key links its members to one of
-them by lot, so candidates grow with the index, not with the square of a group; what those links
-connect needs no further comparison. Members of a key that are still unconnected are then compared
-by bitmaps: a set's tokens flip bits, so two bitmaps differ in no more places than the sets do, and
-pairs whose bitmaps differ in too many are no links. All others are candidates, so no link between
-different components is lost. Candidates are verified on the sets.
+Equal sets are one class with one representative. Keys are looked up in rounds. In a round each key
+names one of its members, and every other one that isn't connected with it yet is a candidate: first
+the member that shares most keys with others, as it is most like the rest of its group, then one by
+lot. Of the candidates that share most keys with a set and whose bitmaps allow a link, some are
+verified, and labels of components unite. So candidates grow with the index, not with the square of
+a group. Rounds go on as long as more pairs of labels share a key than there are entries, and clearly fewer
+than before.
+
+What is then unconnected is compared in pairs that share a key, but for members of the key's most
+frequent label among themselves, by bitmaps: a set's tokens flip bits, so two bitmaps differ in no
+more places than the sets do, and pairs whose bitmaps differ in too many are no links. All others
+are verified on the sets, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -35,16 +41,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.shared import NULL_ID, Block, bucket_count, components, each_block, mix, pack, shingles, split_by_bucket, words, written
+from threadloom.llm.shared import NULL_ID, Block, bucket_count, bucketed, components, discard, each_block, mix, pack, row_ids, shingles, split_by_bucket, sweep, words, written
 
 #: Part of all tokens, by hash, whose frequencies are counted; the others pass for frequent.
 COUNTED = 0.3
 #: A token in more sets than this is frequent.
 FREQUENT = 16
-#: Candidates that a set is first compared with: those that share most keys with it.
-FIRST_LOOKS = 2
+#: In a round, candidates of a set whose bitmaps are compared, and of those the ones that are verified.
+LOOKS, VERIFIED = 8, 2
+#: Rounds go on while they leave at most this part of the pairs of labels that share a key.
+PROGRESS = 0.8
 #: 64-bit words of a bitmap.
 BITMAP = 16
+#: Parts that the pairs of one frequent candidate are split into.
+SALTS = 256
 #: Parts of a sub-class, of which a combination leaves out one.
 PARTS = 4
 
@@ -148,7 +158,7 @@ def _index_pass(buckets: int, k: int, num: int, den: int):
             slot = np.full(len(n), -1)
             slot[open_] = np.arange(len(rows))
             pick = lambda j: [rows[s][j] if s >= 0 else None for s in slot]  # noqa: E731, B023
-            columns = [(block.block_id << 20) + np.arange(len(n)), np.where(block.ids == NULL_ID, 0, block.ids), n, pick(2), pick(3), pick(0), pick(1), pick(4)]
+            columns = [row_ids(block.block_id, len(n)), np.where(block.ids == NULL_ID, 0, block.ids), n, pick(2), pick(3), pick(0), pick(1), pick(4)]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             arrays[1] = pa.array(columns[1], pa.int64(), mask=block.ids == NULL_ID)
             yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "n", "h1", "h2", "keys", "tokens", "bits"])
@@ -156,23 +166,79 @@ def _index_pass(buckets: int, k: int, num: int, den: int):
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, **columns: str) -> DataFrame:
+    """pairs (a, b, ...) with columns of both sets, named as given with a and b behind.
+
+    sets are in buckets of uid and stay where they are for a; for b only those that are asked for
+    move, once for each salt that asks, as many pairs may have one b.
+    """
+    pick = lambda side: [F.col("uid").alias(side), *[F.col(c).alias(n + side) for n, c in columns.items()]]
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    asked = sets.join(pairs.select(F.col("b").alias("uid"), "salt").distinct(), "uid")
+    return pairs.join(sets.select(*pick("a")), "a").join(asked.select(*pick("b"), "salt"), ["b", "salt"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b, ...) that link."""
 
     def common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
 
-    left = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    right = sets.select(F.col("uid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.pandas_udf(common, "long")("ta", "tb"))
-    return both.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    both = _with_sets(pairs, sets, t="tokens", n="n").withColumn("common", F.pandas_udf(common, "long")("ta", "tb"))
+    return both.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select(*pairs.columns)
 
 
 def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return den * F.least(x, y) >= num * F.greatest(x, y)
 
 
+def _open_keys(labelled: DataFrame) -> tuple[DataFrame, int]:
+    """Of labelled (uid, n, key, pop, label), the rows of keys with several labels; how many pairs of labels share a key."""
+    several = labelled.groupBy("key").agg(F.count_distinct("label").alias("k")).where("k > 1")
+    several = written(several, "keys")
+    pairs = several.agg(F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2)).first()[0] or 0
+    out = written(labelled.join(several.select("key"), "key"), "open")
+    discard(several)
+    return out, pairs
+
+
+def _looked(labelled: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """(a, b, la, lb): links that a round finds, with the labels that they unite."""
+    rank = F.col("pop") if turn == 0 else F.xxhash64("uid", "key", F.lit(turn))
+    named = labelled.groupBy("key").agg(F.max(F.struct(rank.alias("r"), "uid", "n", "label")).alias("p"))
+    named = named.select("key", F.col("p.uid").alias("b"), F.col("p.n").alias("nb"), F.col("p.label").alias("lb"))
+    looks = labelled.join(named, "key").where(F.col("label") != F.col("lb")).where(_sizes_fit(F.col("n"), F.col("nb"), num, den))
+    looks = looks.groupBy(F.col("uid").alias("a"), "b").agg(F.count("*").alias("c"), F.first("label").alias("la"), F.first("lb").alias("lb"))
+    order = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    looks = looks.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LOOKS).drop("r")
+    looks = _with_sets(looks, sets, bits="bits", n="n").where(_bitmaps_fit("bitsa", "bitsb", "na", "nb", num, den)).select("a", "b", "c", "la", "lb")
+    looks = written(looks.withColumn("r", F.row_number().over(order)).where(F.col("r") <= VERIFIED).select("a", "b", "la", "lb"), "looks")
+    links = written(_verified(looks, sets, num, den).select("la", "lb").distinct(), "found")
+    discard(looks)
+    return links
+
+
+def _relabelled(frame: DataFrame, new: DataFrame) -> DataFrame:
+    """frame with the labels that are one component of new (node, component) as one."""
+    out = frame.join(new, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
+    return out.select(*frame.columns)
+
+
+def _rest(labelled: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(la, lb): the labels that links between still unconnected sets unite."""
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
+    rest = labelled.join(counts, "key").groupBy("uid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.struct("key", (F.col("label") != F.col("most")).alias("few"))).alias("keys"))
+    rest = written(rest.join(sets.select("uid", "bits"), "uid"), "rest")
+    x, y = (rest.select(F.explode("keys").alias("k"), F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}")).select("*", F.col("k.key").alias("key"), F.col("k.few").alias(f"few{i}")).drop("k") for i in "ab")
+    once = (F.col("la") != F.col("lb")) & (~F.col("fewb") | (F.col("la") < F.col("lb")))
+    pairs = x.where("fewa").join(y, "key").where(once).where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den))
+    pairs = written(pairs.select("a", "b", "la", "lb").distinct(), "pairs")
+    links = written(_verified(pairs, sets, num, den).select("la", "lb").distinct(), "found")
+    discard(rest, pairs)
+    return links
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, uid, component) of each row of docs.
 
@@ -189,35 +255,44 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     kinds = kinds.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "kinds")).alias("found"))
     indexed = blocks.join(kinds, "block_id", "left").mapInArrow(_index_pass(buckets, k, num, den), "uid long, doc_id long, n long, h1 long, h2 long, keys array<long>, tokens binary, bits array<long>")
     indexed = written(indexed, "indexed")
-    open_ = indexed.where(F.col("tokens").isNotNull())
+    discard(blocks)
+    rows = written(indexed.select("uid", "doc_id", "n", "h1", "h2"), "rows")
+    open_ = rows.where(F.col("h1").isNotNull())
     classes = open_.groupBy("n", "h1", "h2").agg(F.min("uid").alias("rep"))
     members = written(open_.select("uid", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("uid", "rep"), "members")
-    reps = open_.select("uid", "n", "keys").join(members.where("uid = rep").select("uid"), "uid", "left_semi")
-    entries = written(reps.select("uid", "n", F.explode("keys").alias("key")), "entries")
-    lots = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("uid", "key"), "uid", "n")).alias("p")).where("c > 1")
-    lots = lots.select("key", F.col("p.uid").alias("pivot"), F.col("p.n").alias("pn"))
-    entries = written(entries.join(lots, "key"), "shared")
-    looks = entries.where(F.col("uid") != F.col("pivot")).where(_sizes_fit(F.col("n"), F.col("pn"), num, den))
-    looks = looks.groupBy(F.col("uid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
-    looks = written(looks.withColumn("r", rank).where(F.col("r") <= FIRST_LOOKS).select("a", "b"), "looks")
-    links = written(_verified(looks, open_, num, den), "links")
-    labels = components(links)
-    labelled = entries.select("uid", "n", "key").join(labels, F.col("uid") == F.col("node"), "left").select("uid", "n", "key", F.coalesce("component", "uid").alias("label"))
-    labelled = written(labelled, "labelled")
-    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(several, "key").groupBy("uid").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list("key").alias("keys"))
-    rest = written(rest.join(open_.select("uid", "bits"), "uid"), "rest")
-    x, y = (rest.select(F.explode("keys").alias("key"), F.col("uid").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}"), F.col("bits").alias(f"b{i}")) for i in "ab")
-    more = x.join(y, "key").where("la < lb").where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _bitmaps_fit("ba", "bb", "na", "nb", num, den)).select("a", "b").distinct()
-    looked = looks.union(looks.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _verified(more.join(looked, ["a", "b"], "left_anti"), open_, num, den)
-    edges = links.union(more).union(members.where("uid <> rep").select("uid", "rep"))
-    whole = components(edges)
-    out = indexed.select("uid", "doc_id", "n").join(whole, F.col("uid") == F.col("node"), "left").select("uid", "doc_id", "n", F.coalesce("component", "uid").alias("component"), F.col("component").isNotNull().alias("linked"))
-    least = out.where("linked").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = out.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "uid", "component")
+    reps = members.where("uid = rep").select("uid")
+    entries = written(indexed.join(reps, "uid", "left_semi").select("uid", "n", F.explode("keys").alias("key")), "entries")
+    counts = written(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    shared = written(entries.join(counts, "key"), "shared")
+    held, before = counts.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
+    discard(entries, counts)
+    known = shared.groupBy("uid").agg(F.sum(F.log2("c")).alias("pop"))
+    labels = written(known.select("uid", F.col("uid").alias("label")), "labels")
+    sets = bucketed(indexed.join(known.select("uid"), "uid", "left_semi").select("uid", "n", "tokens", "bits"), "sets", "uid")
+    labelled = written(shared.join(known, "uid").select("uid", "n", "key", "pop", F.col("uid").alias("label")), "open")
+    discard(indexed, shared)
+    sweep(docs.sparkSession)
+    turn = 0
+    while before:
+        links = _looked(labelled, sets, turn, num, den)
+        new = components(links, "la", "lb")
+        now, moved = written(_relabelled(labelled, new), "labelled"), written(_relabelled(labels, new), "labels")
+        discard(labels, labelled, links)
+        labels, (labelled, pairs) = moved, _open_keys(now)
+        discard(now)
+        sweep(docs.sparkSession)
+        if pairs <= held or pairs > PROGRESS * before:
+            break
+        turn, before = turn + 1, pairs
+    links = _rest(labelled, sets, num, den)
+    labels = _relabelled(labels, components(links, "la", "lb"))
+    groups = members.join(labels.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", F.coalesce("label", "rep").alias("component"))
+    groups = written(groups, "groups")
+    discard(labelled, sets, members, links)
+    sweep(docs.sparkSession)
+    least = groups.join(rows.select("uid", "doc_id"), "uid").groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = rows.select("uid", "doc_id", "n").join(groups, "uid", "left").join(least, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "uid", F.coalesce("component", "uid").alias("component"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

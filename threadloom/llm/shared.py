@@ -3,9 +3,12 @@ blocks, vectorised word hashing and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +20,80 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside packed blocks; it sorts after every real id.
 NULL_ID = 2**63 - 1
 BLOCK_BYTES = 4 << 20
+#: Bits of a block's number in its partition, and of a row's place in its block.
+BLOCK_BITS, PLACE_BITS = 20, 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where that is unset and Spark runs locally, a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
         path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
+#: Paths (with a table's name, if one is there) that written and its like have made in the open scope.
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope():
+    """Collects what is written inside, for delete()."""
+    made: list[tuple[str, str | None]] = []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+
+
+def delete(spark: SparkSession, made: list[tuple[str, str | None]]) -> None:
+    """Delete files and tables that nothing reads any more."""
+    for path, table in made:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of ended steps: it does once a plan is garbage, which a driver with free memory seldom collects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what written, bucketed or pack made for these frames."""
+    delete(frames[0].sparkSession, [f.made for f in frames])
+
+
+def _kept(frame: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    frame.made = (path, table)
+    if (made := _scope.get()) is not None:
+        made.append(frame.made)
+    return frame
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and any executor can read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _kept(spark.read.schema(df.schema).parquet(path), path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written, in buckets of key: a join by key moves the other side only."""
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"{name}_{uuid.uuid4().hex}"
+    n = min(max(1, partitions(spark)), 100_000)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return _kept(spark.table(table), path, table)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -54,7 +112,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (
     spark = docs.sparkSession
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        base, made, held, size = first_block(TaskContext.get().partitionId()), 0, [], 0
 
         def emit(parts: list[pa.RecordBatch]):
             nonlocal made
@@ -72,7 +130,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (
             start = 0
             while start < len(ids):
                 end = int(np.searchsorted(offsets, offsets[start] + block_bytes, "right")) - 1
-                end = min(max(end, start + 1), len(ids))
+                end = min(max(end, start + 1), len(ids), start + (1 << PLACE_BITS))
+                if made == 1 << BLOCK_BITS:
+                    raise ValueError("a partition has more blocks than ids for them: split the input finer")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([base + made], pa.int64()),
@@ -108,7 +168,19 @@ def pack(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (
         .format("parquet")
         .saveAsTable(table)
     )
-    return spark.table(table)
+    return _kept(spark.table(table), path, table)
+
+
+def first_block(partition: int) -> int:
+    """Id of a partition's first block; ids of blocks and rows are 63-bit numbers up to partition 2^23."""
+    if partition >> (63 - BLOCK_BITS - PLACE_BITS):
+        raise ValueError("the input has more partitions than ids for them")
+    return partition << BLOCK_BITS
+
+
+def row_ids(block_id: int, rows: int) -> np.ndarray:
+    """A number for each row of a block that no other row has."""
+    return (block_id << PLACE_BITS) + np.arange(rows)
 
 
 class Block:
@@ -134,15 +206,16 @@ def each_block(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]
 def bucket_count(blocks: DataFrame, bytes_each: int = 4 << 20) -> int:
     """How many key buckets keep a bucket's share of the input near bytes_each."""
     total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
-    return int(min(max(8, -(-total // bytes_each)), 1 << 16))
+    return int(max(8, -(-total // bytes_each)))
 
 
 def split_by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, places of its keys) of each bucket that has keys."""
     which = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[order], np.arange(buckets + 1))
-    return [(b, order[bounds[b] : bounds[b + 1]]) for b in np.unique(which).tolist()]
+    there, first = np.unique(which[order], return_index=True)
+    bounds = [*first.tolist(), len(order)]
+    return [(b, order[x:y]) for b, x, y in zip(there.tolist(), bounds, bounds[1:], strict=False)]
 
 
 # --- hashing -----------------------------------------------------------------------------------
@@ -236,7 +309,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u <> v").distinct()
     links = written(links, "links")
-    while True:
+    count = links.count()
+    while count:
         both = links.select(F.col("v").alias("x"), F.col("u").alias("y")).union(links.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
@@ -244,7 +318,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u")))
         new = written(small.where("u <> v").distinct(), "links")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first() == links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        was, count = count, new.count()
+        same = count == was and not new.join(links, ["u", "v"], "left_anti").limit(1).count()
+        discard(links)
         links = new
         if same:
             break
