@@ -85,7 +85,44 @@ def land(p: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
     return p
 
 
-_FLOWN = "row long, source string, size long, p double"
+def repaired(taken: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
+    """taken with one document more or less, or one in another's place, if that brings its words nearer to owed.
+
+    The exchange that comes nearest is made, again and again until none helps.
+    """
+    taken = taken.copy()
+    for _ in range(len(taken)):
+        lack = owed - float((taken * size).sum())
+        out, within = np.flatnonzero(taken == 0), np.flatnonzero(taken == 1)
+        out, within = out[np.argsort(size[out], kind="stable")], within[np.argsort(size[within], kind="stable")]
+        # In for nothing, or for one that goes; out for nothing.
+        give = np.r_[0.0, size[within]]
+        give_at = np.r_[-1, within]
+        near = np.searchsorted(size[out], give + lack)
+        best = (abs(lack), -1, -1)
+        for step in (-1, 0):
+            at = near + step
+            ok = (at >= 0) & (at < len(out))
+            if ok.any():
+                apart = np.abs(lack + give[ok] - size[out[at[ok]]])
+                k = int(apart.argmin())
+                if apart[k] < best[0] - 1e-9:
+                    best = (float(apart[k]), int(out[at[ok][k]]), int(give_at[ok][k]))
+        if len(within):
+            apart = np.abs(lack + size[within])
+            k = int(apart.argmin())
+            if apart[k] < best[0] - 1e-9:
+                best = (float(apart[k]), -1, int(within[k]))
+        if best[1:] == (-1, -1):
+            break
+        if best[1] >= 0:
+            taken[best[1]] = 1.0
+        if best[2] >= 0:
+            taken[best[2]] = 0.0
+    return taken
+
+
+_FLOWN = "row long, again long, source string, size long, p double"
 
 
 def _fly(last: bool):
@@ -96,17 +133,19 @@ def _fly(last: bool):
         flown = flight(p, size, np.random.default_rng(abs(int(pdf["h"].iloc[0])) if len(pdf) else 0))
         if last:
             open_ = (flown > 0) & (flown < 1)
-            flown = land(flown, size, float((flown[open_] * size[open_]).sum()))
-        return pd.DataFrame({"row": pdf["row"], "source": pdf["source"], "size": pdf["size"], "p": flown})
+            owed = float((flown * size).sum())
+            flown = repaired(land(flown, size, float((flown[open_] * size[open_]).sum())), size, owed)
+        return pd.DataFrame({"row": pdf["row"], "again": pdf["again"], "source": pdf["source"], "size": pdf["size"], "p": flown})
 
     return run
 
 
 def balanced(sized: DataFrame, seed: int, flight_rows: int = FLIGHT_ROWS) -> DataFrame:
-    """(row, p) of sized (row, source, size, p): p is 0 or 1 for every row, balanced on words and documents of each source.
+    """(row, again, p) of sized (row, again, source, size, p): p is 0 or 1 for every row, balanced on words and documents of each source.
 
     Rounds: flights over blocks of about flight_rows documents of a source, then over what those
-    left open, until a source is one block; that one lands.
+    left open, until a source is one block; that one lands, and what it then lacks of its words is
+    mended by exchanges.
     """
     spark = sized.sparkSession
     done: list[DataFrame] = []
@@ -122,16 +161,16 @@ def balanced(sized: DataFrame, seed: int, flight_rows: int = FLIGHT_ROWS) -> Dat
             blocks = now.join(counts, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.shiftrightunsigned("h", 7), F.col("_b"))).drop("_s", "_b")
         flown = blocks.groupBy("source", "block").applyInPandas(_fly(last), _FLOWN)
         if last:
-            done.append(flown.select("row", "p"))
+            done.append(flown.select("row", "again", "p"))
             break
         flown = written(flown, "flown")
         fractional = (F.col("p") > 0) & (F.col("p") < 1)
-        done.append(flown.where(~fractional).select("row", "p"))
+        done.append(flown.where(~fractional).select("row", "again", "p"))
         now = flown.where(fractional).withColumn("h", F.xxhash64(F.lit(seed), "row"))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out if done else spark.createDataFrame([], "row long, p double")
+    return out if done else spark.createDataFrame([], "row long, again long, p double")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
@@ -148,13 +187,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("same"))
     # Equal rows differ by their ordinal alone, so reruns agree whatever the order of the input.
     base = base.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("same"))).alias("ordinal"))
-    base = written(base.withColumn("row", F.xxhash64("doc_id", "source", "size", "ordinal")), "sizes")
+    base = written(base.withColumns({"row": F.xxhash64("doc_id", "source", "size", "ordinal"), "again": F.xxhash64("ordinal", "size", "source", "doc_id", F.lit("again"))}), "sizes")
     goal = written(targets(base, share, most, weights), "targets")
     goal = goal.withColumn("ratio", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     joined = base.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, base["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     joined = joined.withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
-    drawn = balanced(joined.where("size > 0").select("row", "source", "size", "p"), seed)
-    out = joined.join(drawn.select("row", F.col("p").cast("long").alias("once")), "row", "left")
+    drawn = balanced(joined.where("size > 0").select("row", "again", "source", "size", "p"), seed)
+    out = joined.join(drawn.select("row", "again", F.col("p").cast("long").alias("once")), ["row", "again"], "left")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.coalesce("once", F.lit(0))).otherwise(0).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
