@@ -4,7 +4,7 @@ import os
 import pytest
 from conftest import SF
 
-from threadloom.plans.catalogue import ORACLE_SQL, QUERIES
+from threadloom.plans import ORACLE_SQL, QUERIES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import let
+
 # Signals in the order in which they give the reason, their families and sentences,
 # the phrases, and the shapes of personal data.
 SIGNALS = ("intent_needs_account_data", "no_similar_precedent", "abuse_or_profanity", "cancellation_or_refund", "legal_or_safety", "pii_present")
@@ -40,19 +40,31 @@ def padded(text: Column) -> Column:
 
 
 def has_phrase(pad: Column, phrases) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(pad, F.lit(f" {p} ")) for p in phrases])
+    """Whether a phrase stands in padded text as whole words."""
+    return pad.rlike(f" (?:{'|'.join(phrases)}) ")
 
 
 def has_pii(text: Column) -> Column:
-    low = F.lower(text)
+    return let(F.lower(text), _low_has_pii)
+
+
+def _low_has_pii(low: Column) -> Column:
     phone = F.exists(F.regexp_extract_all(low, F.lit(PHONE), F.lit(0)), lambda m: F.length(F.regexp_replace(m, r"\D", "")) >= PHONE_DIGITS)
     return F.contains(low, F.lit(REDACTED_EMAIL)) | low.rlike(EMAIL) | low.rlike(CARD) | phone
 
 
+def phrase_flags(text: Column) -> Column:
+    """struct(abuse, cancellation, legal), from one padded text."""
+    return let(padded(text), lambda pad: F.struct(has_phrase(pad, ABUSE).alias("abuse"), has_phrase(pad, CANCELLATION).alias("cancellation"), has_phrase(pad, LEGAL).alias("legal")))
+
+
 def signals(text: Column, intent: Column, similarity: Column, floor: float = SIMILARITY_FLOOR) -> Column:
     """The signals that fire, in their order. A similarity at the floor does not fire."""
-    pad = padded(text)
-    fires = (intent.isin(*ACCOUNT_INTENTS), similarity < floor, has_phrase(pad, ABUSE), has_phrase(pad, CANCELLATION), has_phrase(pad, LEGAL), has_pii(text))
+    return let(phrase_flags(text), lambda said: _signals(said, text, intent, similarity, floor))
+
+
+def _signals(said: Column, text: Column, intent: Column, similarity: Column, floor: float) -> Column:
+    fires = (intent.isin(*ACCOUNT_INTENTS), similarity < floor, said["abuse"], said["cancellation"], said["legal"], has_pii(text))
     return F.filter(F.array(*[F.when(f, F.lit(s)) for f, s in zip(fires, SIGNALS, strict=True)]), lambda s: s.isNotNull())
 
 

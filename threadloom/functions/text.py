@@ -31,7 +31,9 @@ BOILERPLATE = (
     r"\b(?:we|i)(?:'re| are|'d| would| will|'ll)? ?(?:be )?(?:more than )?(?:here to help|happy to (?:help|assist|look)|like to (?:help|assist|look)|love to (?:help|assist)|want to help|can definitely|can certainly)\b|\bhere to help\b|\blet'?s (?:take a look|look into)\b|\btake a (?:closer )?look\b",
     r"\bso (?:that )?(?:we|i|our team) (?:can|may)\b[^.!?]*|\band (?:we|our team) will be\b[^.!?]*|\band (?:we|our team) will\b[^.!?]*|\bso we can\b[^.!?]*",
 )
-FILLER = tuple("a about an and any are as at be but by can could do for from further get have here how i if in into is it just like look me more not of on once or our out over please so team that the then there this to up us we will with would you your".split())
+FILLER = (
+    "a", "about", "an", "and", "any", "are", "as", "at", "be", "but", "by", "can", "could", "do", "for", "from", "further", "get", "have", "here", "how", "i", "if", "in", "into", "is", "it", "just", "like", "look", "me", "more", "not", "of", "on", "once", "or", "our", "out", "over", "please", "so", "team", "that", "the", "then", "there", "this", "to", "up", "us", "we", "will", "with", "would", "you", "your",
+)
 MAX_RESIDUAL_WORDS = 3
 PART_MARKER = r"(?U)^\s*(?:@\w+\s+)*\(?(\d)\s*(?:/|of)\s*\d{1,2}\)?[\s:.\-]|^\s*(?:@\w+\s+)*\(?(\d)\)?\s*[:.](?:\s|(?=[A-Za-z]))"
 SIGNATURE = r"(?U)\s*/([A-Za-z]{1,2})(?=\s*$|\s+https?://\S+\s*$)"
@@ -39,16 +41,26 @@ MARKER_ONLY = r"(?U)^\s*(?:\(?\d\s*(?:/|of)\s*\d{1,2}\)?(?:[\s:.\-]|$)|\(?\d\)?\
 FIRST_MARKER = r"(?U)^((?:\s*@\w+)*\s*)(?:\(?\d\s*(?:/|of)\s*\d{1,2}\)?(?:[\s:.\-]|$)|\(?\d\)?\s*[:.](?:\s|$|(?=[A-Za-z])))"
 MULTIPART = r"(?U)^\s*\(?\d{1,2}\s*(?:/|of)\s*\d{1,2}\)?[\s:.\-]|[\s(]\(?\d{1,2}\s*/\s*\d{1,2}\)?\s*$|^\s*\(?\d{1,2}\)?\s*[:.]\s"
 FUNCTION_WORDS = {
-    "es": "que para por los las con una tu te cuenta gracias puedes nos".split(),
-    "pt": "que para por uma voce você nos obrigado sua seu com mais".split(),
-    "fr": "que pour vous nous votre avec merci une est sur bonjour".split(),
-    "de": "und sie wir ist nicht das den dich bitte gerne danke".split(),
-    "it": "che per una non con grazie tuo ciao sono puoi".split(),
+    "es": ("que", "para", "por", "los", "las", "con", "una", "tu", "te", "cuenta", "gracias", "puedes", "nos"),
+    "pt": ("que", "para", "por", "uma", "voce", "você", "nos", "obrigado", "sua", "seu", "com", "mais"),
+    "fr": ("que", "pour", "vous", "nous", "votre", "avec", "merci", "une", "est", "sur", "bonjour"),
+    "de": ("und", "sie", "wir", "ist", "nicht", "das", "den", "dich", "bitte", "gerne", "danke"),
+    "it": ("che", "per", "una", "non", "con", "grazie", "tuo", "ciao", "sono", "puoi"),
 }
-ENGLISH_WORDS = "the you we to and for is your this that with please can our".split()
+ENGLISH_WORDS = ("the", "you", "we", "to", "and", "for", "is", "your", "this", "that", "with", "please", "can", "our")
 INTENTS = ("playback_library", "app_bug", "content_issue", "account_access", "billing_dispute", "subscription_query", "how_to_question", "feature_request", "other")
 
 
+def once(value: Column) -> Column:
+    """value as a generated column, computed once for all that use it. A select holds one of them."""
+    return F.explode(F.array(value))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it: a lambda's variable is not copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
@@ -125,12 +137,11 @@ def is_multipart(text: Column) -> Column:
 
 def is_non_english(normal: Column) -> Column:
     """Mostly letters beyond Latin, or two function words of another language and fewer than two English ones."""
-    letters = F.regexp_count(normal, F.lit(r"\p{L}"))
-    latin = F.regexp_count(normal, F.lit(r"\p{IsLatin}"))
-    found = F.array_distinct(words(normal))
-    hits = lambda known: F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in known])))
-    foreign = reduce(lambda a, b: a | b, [hits(w) >= 2 for w in FUNCTION_WORDS.values()])
-    return F.when((letters >= 10) & (latin / letters < 0.8), True).when(hits(ENGLISH_WORDS) >= 2, False).otherwise(foreign)
+    share = let(F.regexp_count(normal, F.lit(r"\p{L}")), lambda letters: (letters >= 10) & (F.regexp_count(normal, F.lit(r"\p{IsLatin}")) / F.greatest(letters, F.lit(1)) < 0.8))
+    hits = lambda found, known: F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in known])))
+    foreign = lambda found: reduce(lambda a, b: a | b, [hits(found, w) >= 2 for w in FUNCTION_WORDS.values()])
+    spoken = let(F.array_distinct(words(normal)), lambda found: F.when(hits(found, ENGLISH_WORDS) >= 2, False).otherwise(foreign(found)))
+    return F.when(share, True).otherwise(spoken)
 
 
 def first_words(text: Column, n: int = 6) -> Column:

@@ -11,6 +11,22 @@ def lot(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with name, their place from 0 by a unique key: ranges of the key are numbered apart and shifted by what lies before them."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    part = F.lit(0)
+    for c in sorted(set(cuts or [])):
+        part = part + (F.col(key) > F.lit(c)).cast("int")
+    ranged = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = ranged.join(F.broadcast(sizes.select("_part", "_before")), "_part")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return out.withColumn(name, (F.col("_before") + own).cast("long")).drop("_part", "_before")
+
+
 def allocate(counts: DataFrame, total: int) -> DataFrame:
     """(stratum, n, quota) of counts (stratum, n): largest remainders, ties by name; raises where it cannot."""
     every = counts.agg(F.sum("n").alias("all"))

@@ -9,26 +9,9 @@ from threadloom.functions import rules as R
 from threadloom.functions import text as T
 from threadloom.operators import forest, metrics, sampling, turns, vectors
 from threadloom.plans import surrogates as S
+from threadloom.plans.registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from threadloom.sources import io
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
 # --- vectors -----------------------------------------------------------------------------------
 
 
@@ -244,17 +227,10 @@ def _turns(spark, sf_dir):
     return turns.turns(turns.clean(turns.merge_groups(S.posts(spark, sf_dir))))
 
 
-@query(f"""{_P}, q AS (SELECT conversation_id, merge_group, string_agg(id::VARCHAR, ',' ORDER BY position) AS tweet_ids, arg_min(CASE WHEN inbound THEN 'customer' ELSE 'brand' END, position) AS role, count(*) AS n_parts, count(part_number) AS n_marked,
-max(CASE WHEN inbound THEN NULL ELSE 'AB' END) AS agent_signature FROM o GROUP BY ALL)
-SELECT conversation_id, tweet_ids, role, n_parts, n_marked, agent_signature, n_parts = 1 AND n_marked = 1 AS orphan_part, row_number() OVER (PARTITION BY conversation_id ORDER BY merge_group) - 1 AS turn_index FROM q""")
+@query(f"""WITH {S.TURNS_SQL} SELECT conversation_id, array_to_string(tweet_ids, ',') AS tweet_ids, text, role, n_parts, n_marked, agent_signature, n_parts = 1 AND n_marked = 1 AS orphan_part, turn_index FROM v""")
 def merged_turns(spark, sf_dir):
     out = _turns(spark, sf_dir)
-    return out.select("conversation_id", F.array_join(F.transform("tweet_ids", lambda x: x.cast("string")), ",").alias("tweet_ids"), "role", F.col("n_parts").cast("long").alias("n_parts"), F.col("n_marked").cast("long").alias("n_marked"), "agent_signature", "orphan_part", F.col("turn_index").cast("long").alias("turn_index"))
-
-
-@query()
-def nested_conversations(spark, sf_dir):
-    return turns.nested(_turns(spark, sf_dir)).withColumn("turns", F.to_json("turns"))
+    return out.select("conversation_id", F.array_join(F.transform("tweet_ids", lambda x: x.cast("string")), ",").alias("tweet_ids"), "text", "role", F.col("n_parts").cast("long").alias("n_parts"), F.col("n_marked").cast("long").alias("n_marked"), "agent_signature", "orphan_part", F.col("turn_index").cast("long").alias("turn_index"))
 
 
 # --- text and rules ----------------------------------------------------------------------------
@@ -270,16 +246,26 @@ _HAS = f"(regexp_matches(t, {_q(T.any_of(T.REDIRECTS.values()))}) AND NOT (regex
 _LEFT = "list_filter(string_split_regex(" + _BARE.replace(_NORM, "t") + rf", '\s+'), lambda w: w <> '' AND NOT list_contains({list(T.FILLER)}, w))"
 
 
+@query(f"""WITH {S.TURNS_SQL}, n AS (SELECT *, {_NORM} AS t FROM v), d AS (SELECT conversation_id, turn_index, tweet_ids, text, agent_signature, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_index) AS r FROM n WHERE role = 'brand' AND NOT ({_HAS} AND len({_LEFT}) <= 3)),
+z AS (SELECT conversation_id, to_json(list(struct_pack(turn_index := turn_index, role := role, tweet_ids := tweet_ids, text := text) ORDER BY turn_index))::VARCHAR AS turns, sum(n_parts)::BIGINT AS n_tweets, count(*) AS n_turns FROM v GROUP BY conversation_id)
+SELECT z.*, w.tweet_ids[1] AS opening_tweet_id, w.text AS opening_text, array_to_string(d.tweet_ids, ',') AS first_reply_tweet_ids, d.text AS first_reply_text, d.agent_signature AS first_reply_signature, d.turn_index AS first_reply_turn_index
+FROM z LEFT JOIN v w ON w.conversation_id = z.conversation_id AND w.turn_index = 0 AND w.role = 'customer' LEFT JOIN d ON d.conversation_id = z.conversation_id AND d.r = 1""")
+def nested_conversations(spark, sf_dir):
+    out = turns.nested(_turns(spark, sf_dir))
+    ids = F.array_join(F.transform("first_reply_tweet_ids", lambda x: x.cast("string")), ",")
+    return out.withColumns({"turns": F.to_json("turns"), "first_reply_tweet_ids": ids, "first_reply_turn_index": F.col("first_reply_turn_index").cast("long")})
+
+
 @query(f"{_TEXT} SELECT doc_id, {_HAS} AS redirect, len({_LEFT}) AS residual_words, {_HAS} AND len({_LEFT}) <= 3 AS deflection FROM n")
 def deflection_flags(spark, sf_dir):
-    t = S.replies(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("t"))
-    return t.select("doc_id", T.has_redirect(F.col("t")).alias("redirect"), F.size(T.residual_words(F.col("t"))).cast("long").alias("residual_words"), T.is_deflection(F.col("t")).alias("deflection"))
+    t = S.replies(spark, sf_dir).select("doc_id", T.once(T.normalize(F.col("text"))).alias("t"))
+    t = t.select("doc_id", T.has_redirect(F.col("t")).alias("redirect"), T.once(F.size(T.residual_words(F.col("t"))).cast("long")).alias("residual_words"))
+    return t.withColumn("deflection", F.col("redirect") & (F.col("residual_words") <= T.MAX_RESIDUAL_WORDS))
 
 
 @query(f"{_TEXT}, x AS (SELECT {_HAS} AS h, len({_LEFT}) AS w FROM n) SELECT count(*) AS n, round(avg(h::INT::DOUBLE) * 100, 6) AS redirect_pct, round(avg((h AND w <= 3)::INT::DOUBLE) * 100, 6) AS deflection_pct, round(median(w), 6) AS median_residual FROM x")
 def deflection_rate(spark, sf_dir):
-    t = T.normalize(F.col("text"))
-    x = S.replies(spark, sf_dir).select(t.alias("t")).select(T.has_redirect(F.col("t")).alias("h"), F.size(T.residual_words(F.col("t"))).alias("w"))
+    x = S.replies(spark, sf_dir).select(T.once(T.normalize(F.col("text"))).alias("t")).select(T.has_redirect(F.col("t")).alias("h"), F.size(T.residual_words(F.col("t"))).alias("w"))
     return x.agg(F.count("*").alias("n"), r6(F.avg(F.col("h").cast("double")) * 100).alias("redirect_pct"), r6(F.avg((F.col("h") & (F.col("w") <= 3)).cast("double")) * 100).alias("deflection_pct"), r6(F.percentile("w", F.lit(0.5))).alias("median_residual"))
 
 
@@ -298,8 +284,7 @@ def pii_flags(spark, sf_dir):
 
 @query(f"WITH {S.REPLIES_SQL} SELECT doc_id, {_LEX(R.ABUSE)} AS abuse, {_LEX(R.CANCELLATION)} AS cancellation, {_LEX(R.LEGAL)} AS legal FROM r")
 def lexicon_flags(spark, sf_dir):
-    pad = R.padded(F.col("text"))
-    return S.replies(spark, sf_dir).select("doc_id", R.has_phrase(pad, R.ABUSE).alias("abuse"), R.has_phrase(pad, R.CANCELLATION).alias("cancellation"), R.has_phrase(pad, R.LEGAL).alias("legal"))
+    return S.replies(spark, sf_dir).select("doc_id", T.once(R.phrase_flags(F.col("text"))).alias("f")).select("doc_id", "f.*")
 
 
 _INTENT = f"({list(T.INTENTS)})[(doc_id % 9)::INT + 1]"
@@ -309,7 +294,7 @@ CASE WHEN {_LEX(R.CANCELLATION)} THEN 'cancellation_or_refund' END, CASE WHEN {_
 
 def _fired(spark, sf_dir):
     intent = F.element_at(F.array(*[F.lit(i) for i in T.INTENTS]), (F.col("doc_id") % 9 + 1).cast("int"))
-    return S.replies(spark, sf_dir).select("doc_id", R.signals(F.col("text"), intent, (F.col("doc_id") % 10) / 10).alias("fired"))
+    return S.replies(spark, sf_dir).select("doc_id", T.once(R.signals(F.col("text"), intent, (F.col("doc_id") % 10) / 10)).alias("fired"))
 
 
 @query(f"{_FIRED} SELECT doc_id, CASE WHEN len(fired) > 0 THEN 'escalate' ELSE 'auto' END AS decision, array_to_string(fired, ',') AS signals, CASE fired[1] " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in R.REASONS.items()) + " END AS reason FROM s")
@@ -319,7 +304,7 @@ def escalate_decision(spark, sf_dir):
 
 @query(f"{_FIRED} SELECT doc_id, " + ", ".join(f"array_to_string(list_filter(fired, lambda x: list_contains({list(v)}, x)), ',') AS {k}_signals" for k, v in R.FAMILIES.items()) + " FROM s")
 def signals_by_family(spark, sf_dir):
-    m = _fired(spark, sf_dir).select("doc_id", R.by_family(F.col("fired")).alias("m"))
+    m = _fired(spark, sf_dir).select("doc_id", T.once(R.by_family(F.col("fired"))).alias("m"))
     return m.select("doc_id", *[F.array_join(F.element_at("m", F.lit(k)), ",").alias(f"{k}_signals") for k in R.FAMILIES])
 
 
@@ -329,7 +314,7 @@ _FOREIGN = f"CASE WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= 10 A
 
 @query(f"{_TEXT} SELECT doc_id, {_FOREIGN} AS non_english FROM n")
 def non_english(spark, sf_dir):
-    t = S.replies(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("t"))
+    t = S.replies(spark, sf_dir).select("doc_id", T.once(T.normalize(F.col("text"))).alias("t"))
     return t.select("doc_id", T.is_non_english(F.col("t")).alias("non_english"))
 
 
@@ -342,7 +327,7 @@ def prefix_counts(spark, sf_dir):
 
 @query(rf"{_TEXT}, x AS (SELECT {_FOREIGN} AS f, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w FROM n) SELECT count(*) AS n, round(avg(f::INT::DOUBLE) * 100, 6) AS non_english_pct, round(avg((w < 5)::INT::DOUBLE) * 100, 6) AS short_pct, round(median(w), 6) AS median_words FROM x")
 def text_stats(spark, sf_dir):
-    x = S.replies(spark, sf_dir).select(T.is_non_english(T.normalize(F.col("text"))).alias("f"), T.word_count(F.col("text")).alias("w"))
+    x = S.replies(spark, sf_dir).select("text", T.once(T.normalize(F.col("text"))).alias("t")).select(T.is_non_english(F.col("t")).alias("f"), T.word_count(F.col("text")).alias("w"))
     return x.agg(F.count("*").alias("n"), r6(F.avg(F.col("f").cast("double")) * 100).alias("non_english_pct"), r6(F.avg((F.col("w") < 5).cast("double")) * 100).alias("short_pct"), r6(F.percentile("w", F.lit(0.5))).alias("median_words"))
 
 
@@ -387,7 +372,10 @@ def short_oversample(spark, sf_dir):
     return sampling.short_oversample(S.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", "source", "n_chars", 20, short=800).select("doc_id", "source")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, quality * 2 + toxic AS stratum FROM labels WHERE quality * 2 + toxic IS NOT NULL), c AS (SELECT stratum, count(*) AS n FROM l GROUP BY stratum),
+w(i, stratum, n, quota, rest) AS (SELECT 0, stratum, n, 0::BIGINT, 60::BIGINT FROM c UNION ALL SELECT i + 1, stratum, n, quota + give, (rest - sum(give) OVER ())::BIGINT FROM
+ (SELECT *, greatest(0, least(x, rest - (sum(x) OVER (ORDER BY stratum) - x)))::BIGINT AS give FROM (SELECT *, CASE WHEN quota < n THEN least(greatest(1, rest // greatest(1, count(*) FILTER (quota < n) OVER ())), n - quota) ELSE 0 END AS x FROM w WHERE rest > 0 AND i < 60))),
+q AS (SELECT stratum, arg_max(quota, i) AS quota FROM w GROUP BY stratum), d AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('44:' || doc_id)) AS r FROM l) SELECT doc_id, stratum FROM d JOIN q USING (stratum) WHERE r <= quota""")
 def equal_share_sample(spark, sf_dir):
     d = S.table(spark, sf_dir, "labels").withColumn("stratum", F.col("quality") * 2 + F.col("toxic")).where("stratum is not null")
     quota = sampling.equal_shares({r["stratum"]: r["n"] for r in d.groupBy("stratum").agg(F.count("*").alias("n")).collect()}, 60)

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """df dealt to all cores where it is small: a file of one row group would be one task's, however long its texts take."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * task_bytes else df
+
+
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply forest of the conversations: branching, orphans and cycles among it."""
     c = table(spark, sf_dir, "conversations").where("not (conv_id % 7 = 3 and turn = 0)")
@@ -45,7 +52,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSTS_SQL = r"""
 p AS (SELECT conv_id AS conversation_id, conv_id * 100 + turn AS id, turn % 3 = 0 AS inbound, CASE WHEN turn % 3 = 0 THEN 'cust' ELSE 'brand' END AS author_id,
    CASE WHEN turn > 0 THEN conv_id * 100 + (turn - 1) // 2 END AS parent, CASE WHEN conv_id % 2 = 1 AND turn IN (1, 2) THEN 3 - turn ELSE turn END AS ts,
-   CASE WHEN turn BETWEEN 0 AND 9 THEN turn END AS part_number
+   CASE WHEN turn BETWEEN 0 AND 9 THEN turn END AS part_number, turn, '@u' || conv_id AS who, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body
   FROM conversations),
 l AS (SELECT *, lag(author_id) OVER w AS a0, lag(inbound) OVER w AS i0, lag(parent) OVER w AS p0, lag(id) OVER w AS id0 FROM p WINDOW w AS (PARTITION BY conversation_id ORDER BY ts, id)),
 g AS (SELECT *, sum(CASE WHEN coalesce(a0 = author_id AND NOT i0 AND NOT inbound AND (p0 = parent OR parent = id0), false) THEN 0 ELSE 1 END) OVER (PARTITION BY conversation_id ORDER BY ts, id) AS merge_group FROM l),
@@ -74,7 +81,7 @@ REPLIES = (
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): each document's id with one of the replies, and the documents' own texts."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     known = F.array(*[F.lit(r) for r in REPLIES])
     return d.select("doc_id", F.element_at(known, (F.col("doc_id") % len(REPLIES) + 1).cast("int")).alias("text")).unionByName(d.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text"))
 
@@ -84,3 +91,12 @@ def _quoted(x: str) -> str:
 
 
 REPLIES_SQL = f"r AS (SELECT doc_id, ([{', '.join(map(_quoted, REPLIES))}])[(doc_id % {len(REPLIES)})::INT + 1] AS text FROM documents UNION ALL SELECT doc_id + 1000000000, text FROM documents)"
+
+#: The turns of POSTS_SQL with their texts: signatures of outbound tweets go, and of merged ones the markers and later mentions.
+TURNS_SQL = POSTS_SQL.rstrip() + r""",
+e AS (SELECT *, count(*) OVER (PARTITION BY conversation_id, merge_group) AS parts, rtrim(who || ' ' || turn || ': ' || body) AS signed FROM o),
+x AS (SELECT *, CASE WHEN inbound THEN signed || ' /AB' WHEN position > 0 AND turn < 10 THEN CASE WHEN body = '' THEN signed ELSE body END WHEN position > 0 THEN rtrim(turn || ': ' || body) WHEN parts > 1 AND turn < 10 THEN rtrim(who || ' ' || body) ELSE signed END AS said FROM e),
+q AS (SELECT conversation_id, merge_group, list(id ORDER BY position) AS tweet_ids, arg_min(CASE WHEN inbound THEN 'customer' ELSE 'brand' END, position) AS role, count(*) AS n_parts, count(part_number) AS n_marked,
+   max(CASE WHEN inbound THEN NULL WHEN body IS NOT NULL THEN 'AB' END) AS agent_signature, coalesce(string_agg(said, ' ' ORDER BY position), '') AS text FROM x GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY merge_group) - 1 AS turn_index FROM q)
+"""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.sources.checks import expect_unique
+
 TWEETS = T.StructType(
     [
         T.StructField("tweet_id", T.LongType(), False),
@@ -31,15 +36,10 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     bad = out.where(F.col("_ts").isNull() & F.col("created_at").isNotNull())
     if n := bad.count():
         raise ValueError(f"{n} stamps do not match the format, such as {[r[0] for r in bad.select('created_at').limit(5).collect()]}")
-    expect_key(out, "tweet_id")
+    expect_unique(out, "tweet_id")
     return out.withColumn("created_at", F.col("_ts")).drop("_ts")
 
 
-def expect_key(df: DataFrame, key: str) -> None:
-    twice = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
-    assert twice.limit(1).count() == 0, f"{key} repeats or is null"
-
-
 def read_latest(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
     """JSON lines, broken ones skipped; the last record of a key counts."""
     lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
@@ -50,3 +50,57 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType, key: str)
 def upsert(existing: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
     """existing with the rows of fresh in place of those of the same key."""
     return existing.join(fresh, key, "left_anti").unionByName(fresh)
+
+
+def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines, blank ones skipped; a broken one raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def cached_or_raw(spark: SparkSession, parquet: str, csv: str) -> DataFrame:
+    """The Parquet copy of the tweets where there is one, else the CSV; how old the copy is isn't asked."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(parquet)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(parquet) if there else read_tweets(spark, csv)
+
+
+def write_rows(df: DataFrame, path: str, kind: str = "parquet", append: bool = False) -> None:
+    """Parquet or JSON lines in place of what is there, or beside it."""
+    df.write.mode("append" if append else "overwrite").format(kind).save(path)
+
+
+def append_record(path: str, record: dict) -> None:
+    """One JSON line at the end of a driver's file, on disk when this returns, so that a session can be resumed."""
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(json.dumps(record, ensure_ascii=False) + "\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def write_report(path: str, tables: dict) -> None:
+    """A nested report, small tables as lists of rows, as one JSON file that appears whole."""
+    as_rows = {k: [r.asDict(recursive=True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in tables.items()}
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        json.dump(as_rows, f, indent=2, ensure_ascii=False, default=str)
+    os.replace(f"{path}.part", path)
+
+
+def merge_scores(existing: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
+    """upsert, each key once on either side and after, in the order of the key."""
+    expect_unique(fresh, *key)
+    out = upsert(existing, fresh, key)
+    expect_unique(out, *key)
+    return out.orderBy(*key)
+
+
+def read_exemplars(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(id): conversations listed on exemplar pages, each once; no page, or one that lists none, raises."""
+    if not paths:
+        raise FileNotFoundError("there are no exemplar pages")
+    found = None
+    for path in paths:
+        ids = spark.read.text(path).select(F.regexp_extract("value", r"^- `(\d+)`", 1).alias("id")).where("id <> ''").select(F.col("id").cast("long").alias("id"))
+        if not ids.limit(1).count():
+            raise ValueError(f"{path} lists no exemplars")
+        found = ids if found is None else found.union(ids)
+    return found.distinct()
