@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Stands for a null id inside packed blocks; it sorts after every real id.
 NULL_ID = 2**63 - 1
@@ -100,6 +101,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def places(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """df with name, each row's place from 0 in its group by order. A large group is cut into ranges, so that no task holds it whole."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(partitions(spark), F.col(group).asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranged")
+    sizes = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before > 0").drop("_n")
+    out = ranged.join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
+    return out.withColumn(name, own + F.coalesce("_before", F.lit(0))).drop("_g", "_r", "_range", "_before")
+
+
 # --- packed blocks -----------------------------------------------------------------------------
 
 def pack(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
