@@ -18,6 +18,13 @@ TEMPLATES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "unlicense": "this is free and unencumbered software released into the public domain",
     "mit-notice": "released under the mit license",
     "all-rights-reserved": "all rights reserved",
 }
@@ -28,12 +35,13 @@ NEAR = 2
 #: Rows of template 2-grams up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def word_array(text: Column) -> Column:
-    """Words of a text: runs of digits, letters and all characters beyond ASCII; a null text has none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN)
+    """Words of a text: runs of digits, letters and all characters beyond ASCII, A-Z lower-cased and nothing else; a null text has none."""
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _BETWEEN)
     # Separators at either end leave an empty string there.
     first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
     last = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
