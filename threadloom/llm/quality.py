@@ -16,6 +16,9 @@ _WORD = re.compile(r"\w+")
 #: Words seen in fewer labelled documents of the sample say nothing.
 MIN_DOCS = 5
 
+#: Sites up to which their sums are broadcast; beyond, the join shuffles, and Spark splits hot sites.
+BROADCAST_SITES = 100_000
+
 
 def shape(text: str) -> tuple[list[float], list[int]]:
     """Ten figures of a text's form, and its distinct words by their crc32, rising."""
@@ -104,17 +107,27 @@ def _strength(sites: DataFrame, mean: Column, parent: Column) -> float:
 
 
 def posteriors(scored: DataFrame, p: str, host: str = "host", path: str = "path") -> DataFrame:
-    """(host, path, host_p, path_p): mean of p by host shrunk to the global mean, and by path shrunk to its host's."""
+    """(host, path, host_p, path_p, global_p, ...): mean of p by host shrunk to the global mean, and by path shrunk to its host's.
+
+    The sums (host_k, host_n, path_k, path_n) and strengths (host_m, path_m) let a document be left out of its own site.
+    """
     paths = scored.groupBy(host, path).agg(F.sum(p).alias("k"), F.count(p).alias("n"))
     hosts = paths.groupBy(host).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     whole = hosts.agg(F.sum("k"), F.sum("n")).first()
     overall = ((whole[0] or 0.0) + 1) / ((whole[1] or 0) + 2)
     rate = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(overall)
     m = _strength(hosts, rate, F.lit(overall))
-    hosts = hosts.select(F.col(host).alias("_h"), ((F.col("k") + m * overall) / (F.col("n") + m)).alias("host_p"))
+    hosts = hosts.select(F.col(host).alias("_h"), ((F.col("k") + m * overall) / (F.col("n") + m)).alias("host_p"), F.col("k").alias("host_k"), F.col("n").alias("host_n"), F.lit(m).alias("host_m"))
     joined = paths.join(hosts, F.col(host).eqNullSafe(F.col("_h"))).drop("_h")
     m = _strength(joined, F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(F.col("host_p")), F.col("host_p"))
-    return joined.select(host, path, "host_p", ((F.col("k") + m * F.col("host_p")) / (F.col("n") + m)).alias("path_p"), F.lit(overall).alias("global_p"))
+    return joined.select(host, path, "host_p", ((F.col("k") + m * F.col("host_p")) / (F.col("n") + m)).alias("path_p"), F.lit(overall).alias("global_p"), "host_k", "host_n", "host_m", F.col("k").alias("path_k"), F.col("n").alias("path_n"), F.lit(m).alias("path_m"))
+
+
+def left_out(p: str) -> tuple[Column, Column]:
+    """(host, path) posteriors of a document's site from the other documents only; p null: it isn't among them."""
+    own, one = F.coalesce(p, F.lit(0.0)), F.col(p).isNotNull().cast("int")
+    by_host = (F.greatest(F.col("host_k") - own, F.lit(0.0)) + F.col("host_m") * F.col("global_p")) / (F.col("host_n") - one + F.col("host_m"))
+    return by_host, (F.greatest(F.col("path_k") - own, F.lit(0.0)) + F.col("path_m") * by_host) / (F.col("path_n") - one + F.col("path_m"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", section_col: str = "lang", sample_docs: int = 8_000, keep_from: float = 0.5, toxic_from: float = 0.5) -> DataFrame:
@@ -124,7 +137,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     documents whose id hashes lowest (labels: id_col, quality, toxic; rows with a null are left
     out). Everything else covers all documents: their probabilities are averaged by host and by
     path (host and section), shrunk towards the parents by strengths estimated from all sites, and
-    a document's log-odds move by its path's log-odds against the global ones. keep: quality of
+    a document's log-odds move by the log-odds of its path's other documents against the global
+    ones: its own evidence counts once. keep: quality of
     keep_from at least and toxic under toxic_from. A null text gets its path's posterior; null
     hosts and sections are sites; rows stay one to one; without labels all are at the prior.
     """
@@ -141,8 +155,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sure = lambda c: 1 / (1 + F.exp(-F.col(c)))
     scored = scored.withColumns({"quality_doc": sure("q"), "toxic_doc": sure("x")})
     for p in ("quality", "toxic"):
-        site = posteriors(scored, f"{p}_doc").select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("host_p").alias(f"{p}_host"), F.col("path_p").alias(f"{p}_path"), F.col("global_p").alias(f"{p}_all"))
-        scored = scored.join(site, F.col("host").eqNullSafe(F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
+        site = posteriors(scored, f"{p}_doc").drop("host_p", "path_p").withColumnsRenamed({"host": "_h", "path": "_p"})
+        site = F.broadcast(site) if site.count() <= BROADCAST_SITES else site
+        sums = site.columns
+        scored = scored.join(site, F.col("host").eqNullSafe(F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+        by_host, by_path = left_out(f"{p}_doc")
+        scored = scored.withColumns({f"{p}_host": by_host, f"{p}_path": by_path, f"{p}_all": F.col("global_p")}).drop(*sums)
         doc = F.coalesce(F.col("q" if p == "quality" else "x"), _logit(F.col(f"{p}_all")))
         scored = scored.withColumn(p, 1 / (1 + F.exp(-(doc + _logit(F.col(f"{p}_path")) - _logit(F.col(f"{p}_all"))))))
     keep = (F.col("quality") >= keep_from) & (F.col("toxic") < toxic_from)
