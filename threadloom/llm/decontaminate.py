@@ -70,14 +70,16 @@ def window_starts(hits: str, m: str, similar: float) -> Column:
     return F.flatten(F.transform(F.filter(each, lambda r: r["low"] <= r["high"]), lambda r: F.sequence(r["low"], r["high"])))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR, every_window: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity) of each document and item that it holds.
 
     Words are lower-cased runs of letters and digits. A window has as many words as an item and may
     start at any word, or before the text or end after it, with those of its words that are there.
     Windows with fewer places of the item's shingles than the part `similar` of them are left out:
     what two sets of shingles share is at most those places, and their union is at least the item,
-    so none of them can be similar, in whatever order the item's parts stand.
+    so none of them can be similar, in whatever order the item's parts stand. every_window: all
+    windows of all texts are fingerprinted and looked up; the result is the same, at a cost in
+    proportion to the words times the number of item sizes.
     The others' SimHashes are looked up in the items' multi-index, and candidates verified on their
     weighted shingles. The best window of each pair is returned, the first of equal ones. Null and
     empty texts, and texts and items of fewer than five words, match nothing; repeated rows and rows
@@ -95,7 +97,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     # A similar window has at least the part `similar` of the item's shingles, so the document has them.
     pairs = hits.groupBy("doc_id", "k", "item_id", "n", "m").agg(F.collect_set("at").alias("found"), F.sort_array(F.collect_set("pos")).alias("hits"))
     pairs = pairs.where(F.size("found") >= similar * F.col("m"))
-    windows = pairs.select("doc_id", "k", "n", F.explode(window_starts("hits", "m", similar)).alias("start")).distinct()
+    if every_window:
+        sizes = items.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+        long = rows.select("doc_id", "k", F.size(word_array(F.col("_t"))).alias("words")).where(F.col("words") >= SHINGLE).distinct()
+        each = long.crossJoin(F.broadcast(sizes)).select("doc_id", "k", "words", F.explode("sizes").alias("n"))
+        windows = each.select("doc_id", "k", "n", F.explode(F.sequence(SHINGLE - F.col("n"), F.col("words") - SHINGLE)).alias("start"))
+    else:
+        windows = pairs.select("doc_id", "k", "n", F.explode(window_starts("hits", "m", similar)).alias("start")).distinct()
     by_doc = windows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "windows")
     held = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).dropDuplicates(["doc_id", "k"])
