@@ -127,15 +127,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     base = with_features(base.withColumns({"rule": rule, "said": verdict}))
     labelled = base.where(F.col("rule").isNotNull())
     block = (F.col("said") == "block").cast("double")
-    stats = labelled.groupBy("suffix").agg(F.sum(block).alias("blocked"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(1000).collect()
-    total, blocked = sum(r["n"] for r in stats), sum(r["blocked"] for r in stats)
-    overall = (blocked + 1) / (total + 2)
-    rates = {r["suffix"]: (r["blocked"] + prior * overall) / (r["n"] + prior) for r in stats}
-    rate = F.lit(overall)
-    if rates:
-        known = F.create_map(*[F.lit(v) for kv in rates.items() for v in kv])
-        rate = F.coalesce(F.element_at(known, F.col("suffix")), F.lit(overall))
-    base = base.withColumn("suffix_rate", rate)
+    stats = labelled.groupBy("suffix").agg(F.sum(block).alias("blocked"), F.count("*").alias("n"))
+    whole = stats.agg(F.sum("blocked"), F.sum("n")).first()
+    overall = ((whole[0] or 0.0) + 1) / ((whole[1] or 0) + 2)
+    rates = stats.select(F.col("suffix").alias("_s"), ((F.col("blocked") + prior * overall) / (F.col("n") + prior)).alias("_rate"))
+    # One row for each suffix: Spark broadcasts them where they are small, and splits a hot suffix where not.
+    base = base.join(rates, F.col("suffix") == F.col("_s"), "left").withColumn("suffix_rate", F.coalesce("_rate", F.lit(overall))).drop("_s", "_rate")
     sample = base.where(F.col("rule").isNotNull()).select(*FEATURES, block.alias("y"), F.xxhash64(F.lit(seed), "url").alias("h")).orderBy("h", *FEATURES).limit(sample_rows).toPandas()
     model = Trees.fit(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float))
     scored = base.withColumn("p_block", model.column([F.col(f) for f in FEATURES]))
