@@ -31,21 +31,26 @@ def fit(train: DataFrame, text_col: str, lang_col: str, order_col: str, docs_per
     """One raw-content dictionary for each language.
 
     Bounded sample, whatever the size of train: of each language, the docs_per_language documents
-    whose order_col hashes lowest, in that order, until dictionary_bytes are full; only the
-    max_languages most frequent languages are learned. Null texts and languages are left out.
+    whose order_col hashes lowest, in that order, until dictionary_bytes are full. Every language is
+    learned, up to max_languages of them (most documents first, then by name), which bounds the
+    dictionaries that go to each task. Null texts and languages are left out.
     """
     known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ranked = known.select(F.col(lang_col).alias("_lang"), F.xxhash64(F.col(order_col)).alias("_h"), F.col(order_col).alias("_id"))
+    known = known.select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(order_col)).alias("_h"), F.col(order_col).alias("_id"), F.col(text_col).cast("string").substr(1, dictionary_bytes).alias("_t"))
+    learned = known.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages).select("_lang")
+    ranked = known.drop("_t").join(F.broadcast(learned), "_lang", "left_semi").select("_lang", "_h", "_id")
     window = Window.partitionBy("_lang").orderBy("_h", "_id")
     chosen = ranked.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= docs_per_language)
-    ids = [r["_id"] for r in chosen.select("_id").distinct().collect()]
-    rows = known.where(F.col(order_col).isin(ids)).select(F.col(lang_col).alias("l"), F.xxhash64(F.col(order_col)).alias("h"), F.col(text_col).substr(1, dictionary_bytes).alias("t")).collect()
+    # At most docs_per_language * max_languages rows, here and in the texts below.
+    rows = known.join(F.broadcast(chosen.select("_lang", "_id").distinct()), ["_lang", "_id"], "left_semi")
+    # Of a repeated id's texts the first ones by their order make up the number.
+    again = Window.partitionBy("_lang").orderBy("_h", "_id", "_t")
+    rows = rows.withColumn("_r", F.row_number().over(again)).where(F.col("_r") <= docs_per_language).select(F.col("_lang").alias("l"), F.col("_h").alias("h"), F.col("_t").alias("t")).collect()
     texts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["h"], r["t"])):
         texts.setdefault(r["l"], []).append(normal(r["t"]))
-    largest = sorted(texts, key=lambda k: (-sum(map(len, texts[k])), k))[:max_languages]
     out = {}
-    for lang in sorted(largest):
+    for lang in sorted(texts):
         parts, room = [], dictionary_bytes
         for t in texts[lang]:
             parts.append(t[:room])
@@ -110,9 +115,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     of docs that have one of the added names are replaced.
     """
     model = fit(docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()), text_col, lang_col, id_col, **bounds)
-    judged = docs.withColumn("_p", predict(F.col(text_col), model))
+    p = "_p"
+    while p in docs.columns:
+        p += "_"
+    judged = docs.withColumn(p, predict(F.col(text_col), model))
     # Kept out of the Python node's way: the flags are plain expressions of its result.
-    return judged.withColumns({"held_out": held_out(F.col(id_col)), "lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score"), "margin": F.col("_p.margin"), "rejected": (F.col("_p.lang_pred") == "und") | (F.col("_p.margin") < min_margin)}).drop("_p")
+    return judged.withColumns({"held_out": held_out(F.col(id_col)), "lang_pred": F.col(p)["lang_pred"], "score": F.col(p)["score"], "margin": F.col(p)["margin"], "rejected": (F.col(p)["lang_pred"] == "und") | (F.col(p)["margin"] < min_margin)}).drop(p)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
