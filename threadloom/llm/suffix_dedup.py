@@ -3,8 +3,9 @@
 Four passes over the packed text, which itself never moves again:
 
 1. Each window of WIDTH bytes has an anchor, the 16-byte string in it that hashes lowest (the first
-   of equal ones). Equal windows have equal anchors at equal places in them, so a window whose
-   anchor hash occurs once in the corpus has no equal. Blocks send their anchors' hashes, counted
+   of equal ones). Equal windows have equal anchors at equal places in them, and equal bytes beside
+   them, so a window whose anchor, with the bytes on the side where it holds more, occurs once in
+   the corpus has no equal. Blocks send their anchors' hashes, counted
    once more than once, to hash buckets; the buckets answer which occur again.
 2. Around each such anchor the stretch of text whose windows it anchors goes to the anchor's bucket.
    Of equal stretches a block sends the first only: all windows of the others also start earlier.
@@ -39,7 +40,7 @@ _PIECE = 1 << 15
 
 
 def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first window, last window) of each anchor; windows are named by their starts."""
+    """(place, hash, first window, last window) of each anchor and side, see keyed; windows are named by their starts."""
     data = block.bytes
     n = len(data)
     if n < width:
@@ -71,8 +72,27 @@ def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, n
     place = owner[windows]
     new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[new[1:], len(windows)] - 1
-    at = place[new]
-    return at, h[at], windows[new], windows[last]
+    return keyed(block, place[new], windows[new], windows[last], width)
+
+
+def keyed(block: Block, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first window, last window) with an anchor's windows parted by the side on which they hold more.
+
+    The later ones hold half of what a window has beyond an anchor behind it, the earlier ones at
+    least as much before it. The hash is that of the anchor with those bytes, so a frequent anchor
+    is as many keys as it has surroundings. Equal windows hold their anchor at equal places, so they
+    are of one side and one key.
+    """
+    half = (width - GRAM) // 2
+    turn = at - (width - GRAM - half)
+    later, sooner = high >= turn, low < turn
+    sums = prefix_sums(block.bytes)
+    behind = spans(sums, at[later], at[later] + GRAM + half)
+    before = mix(spans(sums, turn[sooner] - 1, at[sooner] + GRAM) + np.uint64(1))
+    place, key = np.r_[at[sooner], at[later]], np.r_[before, behind]
+    first, last = np.r_[low[sooner], np.maximum(low, turn)[later]], np.r_[np.minimum(high, turn - 1)[sooner], high[later]]
+    order = np.argsort(first, kind="stable")
+    return place[order], key[order], first[order], last[order]
 
 
 def _count_pass(buckets: int, width: int):
