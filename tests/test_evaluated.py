@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom import __main__ as cli
 from threadloom.functions import judging as J
-from threadloom.operators import answering, calls, clusters, evaluation, judging, labelling, sampling, survey
+from threadloom.operators import answering, calls, clusters, evaluation, forest, judging, labelling, metrics, sampling, survey, turns
 from threadloom.sources import checks, io
 
 GOOD = '{"groundedness": 4, "correctness": 5, "tone": 3}'
@@ -256,3 +256,39 @@ def test_command_line(spark, tmp_path, capfd):
     row = spark.read.parquet(p("s")).first()
     assert (row["n_turns"], row["opening_text"], row["first_reply_signature"]) == (2, "help, my\nmusic", "AB")
     assert "acme" in capfd.readouterr().out
+
+
+def test_paths_and_edges(spark):
+    rows = [(1, None, 0), (2, 1, 1), (3, 2, 2), (7, 8, 0), (8, 9, 0), (9, 8, 0), (5, 404, 1)]
+    t = spark.createDataFrame([(i, p, True, m) for i, p, m in rows], "id long, parent long, inbound boolean, m long").withColumn("ts", F.timestamp_seconds("m")).drop("m")
+    assert {r["id"]: r["path"] for r in forest.paths(t, [3, 1, 7, 8, 5]).collect()} == {1: [1], 3: [1, 2, 3], 7: [9, 8, 7], 8: [9, 8], 5: [5]}
+    with pytest.raises(KeyError):
+        forest.paths(t, [3, 99])
+    late = t.withColumn("ts", F.when(F.col("id") == 2, F.timestamp_seconds(F.lit(-5))).otherwise(F.col("ts")))
+    with pytest.warns(UserWarning, match="older"):
+        assert forest.warn_backwards(late).first()["backwards"] == 1
+
+
+def test_signature_of_the_first_reply(spark):
+    rows = [(1, 0, "customer", "help", None), (1, 1, "brand", "restart the app and sign in once more", None), (1, 2, "brand", "then clean every downloaded file again", "LS")]
+    t = spark.createDataFrame(rows, "conversation_id long, turn_index int, role string, text string, agent_signature string")
+    assert turns.first_reply(t).first()["agent_signature"] is None
+    both = turns.first_reply(t, compat=True).first()
+    assert (both["turn_index"], both["agent_signature"]) == (1, "LS")
+
+
+def test_quotas_of_strata(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 2 if i < 8 else 9) for i in range(60)], "id long, s string, w int")
+    quota = spark.createDataFrame([("a", 10), ("b", 20)], "stratum string, quota long")
+    got = sampling.short_oversample(rows, "id", "s", "w", quota).collect()
+    assert {s: (sum(r["s"] == s for r in got), sum(r["s"] == s and r["w"] < 5 for r in got)) for s in "ab"} == {"a": (10, 1), "b": (20, 2)}
+
+
+def test_ranges_of_metrics(spark):
+    one = metrics.confusion(spark.createDataFrame([("a", "a")], "y_true string, y_pred string"), metrics.labels(spark, "a"))
+    with pytest.raises(ValueError, match="two labels"):
+        metrics.kappa(one)
+    with pytest.raises(ValueError, match="percentiles"):
+        metrics.bootstrap(spark.createDataFrame([(0, 1.0)], "pos long, hit double"), 5, low=2.5)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.read_tweets(spark, "/nowhere/tweets.csv")

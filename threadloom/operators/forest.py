@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,33 @@ def edge_check(tweets: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("claims"), F.count_if(F.col("t").isNull()).alias("absent"), F.count_if(F.col("t").isNotNull() & ~F.col("p").eqNullSafe(F.col("claimer"))).alias("contradicting"))
 
 
+def paths(tweets: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, path): ids from the root, or from where a circle closes, down to each of the ids asked for; an unknown one raises."""
+    base = parents(tweets).select("id", "parent")
+    asked = base.where(F.col("id").isin(list(ids)))
+    if asked.count() != len(set(ids)):
+        raise KeyError(f"not all of {sorted(set(ids))[:5]} are tweets")
+    open_ = cut(asked.select("id", F.array("id").alias("path"), F.col("parent").alias("up")))
+    done = None
+    while True:
+        ends = F.col("up").isNull() | F.array_contains("path", F.coalesce("up", F.lit(-1)))
+        ready = open_.where(ends).select("id", "path")
+        done = ready if done is None else done.union(ready)
+        if not open_.where(~ends).limit(1).count():
+            return done
+        above = base.select(F.col("id").alias("a"), F.col("parent").alias("next"))
+        open_ = cut(open_.where(~ends).join(above, F.col("up") == F.col("a")).select("id", F.concat(F.array("up"), "path").alias("path"), F.col("next").alias("up")))
+
+
+def warn_backwards(tweets: DataFrame, most: float = 0.01) -> DataFrame:
+    """backwards(), with a warning where more than that part of the edges run back in time."""
+    counts = cut(backwards(tweets))
+    row = counts.first()
+    if row["edges"] and row["backwards"] > most * row["edges"]:
+        warnings.warn(f"{row['backwards']} of {row['edges']} replies are older than what they answer", stacklevel=2)
+    return counts
+
+
 def backwards(tweets: DataFrame) -> DataFrame:
     up = tweets.select(F.col("id").alias("p_id"), F.col("ts").alias("p_ts"))
     return tweets.join(up, F.col("parent") == F.col("p_id")).agg(F.count("*").alias("edges"), F.count_if(F.col("ts") < F.col("p_ts")).alias("backwards"))

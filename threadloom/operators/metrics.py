@@ -43,6 +43,8 @@ def macro_f1(report: DataFrame) -> DataFrame:
 
 def kappa(matrix: DataFrame) -> DataFrame:
     """(n, accuracy, kappa, qw_kappa): kappa 0 where chance agreement is 1; weights are squared distances of positions."""
+    if matrix.select("true_pos").distinct().limit(2).count() < 2:
+        raise ValueError("weighted agreement needs two labels at least")
     rows = matrix.groupBy(F.col("true_pos").alias("i")).agg(F.sum("n").alias("r"))
     cols = matrix.groupBy(F.col("pred_pos").alias("j")).agg(F.sum("n").alias("c"))
     cells = matrix.join(F.broadcast(rows), F.col("true_pos") == F.col("i")).join(F.broadcast(cols), F.col("pred_pos") == F.col("j"))
@@ -62,6 +64,8 @@ def bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 42, low: floa
     mean of hit by default. Draw p of resample r is the number in the first
     eight hex digits of md5('seed:r:p'), modulo n.
     """
+    if not 0 <= low <= high <= 1:
+        raise ValueError("percentiles are from 0 to 1")
     spark = pairs.sparkSession
     metric = F.avg("hit") if metric is None else metric
     n = pairs.count()

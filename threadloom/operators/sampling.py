@@ -61,13 +61,21 @@ def equal_shares(counts: dict, total: int) -> dict:
     return quota
 
 
-def short_oversample(rows: DataFrame, id_col: str, stratum_col: str, words_col: str, quota: int, short: int = 5, part: float = 0.10, seed: int = 42) -> DataFrame:
-    """quota rows of each stratum, bround(quota * part) of them short where there are so many, the rest long, then what is left."""
+def short_oversample(rows: DataFrame, id_col: str, stratum_col: str, words_col: str, quota: int | DataFrame, short: int = 5, part: float = 0.10, seed: int = 42) -> DataFrame:
+    """quota rows of each stratum, bround(quota * part) of them short where there are so many, the rest long, then what is left.
+
+    quota may be a frame (stratum, quota), as allocate gives; a stratum it lacks has none.
+    """
+    if isinstance(quota, DataFrame):
+        rows = rows.join(quota.select(F.col("stratum").alias("_s"), F.col("quota").alias("_quota")), F.col(stratum_col).eqNullSafe(F.col("_s"))).drop("_s")
+    else:
+        rows = rows.withColumn("_quota", F.lit(quota))
+    quota = F.col("_quota")
     is_short = F.col(words_col) < short
     key = lot(seed, F.col(id_col))
     rank = F.row_number().over(Window.partitionBy(stratum_col, is_short).orderBy(key))
-    want_short = F.bround(F.lit(quota * part)).cast("int")
-    first = F.when(is_short, rank <= want_short).otherwise(rank <= F.lit(quota) - want_short)
+    want_short = F.bround(quota * part).cast("int")
+    first = F.when(is_short, rank <= want_short).otherwise(rank <= quota - want_short)
     out = rows.withColumn("_first", first)
     fill = F.row_number().over(Window.partitionBy(stratum_col).orderBy(F.desc("_first"), key))
-    return out.withColumn("_n", fill).where(F.col("_n") <= quota).drop("_first", "_n")
+    return out.withColumn("_n", fill).where(F.col("_n") <= quota).drop("_first", "_n", "_quota")

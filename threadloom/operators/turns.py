@@ -63,10 +63,16 @@ def turns(cleaned: DataFrame) -> DataFrame:
     return out.withColumn("turn_index", F.row_number().over(Window.partitionBy("conversation_id").orderBy("merge_group")) - 1)
 
 
-def first_reply(turned: DataFrame) -> DataFrame:
-    """The first brand turn of each conversation that is more than a deflection."""
+def first_reply(turned: DataFrame, compat: bool = False) -> DataFrame:
+    """The first brand turn of each conversation that is more than a deflection.
+
+    compat: where that is unsigned, the signature of the next such turn that is signed.
+    """
     own = turned.where(F.col("role") == "brand").where(~T.is_deflection(T.normalize(F.col("text"))))
     rank = F.row_number().over(Window.partitionBy("conversation_id").orderBy("turn_index"))
+    if compat:
+        onward = Window.partitionBy("conversation_id").orderBy("turn_index").rowsBetween(0, Window.unboundedFollowing)
+        own = own.withColumn("agent_signature", F.first("agent_signature", ignorenulls=True).over(onward))
     return own.withColumn("r", rank).where("r = 1").drop("r")
 
 
