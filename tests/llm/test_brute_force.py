@@ -103,7 +103,7 @@ def test_a_document_is_not_its_own_evidence(spark):
     assert alone["a"] == pytest.approx(alone["global_p"]) and alone["b"] == pytest.approx(alone["global_p"])
 
 
-def test_filter_loses_no_window(spark):
+def test_windows_as_native_and_by_hand(spark):
     r = random.Random(45)
     known = [f"w{i}" for i in range(120)]
     items = [(i, [r.choice(known) for _ in range(n)]) for i, n in enumerate([15, 22, 22, 40])]
@@ -116,7 +116,7 @@ def test_filter_loses_no_window(spark):
         rows.append((len(rows), " ".join(w + part + w[::-1])))
     rows += [(100, None), (101, ""), (102, "w1 w2")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
-    got, full = (sorted(map(tuple, decontaminate.matches(docs, bench, every_window=e).collect())) for e in (False, True))
+    got, full = (sorted(map(tuple, run(docs, bench).collect())) for run in (decontaminate.matches, decontaminate.native))
     want = best_windows_by_hand([(i, t or "") for i, t in rows], [(i, " ".join(w)) for i, w in items])
     assert got == full and len(want) > 10
     found = {(d, i) for d, i, *_ in got}

@@ -1,19 +1,30 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only."""
+"""Benchmark decontamination by SimHash of item-sized windows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.llm.license_scan import word_array
+from threadloom.llm.shared import written
 
 SHINGLE = 5
 #: Fingerprints within this Hamming distance are candidates: at a similarity of 0.8 windows differ
 #: in 10 of 64 bits on average (standard deviation 3), so 21 is beyond what a window comes to.
 RADIUS = 21
 SIMILAR = 0.8
-#: Rows of benchmark shingles up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Blocks of 16 bits that the multi-index cuts fingerprints into, and items that one of its tables holds.
+BLOCKS, GROUP = 4, 8
+#: Places of which the windows are fingerprinted at once (their sums fit a core's cache), and shingles of documents laid end to end.
+STEP, ROW_WORDS = 4096, 500_000
+#: Items, and words of items, that a pass over the documents compares them with.
+BLOCK_ITEMS, BLOCK_WORDS = 256, 200_000
 
 
 def shingle_rows(words: str, k: int = SHINGLE) -> Column:
@@ -22,10 +33,6 @@ def shingle_rows(words: str, k: int = SHINGLE) -> Column:
     return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(k)])
 
 
-def _hashed(g: str, k: int = SHINGLE) -> Column:
-    return F.xxhash64(*[F.col(f"{g}.w{i}") for i in range(k)])
-
-
 def once(value: Column) -> Column:
     """value as a generated column, which the optimizer doesn't copy into each place that uses it."""
     return F.explode(F.array(value))
@@ -57,68 +64,184 @@ def weighted_jaccard(a: str, b: str) -> Column:
     return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
 
-def window_starts(hits: str, m: str, similar: float) -> Column:
-    """Starts of all windows of m shingles that hold at least the part `similar` of m places in hits (sorted).
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, n, item_grams) of the items of at least SHINGLE words."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
+    return items.select("item_id", F.size("words").alias("n"), _all_hashed("words").alias("item_grams"))
+
+
+def _all_hashed(words: str) -> Column:
+    return F.transform(shingle_rows(words), lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)]))
 
-    From each place on, the window must reach `least - 1` places further; a start at or before the
-    place before is that one's. A window that begins before the text has a negative start.
-    """
-    least = F.greatest(F.ceil(F.lit(similar) * F.col(m) - F.lit(1e-9)).cast("int"), F.lit(1))
-    at = lambda i: F.element_at(hits, i)
-    low = lambda i: F.greatest(at(i + least - 1) - F.col(m) + 1, F.when(i > 1, at(F.greatest(i - 1, F.lit(1))) + 1))
-    each = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(hits) - least + 1, F.lit(1))), lambda i: i + least - 1 <= F.size(hits)), lambda i: F.struct(low(i).alias("low"), at(i).alias("high")))
-    return F.flatten(F.transform(F.filter(each, lambda r: r["low"] <= r["high"]), lambda r: F.sequence(r["low"], r["high"])))
 
+def _signs(hashes: np.ndarray) -> np.ndarray:
+    """Of each hash its 64 bits, lowest first, as 1 and -1."""
+    return (np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).view(np.int8) << 1) - np.int8(1)
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR, every_window: bool = False) -> DataFrame:
+
+def _packed(ones: np.ndarray) -> np.ndarray:
+    return np.packbits(ones.reshape(-1), bitorder="little").view(np.uint64)
+
+
+class _Index:
+    """Multi-index of some items' fingerprints, by item size.
+
+    A fingerprint within radius of another is within radius // BLOCKS of it in one 16-bit block at
+    least. A table for each block says of each value which items (one bit each, GROUP in a table) it
+    is that near to.
+    """
+
+    def __init__(self, grams: list[np.ndarray], radius: int):
+        self.counts = [np.unique(g, return_counts=True) for g in grams]
+        self.known = np.unique(np.concatenate(grams))
+        self.longest = max(map(len, grams))
+        near = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= radius // BLOCKS).astype(np.uint16)
+        sizes: dict[int, list[int]] = {}
+        for j, g in enumerate(grams):
+            sizes.setdefault(len(g), []).append(j)
+        self.sizes = []
+        for m, items in sorted(sizes.items()):
+            groups = []
+            for first in range(0, len(items), GROUP):
+                table, prints = np.zeros((BLOCKS, 1 << 16), np.uint8), []
+                for bit, j in enumerate(items[first : first + GROUP]):
+                    prints.append((j, np.uint8(1 << bit), _packed(_signs(grams[j]).sum(0, dtype=np.int64) > 0)))
+                    for b, value in enumerate(prints[-1][2].view(np.uint16)):
+                        table[b, near ^ value] |= prints[-1][1]
+                groups.append((table, prints))
+            self.sizes.append((m, groups))
+
+
+def _similar_windows(index: _Index, hashes: np.ndarray, lengths: np.ndarray, radius: int, similar: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(document, item, similarity, start, n, hamming) of the similar windows; hashes are those of documents of these lengths, end to end."""
+    gap = index.longest
+    base = gap + np.cumsum(lengths + gap) - lengths - gap
+    total = int(lengths.sum() + gap * (len(lengths) + 1))
+    spot = np.arange(len(hashes)) + np.repeat(base - (np.cumsum(lengths) - lengths), lengths)
+    row, real, found = np.zeros(total, np.int64), np.zeros(total, bool), np.zeros(total, bool)
+    row[spot], real[spot] = hashes, True
+    found[spot] = index.known[np.minimum(np.searchsorted(index.known, hashes), len(index.known) - 1)] == hashes
+    n_real, n_found = (np.r_[0, np.cumsum(x, dtype=np.int32)] for x in (real, found))
+    step = max(STEP, 4 * gap)
+    kind = np.int8 if gap < 128 else np.int16 if gap < 1 << 15 else np.int32
+    moved, ones = np.empty((step, 64), kind), np.empty((step, 64), bool)
+    for first in range(0, total - gap, step):
+        size = min(step, total - gap - first)
+        signs = _signs(row[first : first + size + gap])
+        signs[~real[first : first + size + gap]] = 0
+        # Sums up to each place; they may wrap around, their differences over a window do not.
+        sums = np.zeros((len(signs) + 1, 64), kind)
+        np.cumsum(signs, axis=0, dtype=kind, out=sums[1:])
+        for m, groups in index.sizes:
+            np.subtract(sums[m : m + size], sums[:size], out=moved[:size])
+            np.greater(moved[:size], 0, out=ones[:size])
+            prints = _packed(ones[:size])
+            parts = prints.view(np.uint16).reshape(-1, BLOCKS)
+            for table, items in groups:
+                mask = table[0][parts[:, 0]]
+                for b in range(1, BLOCKS):
+                    mask |= table[b][parts[:, b]]
+                for j, bit, own in items:
+                    at = np.flatnonzero(mask & bit)
+                    at = at[np.bitwise_count(prints[at] ^ own) <= radius]
+                    # Verified on shingles: what is common is at most what is any item's, which is counted first.
+                    start = first + at
+                    held, most = n_real[start + m] - n_real[start], n_found[start + m] - n_found[start]
+                    likely = most * (1 + similar) >= similar * (held + m) - 1e-9
+                    for i, s, h in zip(at[likely], start[likely], held[likely], strict=True):
+                        value, often = np.unique(row[s : s + m][real[s : s + m]], return_counts=True)
+                        _, x, y = np.intersect1d(value, index.counts[j][0], assume_unique=True, return_indices=True)
+                        common = int(np.minimum(often[x], index.counts[j][1][y]).sum())
+                        if common / (int(h) + m - common) >= similar:
+                            doc = int(np.searchsorted(base + lengths, s, "right"))
+                            yield doc, j, common / (int(h) + m - common), max(int(s - base[doc]), 0), m + SHINGLE - 1, int(np.bitwise_count(prints[i] ^ own[0]))
+
+
+def _best_windows(ids: list, grams: list[np.ndarray], item_type: pa.DataType, radius: int, similar: float):
+    """An Arrow function (doc_id, all) -> (doc_id, item_id, start_word, n_words, hamming, similarity): each row's best window of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Index(grams, radius)
+        for batch in batches:
+            all_, first = batch.column(1), 0
+            ends = np.cumsum(all_.value_lengths().to_numpy())
+            while first < len(ends):
+                # Rows of about ROW_WORDS shingles at once, one at least.
+                before = ends[first - 1] if first else 0
+                last = max(int(np.searchsorted(ends, before + ROW_WORDS, "right")), first + 1)
+                some = all_.slice(first, last - first)
+                best: dict = {}
+                for doc, j, s, *rest in _similar_windows(index, some.flatten().to_numpy(), some.value_lengths().to_numpy().astype(np.int64), radius, similar):
+                    best[doc, j] = min(best.get((doc, j), (0.0,)), (-s, *rest))
+                docs, items = [first + d for d, _ in best], [ids[j] for _, j in best]
+                values = list(zip(*best.values(), strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(docs, pa.int64())), pa.array(items, item_type), *(pa.array(values[c], pa.int32()) for c in (1, 2, 3)), pa.array([-v for v in values[0]], pa.float64())],
+                    ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"],
+                )
+                first = last
+
+    return run
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity) of each document and item that it holds.
 
     Words are lower-cased runs of letters and digits. A window has as many words as an item and may
     start at any word, or before the text or end after it, with those of its words that are there.
-    Windows with fewer places of the item's shingles than the part `similar` of them are left out:
-    what two sets of shingles share is at most those places, and their union is at least the item,
-    so none of them can be similar, in whatever order the item's parts stand. every_window: all
-    windows of all texts are fingerprinted and looked up; the result is the same, at a cost in
-    proportion to the words times the number of item sizes.
-    The others' SimHashes are looked up in the items' multi-index, and candidates verified on their
-    weighted shingles. The best window of each pair is returned, the first of equal ones. Null and
-    empty texts, and texts and items of fewer than five words, match nothing; repeated rows and rows
-    with null ids match as one row of that id and text. Other columns are not read.
+    All windows of all texts are fingerprinted for each item size by rolling sums of their shingles'
+    bits and looked up in the multi-index of the items' SimHashes; those within radius are verified
+    on their weighted shingles. The best window of each pair is returned, the first of equal ones.
+    Null and empty texts, and texts and items of fewer than five words, match nothing; repeated rows
+    and rows with null ids match as one row of that id. Other columns are not read.
+
+    Items go to the workers in blocks of about BLOCK_ITEMS items or BLOCK_WORDS words, each block
+    compared with all documents in a pass of its own. Windows are made in Arrow batches: in
+    DataFrame operations alone (native) they exceed any limit by far.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
-    items = items.select("item_id", F.size("words").alias("n"), shingle_rows("words").alias("g")).select("item_id", "n", F.transform("g", lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)])).alias("item_grams"))
-    items = items.withColumn("item_grams", once(F.col("item_grams"))).withColumn("item_print", once(simhash("item_grams")))
-    known = items.select("item_id", "n", F.size("item_grams").alias("m"), F.posexplode("item_grams").alias("at", "gram"))
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull())
-    rows = rows.select("doc_id", F.xxhash64("_t", F.lit(5)).alias("k"), "_t")
-    grams = rows.select("doc_id", "k", word_array(F.col("_t")).alias("words")).select("doc_id", "k", F.posexplode(shingle_rows("words")).alias("pos", "g"))
-    hits = grams.select("doc_id", "k", "pos", _hashed("g").alias("gram")).join(known, "gram")
-    # A similar window has at least the part `similar` of the item's shingles, so the document has them.
-    pairs = hits.groupBy("doc_id", "k", "item_id", "n", "m").agg(F.collect_set("at").alias("found"), F.sort_array(F.collect_set("pos")).alias("hits"))
-    pairs = pairs.where(F.size("found") >= similar * F.col("m"))
-    if every_window:
-        sizes = items.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-        long = rows.select("doc_id", "k", F.size(word_array(F.col("_t"))).alias("words")).where(F.col("words") >= SHINGLE).distinct()
-        each = long.crossJoin(F.broadcast(sizes)).select("doc_id", "k", "words", F.explode("sizes").alias("n"))
-        windows = each.select("doc_id", "k", "n", F.explode(F.sequence(SHINGLE - F.col("n"), F.col("words") - SHINGLE)).alias("start"))
-    else:
-        windows = pairs.select("doc_id", "k", "n", F.explode(window_starts("hits", "m", similar)).alias("start")).distinct()
-    by_doc = windows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "windows")
-    held = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).dropDuplicates(["doc_id", "k"])
-    held = held.select("doc_id", "k", word_array(F.col("_t")).alias("words"), "windows").select("doc_id", "k", F.transform(shingle_rows("words"), lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)])).alias("all"), F.explode("windows").alias("w"))
-    start = F.greatest(F.col("w.start"), F.lit(0))
-    end = F.least(F.col("w.start") + F.col("w.n") - (SHINGLE - 1), F.size("all"))
-    looked = held.select("doc_id", "k", F.col("w.n").alias("n"), F.col("w.start").alias("start"), start.alias("start_word"), F.slice("all", start + 1, F.greatest(end - start, F.lit(0))).alias("grams"))
+    items = _items(benchmark, item_col, item_text)
+    count, words = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-count // BLOCK_ITEMS), -(-words // BLOCK_WORDS))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_grams"), F.lit(blocks)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
+    rows = rows.select("doc_id", _all_hashed("words").alias("all"))
+    doc_type, item_type = rows.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), *[T.StructField(c, T.IntegerType()) for c in ("start_word", "n_words", "hamming")], T.StructField("similarity", T.DoubleType())])
+    out = None
+    for part in range(blocks):
+        own = items.where(F.col("part") == part).select("item_id", "item_grams").collect()
+        if not own:
+            continue
+        found = rows.mapInArrow(_best_windows([r[0] for r in own], [np.array(r[1], np.int64) for r in own], to_arrow_type(item_type), radius, similar), schema)
+        found = written(found, "windows") if blocks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return _best(out.select("doc_id", "item_id", F.struct(-F.col("similarity"), "start_word", "n_words", "hamming").alias("b")))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = found.groupBy("doc_id", "item_id").agg(F.min("b").alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.start_word"), F.col("b.n_words"), F.col("b.hamming"), (-F.col("b")["col1"]).alias("similarity"))
+
+
+def native(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
+    """The same rows as matches, in DataFrame operations only: for small tables, as each window is a row of its own."""
+    items = _items(benchmark, item_col, item_text).withColumn("item_grams", once(F.col("item_grams"))).withColumn("item_print", once(simhash("item_grams")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
+    rows = rows.select("doc_id", once(_all_hashed("words")).alias("all"))
+    sizes = items.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+    each = rows.crossJoin(F.broadcast(sizes)).select("doc_id", "all", F.explode("sizes").alias("n"))
+    windows = each.select("doc_id", "all", "n", F.explode(F.sequence(SHINGLE - F.col("n"), F.size("all") - 1)).alias("start"))
+    start = F.greatest(F.col("start"), F.lit(0))
+    end = F.least(F.col("start") + F.col("n") - (SHINGLE - 1), F.size("all"))
+    looked = windows.select("doc_id", "n", start.alias("start_word"), F.slice("all", start + 1, F.greatest(end - start, F.lit(0))).alias("grams"))
     looked = looked.withColumn("grams", once(F.col("grams"))).withColumn("print", once(simhash("grams")))
     left = looked.withColumn("b", F.explode(index_blocks("print", radius)))
     right = items.withColumn("b", F.explode(index_blocks("item_print", radius)))
     near = left.join(right.withColumnRenamed("n", "m"), (F.col("n") == F.col("m")) & (left["b"] == right["b"])).drop("b", "m")
     near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= radius)
-    near = near.dropDuplicates(["doc_id", "k", "n", "start", "item_id"]).withColumn("similarity", weighted_jaccard("grams", "item_grams")).where(F.col("similarity") >= similar)
-    best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start_word", "n", "hamming")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.start_word"), F.col("b.n").alias("n_words"), F.col("b.hamming"), (-F.col("b")["col1"]).alias("similarity"))
+    near = near.withColumn("similarity", weighted_jaccard("grams", "item_grams")).where(F.col("similarity") >= similar)
+    return _best(near.select("doc_id", "item_id", F.struct(-F.col("similarity"), "start_word", F.col("n").alias("n_words"), "hamming").alias("b")))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
