@@ -21,10 +21,13 @@ RADIUS = 21
 SIMILAR = 0.8
 #: Blocks of 16 bits that the multi-index cuts fingerprints into, and items that one of its tables holds.
 BLOCKS, GROUP = 4, 8
-#: Places of which the windows are fingerprinted at once (their sums fit a core's cache), and shingles of documents laid end to end.
-STEP, ROW_WORDS = 4096, 500_000
+#: Places of which the windows are fingerprinted at once (their sums fit a core's cache), and words of documents laid end to end.
+STEP, ROW_WORDS = 16384, 500_000
 #: Items, and words of items, that a pass over the documents compares them with.
 BLOCK_ITEMS, BLOCK_WORDS = 256, 200_000
+#: Primes of the 64-bit hash, and the seed that Spark gives it.
+XX_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+XX_SEED = 42
 
 
 def shingle_rows(words: str, k: int = SHINGLE) -> Column:
@@ -66,14 +69,42 @@ def weighted_jaccard(a: str, b: str) -> Column:
 
 def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """(item_id, n, item_grams) of the items of at least SHINGLE words."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
+    items = benchmark.select(F.col(item_col).alias("item_id"), hashed_words(item_text).alias("words")).where(F.size("words") >= SHINGLE)
     return items.select("item_id", F.size("words").alias("n"), _all_hashed("words").alias("item_grams"))
 
 
+def hashed_words(text_col: str) -> Column:
+    return once(F.transform(word_array(F.col(text_col).cast("string")), lambda w: F.xxhash64(w)))
+
+
 def _all_hashed(words: str) -> Column:
     return F.transform(shingle_rows(words), lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)]))
 
 
+def _xxhash64(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit numbers."""
+    p1, p2, p3, p4, p5 = map(np.uint64, XX_PRIMES)
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = seed + p5 + np.uint64(8) ^ turn(values * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def _shingles(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' hashes, as _all_hashed makes them, of documents of SHINGLE words at least, end to end, and how many each has."""
+    words, n = words.view(np.uint64), len(words) - SHINGLE + 1
+    out = np.full(n, XX_SEED, np.uint64)
+    for i in range(SHINGLE):
+        out = _xxhash64(words[i : i + n], out)
+    inside = np.ones(len(words), bool)
+    ends = np.cumsum(lengths)
+    for i in range(1, SHINGLE):
+        inside[ends - i] = False
+    return out[inside[:n]].view(np.int64), lengths - (SHINGLE - 1)
+
+
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """Of each hash its 64 bits, lowest first, as 1 and -1."""
     return (np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).view(np.int8) << 1) - np.int8(1)
@@ -142,12 +173,16 @@ def _similar_windows(index: _Index, hashes: np.ndarray, lengths: np.ndarray, rad
                 for b in range(1, BLOCKS):
                     mask |= table[b][parts[:, b]]
                 for j, bit, own in items:
-                    at = np.flatnonzero(mask & bit)
-                    at = at[np.bitwise_count(prints[at] ^ own) <= radius]
+                    near = ((mask & bit) != 0) & (np.bitwise_count(prints ^ own) <= radius)
+                    at = np.flatnonzero(near)
+                    if not len(at):
+                        continue
                     # Verified on shingles: what is common is at most what is any item's, which is counted first.
                     start = first + at
                     held, most = n_real[start + m] - n_real[start], n_found[start + m] - n_found[start]
                     likely = most * (1 + similar) >= similar * (held + m) - 1e-9
+                    if not likely.any():
+                        continue
                     for i, s, h in zip(at[likely], start[likely], held[likely], strict=True):
                         value, often = np.unique(row[s : s + m][real[s : s + m]], return_counts=True)
                         _, x, y = np.intersect1d(value, index.counts[j][0], assume_unique=True, return_indices=True)
@@ -158,20 +193,20 @@ def _similar_windows(index: _Index, hashes: np.ndarray, lengths: np.ndarray, rad
 
 
 def _best_windows(ids: list, grams: list[np.ndarray], item_type: pa.DataType, radius: int, similar: float):
-    """An Arrow function (doc_id, all) -> (doc_id, item_id, start_word, n_words, hamming, similarity): each row's best window of each item."""
+    """An Arrow function (doc_id, words) -> (doc_id, item_id, start_word, n_words, hamming, similarity): each row's best window of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(grams, radius)
         for batch in batches:
-            all_, first = batch.column(1), 0
-            ends = np.cumsum(all_.value_lengths().to_numpy())
+            words, first = batch.column(1), 0
+            ends = np.cumsum(words.value_lengths().to_numpy())
             while first < len(ends):
-                # Rows of about ROW_WORDS shingles at once, one at least.
+                # Rows of about ROW_WORDS words at once, one at least.
                 before = ends[first - 1] if first else 0
                 last = max(int(np.searchsorted(ends, before + ROW_WORDS, "right")), first + 1)
-                some = all_.slice(first, last - first)
+                some = words.slice(first, last - first)
                 best: dict = {}
-                for doc, j, s, *rest in _similar_windows(index, some.flatten().to_numpy(), some.value_lengths().to_numpy().astype(np.int64), radius, similar):
+                for doc, j, s, *rest in _similar_windows(index, *_shingles(some.flatten().to_numpy(), some.value_lengths().to_numpy().astype(np.int64)), radius, similar):
                     best[doc, j] = min(best.get((doc, j), (0.0,)), (-s, *rest))
                 docs, items = [first + d for d, _ in best], [ids[j] for _, j in best]
                 values = list(zip(*best.values(), strict=True)) or [[]] * 4
@@ -203,8 +238,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     count, words = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-words // BLOCK_WORDS))
     items = items.withColumn("part", F.pmod(F.xxhash64("item_grams"), F.lit(blocks)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
-    rows = rows.select("doc_id", _all_hashed("words").alias("all"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), hashed_words(text_col).alias("words")).where(F.size("words") >= SHINGLE)
     doc_type, item_type = rows.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), *[T.StructField(c, T.IntegerType()) for c in ("start_word", "n_words", "hamming")], T.StructField("similarity", T.DoubleType())])
     out = None
@@ -227,7 +261,7 @@ def _best(found: DataFrame) -> DataFrame:
 def native(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
     """The same rows as matches, in DataFrame operations only: for small tables, as each window is a row of its own."""
     items = _items(benchmark, item_col, item_text).withColumn("item_grams", once(F.col("item_grams"))).withColumn("item_print", once(simhash("item_grams")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
+    rows = docs.select(F.col(id_col).alias("doc_id"), hashed_words(text_col).alias("words")).where(F.size("words") >= SHINGLE)
     rows = rows.select("doc_id", once(_all_hashed("words")).alias("all"))
     sizes = items.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
     each = rows.crossJoin(F.broadcast(sizes)).select("doc_id", "all", F.explode("sizes").alias("n"))
