@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.llm.license_scan import word_array
-from threadloom.llm.shared import written
+from threadloom.llm.shared import Block, mix, written
+from threadloom.llm.shared import words as hashed_words
 
 SHINGLE = 5
 #: Fingerprints within this Hamming distance are candidates: at a similarity of 0.8 windows differ
@@ -21,13 +23,12 @@ RADIUS = 21
 SIMILAR = 0.8
 #: Blocks of 16 bits that the multi-index cuts fingerprints into, and items that one of its tables holds.
 BLOCKS, GROUP = 4, 8
-#: Places of which the windows are fingerprinted at once (their sums fit a core's cache), and words of documents laid end to end.
-STEP, ROW_WORDS = 16384, 500_000
-#: Items, and words of items, that a pass over the documents compares them with.
-BLOCK_ITEMS, BLOCK_WORDS = 256, 200_000
-#: Primes of the 64-bit hash, and the seed that Spark gives it.
-XX_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-XX_SEED = 42
+#: Places of which the windows are fingerprinted at once (their sums fit a core's cache), and bytes of documents laid end to end.
+STEP, ROW_BYTES = 16384, 3 << 20
+#: Items, and characters of items, that a pass over the documents compares them with.
+BLOCK_ITEMS, BLOCK_CHARS = 256, 1_000_000
+#: Bytes of UTF-8 between words: ASCII beyond digits and (lower-cased) letters.
+_SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def shingle_rows(words: str, k: int = SHINGLE) -> Column:
@@ -69,40 +70,27 @@ def weighted_jaccard(a: str, b: str) -> Column:
 
 def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """(item_id, n, item_grams) of the items of at least SHINGLE words."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), hashed_words(item_text).alias("words")).where(F.size("words") >= SHINGLE)
+    items = benchmark.select(F.col(item_col).alias("item_id"), word_array(F.col(item_text).cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
     return items.select("item_id", F.size("words").alias("n"), _all_hashed("words").alias("item_grams"))
 
 
-def hashed_words(text_col: str) -> Column:
-    return once(F.transform(word_array(F.col(text_col).cast("string")), lambda w: F.xxhash64(w)))
-
-
 def _all_hashed(words: str) -> Column:
     return F.transform(shingle_rows(words), lambda g: F.xxhash64(*[g[f"w{i}"] for i in range(SHINGLE)]))
 
 
-def _xxhash64(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    """Spark's xxhash64 of 64-bit numbers."""
-    p1, p2, p3, p4, p5 = map(np.uint64, XX_PRIMES)
-    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
-    h = seed + p5 + np.uint64(8) ^ turn(values * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return h ^ h >> np.uint64(32)
-
-
-def _shingles(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles' hashes, as _all_hashed makes them, of documents of SHINGLE words at least, end to end, and how many each has."""
-    words, n = words.view(np.uint64), len(words) - SHINGLE + 1
-    out = np.full(n, XX_SEED, np.uint64)
+def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts end to end, and how many each text has."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+    words, _, first = hashed_words(Block(0, np.zeros(len(texts), np.int64), (offsets - offsets[0]).tobytes(), data), _SEPARATORS)
+    n = max(len(words) - SHINGLE + 1, 0)
+    out, inside = np.zeros(n, np.uint64), np.ones(len(words), bool)
     for i in range(SHINGLE):
-        out = _xxhash64(words[i : i + n], out)
-    inside = np.ones(len(words), bool)
-    ends = np.cumsum(lengths)
+        out = mix(out + words[i : i + n])
     for i in range(1, SHINGLE):
-        inside[ends - i] = False
-    return out[inside[:n]].view(np.int64), lengths - (SHINGLE - 1)
+        inside[np.maximum(first[1:] - i, first[:-1])[first[1:] > first[:-1]]] = False
+    return out[inside[:n]].view(np.int64), np.maximum(np.diff(first) - SHINGLE + 1, 0)
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -193,20 +181,20 @@ def _similar_windows(index: _Index, hashes: np.ndarray, lengths: np.ndarray, rad
 
 
 def _best_windows(ids: list, grams: list[np.ndarray], item_type: pa.DataType, radius: int, similar: float):
-    """An Arrow function (doc_id, words) -> (doc_id, item_id, start_word, n_words, hamming, similarity): each row's best window of each item."""
+    """An Arrow function (doc_id, text) -> (doc_id, item_id, start_word, n_words, hamming, similarity): each row's best window of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(grams, radius)
         for batch in batches:
-            words, first = batch.column(1), 0
-            ends = np.cumsum(words.value_lengths().to_numpy())
+            texts, first = batch.column(1), 0
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
             while first < len(ends):
-                # Rows of about ROW_WORDS words at once, one at least.
+                # Rows of about ROW_BYTES at once, one at least.
                 before = ends[first - 1] if first else 0
-                last = max(int(np.searchsorted(ends, before + ROW_WORDS, "right")), first + 1)
-                some = words.slice(first, last - first)
+                last = max(int(np.searchsorted(ends, before + ROW_BYTES, "right")), first + 1)
+                some = texts.slice(first, last - first)
                 best: dict = {}
-                for doc, j, s, *rest in _similar_windows(index, *_shingles(some.flatten().to_numpy(), some.value_lengths().to_numpy().astype(np.int64)), radius, similar):
+                for doc, j, s, *rest in _similar_windows(index, *_shingles(some), radius, similar):
                     best[doc, j] = min(best.get((doc, j), (0.0,)), (-s, *rest))
                 docs, items = [first + d for d, _ in best], [ids[j] for _, j in best]
                 values = list(zip(*best.values(), strict=True)) or [[]] * 4
@@ -230,23 +218,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     Null and empty texts, and texts and items of fewer than five words, match nothing; repeated rows
     and rows with null ids match as one row of that id. Other columns are not read.
 
-    Items go to the workers in blocks of about BLOCK_ITEMS items or BLOCK_WORDS words, each block
+    Items go to the workers in blocks of about BLOCK_ITEMS items or BLOCK_CHARS characters, each block
     compared with all documents in a pass of its own. Windows are made in Arrow batches: in
     DataFrame operations alone (native) they exceed any limit by far.
     """
-    items = _items(benchmark, item_col, item_text)
-    count, words = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks = max(1, -(-count // BLOCK_ITEMS), -(-words // BLOCK_WORDS))
-    items = items.withColumn("part", F.pmod(F.xxhash64("item_grams"), F.lit(blocks)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), hashed_words(text_col).alias("words")).where(F.size("words") >= SHINGLE)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+    items = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     doc_type, item_type = rows.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), *[T.StructField(c, T.IntegerType()) for c in ("start_word", "n_words", "hamming")], T.StructField("similarity", T.DoubleType())])
     out = None
     for part in range(blocks):
-        own = items.where(F.col("part") == part).select("item_id", "item_grams").collect()
+        own = items.where(F.col("part") == part).select("item_id", "text").collect()
+        own = [(i, g) for i, text in own if len(g := _shingles(pa.array([text]))[0])]
         if not own:
             continue
-        found = rows.mapInArrow(_best_windows([r[0] for r in own], [np.array(r[1], np.int64) for r in own], to_arrow_type(item_type), radius, similar), schema)
+        found = rows.mapInArrow(_best_windows([i for i, _ in own], [g for _, g in own], to_arrow_type(item_type), radius, similar), schema)
         found = written(found, "windows") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     out = docs.sparkSession.createDataFrame([], schema) if out is None else out
@@ -259,9 +248,9 @@ def _best(found: DataFrame) -> DataFrame:
 
 
 def native(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
-    """The same rows as matches, in DataFrame operations only: for small tables, as each window is a row of its own."""
+    """The same rows as matches, but for hamming, as words have other hashes, in DataFrame operations only: for small tables, as each window is a row of its own."""
     items = _items(benchmark, item_col, item_text).withColumn("item_grams", once(F.col("item_grams"))).withColumn("item_print", once(simhash("item_grams")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), hashed_words(text_col).alias("words")).where(F.size("words") >= SHINGLE)
+    rows = docs.select(F.col(id_col).alias("doc_id"), once(word_array(F.col(text_col).cast("string"))).alias("words")).where(F.size("words") >= SHINGLE)
     rows = rows.select("doc_id", once(_all_hashed("words")).alias("all"))
     sizes = items.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
     each = rows.crossJoin(F.broadcast(sizes)).select("doc_id", "all", F.explode("sizes").alias("n"))
