@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,40 @@ def test_windows_as_native_and_by_hand(spark):
     assert found <= set(want) and len(found) >= 0.9 * len(want)
 
 
+def test_windows_in_steps_and_item_blocks(spark, monkeypatch):
+    r = random.Random(47)
+    known = [f"w{i}" for i in range(90)]
+    items = [(i, " ".join(r.choice(known) for _ in range(n))) for i, n in enumerate([15, 15, 20, 140])]
+    texts = [" ".join(r.choice(known) for _ in range(r.randrange(9))) + " " + r.choice(items)[1] + " " + r.choice(items)[1] for _ in range(12)] + [None, "", "w1"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    docs = docs.withColumn("similarity", F.lit(1)).withColumn("words", F.lit("x"))
+    whole = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    assert len(whole) >= 12
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == whole
+    index = decontaminate._Index([decontaminate._shingles(pa.array([t]))[0] for _, t in items], decontaminate.RADIUS)
+    runs = []
+    for step in (1, 1 << 14):
+        monkeypatch.setattr(decontaminate, "STEP", step)
+        runs.append(sorted(decontaminate._similar_windows(index, *decontaminate._shingles(pa.array(texts)), decontaminate.RADIUS, 0.8)))
+    assert runs[0] == runs[1] and {(d, j) for d, j, *_ in runs[0]} == {(d, i) for d, i, *_ in whole}
+    for empty in (decontaminate.matches(docs.limit(0), bench), decontaminate.matches(docs, bench.limit(0))):
+        assert empty.collect() == [] and empty.columns == ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"]
+
+
+def test_index_tables_cover_the_radius():
+    r = random.Random(48)
+    index = decontaminate._Index([decontaminate._shingles(pa.array([" ".join(str(r.random()) for _ in range(20))]))[0] for _ in range(11)], decontaminate.RADIUS)
+    for _, groups in index.sizes:
+        for table, prints in groups:
+            for _, bit, own in prints:
+                for _ in range(100):
+                    far = int(own[0])
+                    for b in r.sample(range(64), decontaminate.RADIUS):
+                        far ^= 1 << b
+                    assert any(table[b][far >> 16 * b & 0xFFFF] & bit for b in range(decontaminate.BLOCKS))
+
+
 def test_urls_by_hand(spark):
     r = random.Random(46)
     hosts = ["com", "Example.com", "example.net", "a.EXAMPLE.net", "org", "x.org", "net", "q.net", "notcom", "de.net.", ""]
