@@ -64,12 +64,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by id and text, so one id may stand on several texts, and any number of ids may be null.
     """
     docs = keyed(docs)
-    grouped = written(jaccard_join.join(docs, id_col="key", k=5, num=80, den=100).select(F.col("doc_id").alias("key"), "component"), "groups")
-    several = grouped.groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1").select("component")
-    members = grouped.join(several, "component").groupBy("component", "key").agg(F.count("*").alias("rows"))
-    members = members.join(docs.select("key", "doc_id").distinct(), "key")
+    grouped = jaccard_join.join(docs, id_col="key", k=5, num=80, den=100).where("n_shingles > 0")
+    grouped = written(grouped.select(F.col("doc_id").alias("key"), "uid", "component"), "groups")
+    # A component is named by the uid of one of its rows, so joins by uid and key find the rows that
+    # are not alone; none is by component, of which one may hold a third of all rows.
+    others = grouped.where("uid <> component")
+    firsts = grouped.join(others.select(F.col("component").alias("uid")).distinct(), "uid", "left_semi")
+    members = others.unionByName(firsts.select(*others.columns)).groupBy("key", "component").agg(F.count("*").alias("rows"))
+    members = written(members.join(docs.select("key", "doc_id").distinct(), "key"), "members")
     least = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"))
-    members = written(members.join(least, "component").select("key", "rows", (F.col("key") == F.col("least.key")).alias("stays")), "members")
+    members = members.join(least.select("least.key", F.lit(True).alias("least")), "key", "left").select("key", "rows", F.col("least").isNotNull().alias("stays"))
+    members = written(members, "marked")
     kept = docs.join(members.where("not stays").select("key"), "key", "left_anti")
     # Equal rows of one id and text: one of them stays. Rows without words are in no group.
     again = members.where("stays and rows > 1").select("key")
