@@ -10,6 +10,7 @@ from threadloom.llm.mixing import op6_mixing
 from threadloom.llm.quality import op4_quality
 from threadloom.llm.suffix_dedup import op1_suffix_dedup
 from threadloom.llm.url_filter import op8_url_filter
+from threadloom.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE_SQL = {"op7_jaccard_join": OP7_SQL}
+ORACLE_SQL = {"op7_jaccard_join": OP7_SQL, "op11_vector_codes": OP11_SQL}
