@@ -2,12 +2,14 @@
 
 from threadloom.llm.chat_format import op9_chat_format
 from threadloom.llm.decontaminate import op5_decontaminate
+from threadloom.llm.embedding_dedup import OP12_SQL, op12_embedding_dedup
 from threadloom.llm.fingerprint import op3_fingerprint
 from threadloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from threadloom.llm.language_id import op10_language_id
 from threadloom.llm.license_scan import op2_license_scan
 from threadloom.llm.mixing import op6_mixing
 from threadloom.llm.quality import op4_quality
+from threadloom.llm.spelling import op13_spelling_variants
 from threadloom.llm.suffix_dedup import op1_suffix_dedup
 from threadloom.llm.url_filter import op8_url_filter
 from threadloom.llm.vector_codes import OP11_SQL, op11_vector_codes
@@ -24,5 +26,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL = {"op7_jaccard_join": OP7_SQL, "op11_vector_codes": OP11_SQL}
+ORACLE_SQL = {"op7_jaccard_join": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_embedding_dedup": OP12_SQL}
