@@ -93,14 +93,19 @@ def fit(x: np.ndarray, lists: int, parts: int = 16, words: int = 256) -> Index:
     return Index(centroids, np.stack([lloyd(rest[:, p], words) for p in range(parts)]))
 
 
-def unit(vector: Column) -> Column:
-    """vector in double precision with length 1; null where it is null, empty or zero, or holds a null or a component that isn't finite."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    finite = F.forall(x, lambda v: F.coalesce((v > float("-inf")) & (v < float("inf")) & ~F.isnan(v), F.lit(False)))
-    most = F.array_max(F.transform(x, F.abs))
-    x = F.when(finite & (most > 0), F.transform(x, lambda v: v / most))  # squares of huge or tiny components stay finite
-    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(x, lambda v: v / length)
+def valid(vector: Column) -> Column:
+    """Not null, empty or zero, and without nulls and components that aren't finite."""
+    finite = lambda v: F.coalesce((v > float("-inf")) & (v < float("inf")) & ~F.isnan(v), F.lit(False))
+    return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda v: v != 0), F.lit(False))
+
+
+def unit(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1 in double precision, filled to width with zeros, their sizes)."""
+    sizes = vectors.value_lengths().to_numpy().astype(np.int32)
+    x = np.zeros((len(sizes), width))
+    x[np.arange(width) < sizes[:, None]] = vectors.flatten().to_numpy()
+    x /= np.abs(x).max(1, initial=0)[:, None]  # squares of huge or tiny components stay finite
+    return x / np.sqrt((x**2).sum(1))[:, None], sizes
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -109,16 +114,11 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _encode(classes: DataFrame, index: Index) -> DataFrame:
-    """classes (uid, label, w, x) with dim, list, code, square, error; x as bytes, filled to the index's width."""
+    """classes (uid, label, w, v) with dim, list, code, square, error; x as bytes, filled to the index's width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(3)
-            dims = np.diff(column.offsets.to_numpy())
-            x = np.zeros((len(dims), index.width))
-            for d in np.unique(dims):
-                at = dims == d
-                x[at, :d] = column.filter(pa.array(at)).flatten().to_numpy().reshape(-1, d)
+            x, dims = unit(batch.column(3), index.width)
             lists = index.lists(x)
             codes, square, error = index.codes(x, lists)
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +127,7 @@ def _encode(classes: DataFrame, index: Index) -> DataFrame:
             )
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.select("uid", "label", "w", "x").mapInArrow(run, f"uid long, label {label}, w long, x binary, dim int, list int, code binary, square double, error double")
+    return classes.select("uid", "label", "w", "v").mapInArrow(run, f"uid long, label {label}, w long, x binary, dim int, list int, code binary, square double, error double")
 
 
 def _blocks(coded: DataFrame, index: Index, r: float) -> DataFrame:
@@ -239,23 +239,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     keys = (F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "v", "label"))  # 128 bits stand for a class
-    rows = rows.withColumns({"x": F.when(F.col("label").isNotNull(), unit(F.col("v"))), "k1": keys[0], "k2": keys[1]}).drop("v")
-    classes = rows.where("x is not null").groupBy("k1", "k2").agg(F.any_value("label").alias("label"), F.any_value("x").alias("x"), F.count("*").alias("w"), F.min("vec_id").alias("first"))
+    rows = rows.withColumns({"valid": F.col("label").isNotNull() & valid(F.col("v")), "k1": keys[0], "k2": keys[1]})
+    classes = rows.where("valid").groupBy("k1", "k2").agg(F.any_value("label").alias("label"), F.any_value("v").cast("array<double>").alias("v"), F.count("*").alias("w"), F.min("vec_id").alias("first"))
     classes = written(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
     of = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
-    bare = rows.select("vec_id", "k1", "k2", F.col("x").isNotNull().alias("valid"))
+    bare = rows.select("vec_id", "k1", "k2", "valid")
     if not of["n"]:
         return bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     lists = min(max(1, of["most"] // LIST_ROWS), MOST_LISTS)
-    size = classes.agg(F.max(F.size("x"))).first()[0]
+    size = classes.agg(F.max(F.size("v"))).first()[0]
     wanted = min(max(SAMPLE[0], 16 * lists), SAMPLE[1], max(1024, SAMPLE_NUMBERS // size))
     lot = F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30))
-    drawn = classes.where(lot <= (wanted << 30) // of["n"]).select("k1", "x").limit(2 * wanted).toArrow().sort_by("k1")
-    if not drawn.num_rows:
-        drawn = classes.select("k1", "x").limit(1).toArrow()
-    sample = np.zeros((drawn.num_rows, size))
-    for i, x in enumerate(drawn.column("x").combine_chunks()):
-        sample[i, : len(x)] = x.values.to_numpy()
+    drawn = classes.where(lot <= (wanted << 30) // of["n"]).select("k1", "v").limit(2 * wanted).toArrow().sort_by("k1")
+    drawn = drawn if drawn.num_rows else classes.select("k1", "v").limit(1).toArrow()
+    sample, _ = unit(drawn.column("v").combine_chunks(), size)
     index, r = fit(sample, lists), float(np.sqrt(max(0.0, 2 - 2 * least)))
     coded = written(_encode(classes, index), "coded")
     blocks = _blocks(coded, index, r)
