@@ -167,8 +167,6 @@ def test_clusters(spark):
         a, b = mean.pop(c), min(mean.values())
         by_hand.append((b - a) / max(a, b))
     assert clusters.silhouette(own) == pytest.approx(sum(by_hand) / len(by_hand))
-    with pytest.raises(ValueError, match="sample"):
-        clusters.silhouette(own, most=5)
     page = clusters.exemplar_text(clusters.exemplars(own.select("id", "cluster").join(rows, "id"), 2), 3)
     assert page.count("## Cluster") == 3 and "2 of 4 shown." in page and "All 2 shown." in page and "- `7` [s] text 7" in page
 

@@ -366,9 +366,17 @@ def one_to_one_join(spark, sf_dir):
 
 @query()
 def cluster_sweep(spark, sf_dir):
-    """k, inertia, silhouette and sizes over the vectors whose id is divisible by 4: a silhouette compares all pairs."""
-    e = S.table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("cv"))
-    return clusters.sweep(e, 5, 7, starts=2)
+    """k, inertia, silhouette and sizes over all vectors: 10 starts of each k from 5 to 12."""
+    return clusters.sweep(S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("cv")))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS far FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+m AS (SELECT vec_id, d.label, max(CASE WHEN other = d.label THEN far / (n - 1) END) AS own, min(CASE WHEN other <> d.label THEN far / n END) AS near FROM d JOIN c ON c.label = d.other GROUP BY ALL)
+SELECT c.label, c.n, round(avg((near - own) / greatest(near, own)), 6) AS silhouette FROM m JOIN c USING (label) GROUP BY ALL""")
+def silhouette_by_label(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("cv"), F.col("label").alias("cluster"))
+    return clusters.silhouette_values(rows).groupBy(F.col("cluster").alias("label")).agg(F.count("*").alias("n"), r6(F.avg("s")).alias("silhouette"))
 
 
 @query("WITH c AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label), z AS (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS rank, sum(n) OVER () AS total FROM c), d AS (SELECT vec_id, label AS cluster, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id)) AS r FROM embeddings) SELECT rank, cluster, n, round(n / total * 100, 6) AS share, least(n, 10) AS shown, vec_id AS id, 's' AS source, 'text ' || vec_id AS text FROM d JOIN z USING (cluster) WHERE r <= 10")
