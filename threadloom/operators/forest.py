@@ -6,21 +6,26 @@ import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: written once to the folder that spark.checkpoint.dir names, and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset and Spark runs locally, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
         path = spark.sparkContext.getCheckpointDir()
-    path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage: written once to the folder that spark.checkpoint.dir names, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
