@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadloom.functions import judging as J
@@ -11,7 +13,7 @@ from threadloom.operators import answering, calls, clusters, evaluation, forest,
 from threadloom.plans import catalogue as C
 from threadloom.plans import surrogates as S
 from threadloom.plans.registry import query, r6
-from threadloom.sources import checks
+from threadloom.sources import checks, io
 
 _q = S._quoted
 
@@ -367,6 +369,15 @@ def distinct_texts(spark, sf_dir):
     return calls.first_of(S.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
+@query("SELECT doc_id, text, lang, n_chars FROM documents")
+def csv_documents(spark, sf_dir):
+    """All documents through a quoted CSV in the shared folder, read back by as many tasks as its files have splits."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    path = f"{forest.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    d.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.read_csv(spark, path, d.schema)
+
+
 @query("SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def one_to_one_join(spark, sf_dir):
     return checks.join_one_to_one(S.table(spark, sf_dir, "documents").select("doc_id", "source"), S.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
