@@ -22,7 +22,8 @@ def test_branches_and_leaves(spark):
     assert {k: r["depth"] for k, r in out.items()} == {10: 0, 11: 1, 12: 1, 13: 2}
     assert {k: r["branch_id"] for k, r in out.items()} == {10: 0, 12: 0, 13: 0, 11: 1}
     assert {r["thread_id"] for r in out.values()} == {10} and out[10]["n_children"] == 2
-    assert [x["id"] for x in out[13]["path"]] == [10, 12, 13]
+    paths = {r["id"]: r["path"] for r in forest.rooted(tweets(spark, [(10, None, True, 0), (11, 10, False, 2), (12, 10, False, 1), (13, 12, True, 3)])).collect()}
+    assert paths[13] == [10, 12, 13] and paths[10] == [10]
     assert {k for k, r in out.items() if r["is_leaf"]} == {11, 13}
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,7 +27,59 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.made = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what cut wrote for these frames, once nothing reads them any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(frame.made)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def running(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with name: the sum of value over the rows before each in its group by order (a unique one).
+
+    Groups are cut into ranges of the order, summed apart and shifted by what lies before them, so a
+    group of any size is many tasks'.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, group, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.withColumn("_before", F.sum("_s").over(before)).where("_before <> 0").drop("_s")
+    own = F.sum(value).over(Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranged.withColumn("_own", own).join(shifts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
+    return out.withColumn(name, F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_own", "_g", "_r", "_range", "_before")
+
+
+def climb(state: DataFrame, merge: dict[str, Column], below: str | None = None) -> DataFrame:
+    """state (id, up, ...) once every row's up is null, or what is left runs in cycles; pointer doubling.
+
+    A row stands for the way from id to below up. In each round it is joined with the row that stands
+    for the way from up on; merge gives its further columns from its own and the other's (with a_
+    before their names). below names a column that in each round gains the sums of the rows whose up
+    it is, which come partly added up from every task: in the end it sums over all that lies below.
+    A row's size stays the same, and a chain of n takes log n rounds, written to the shared folder.
+    """
+    state, was = cut(state), None
+    while True:
+        open_ = state.where("up is not null")
+        left = open_.count()
+        if not left or left == was:  # depths have no gaps: a round that ends no way has cycles before it
+            return state
+        above = state.select([F.col(c).alias(f"a_{c}") for c in state.columns])
+        moved = open_.join(above, F.col("up") == F.col("a_id")).select("id", F.col("a_up").alias("up"), *[c.alias(n) for n, c in merge.items()])
+        both = moved.unionByName(state.where("up is null"))
+        if below:
+            gained = open_.groupBy(F.col("up").alias("_to")).agg(F.sum(below).alias("_gain"))
+            both = both.join(gained, F.col("id") == F.col("_to"), "left").withColumn(below, F.col(below) + F.coalesce("_gain", F.lit(0))).drop("_to", "_gain")
+        new = cut(both.select(state.columns))
+        release(state)
+        state, was = new, left
 
 
 def parents(tweets: DataFrame) -> DataFrame:
@@ -37,36 +89,56 @@ def parents(tweets: DataFrame) -> DataFrame:
     return joined.select("id", F.col("known").alias("parent"), "inbound", "ts", (F.col("parent").isNotNull() & F.col("known").isNull()).alias("dangling"))
 
 
-def build(tweets: DataFrame) -> DataFrame:
-    """(id, parent, inbound, ts, thread_id, root_kind, depth, path, n_children, is_leaf, branch_id) of each tweet.
+def _up(base: DataFrame, *more: Column) -> DataFrame:
+    """The ways of climb: how far they go, where they end and of what kind that is, and the inbound tweet nearest to the end."""
+    kind = F.when(F.col("dangling"), "orphan").when(F.col("inbound"), "customer_root").otherwise("brand_root")
+    first = F.when(F.col("inbound"), F.col("id"))
+    return base.select("id", F.col("parent").alias("up"), F.col("id").alias("top"), kind.alias("kind"), F.lit(0).alias("far"), first.alias("first_inbound"), F.when(F.col("inbound"), 0).alias("first_far"), *more)
 
-    path: struct(ts, id, inbound) from the root on. Tweets that reach a cycle have the least id on
-    it as thread_id, root_kind cycle, depth -1, branch 0 and no path. branch_id counts the leaves
-    that come before a tweet in preorder, siblings by (ts, id).
+
+def _merged(**more: Column) -> dict[str, Column]:
+    far = F.col("far") + 1
+    return {"top": F.col("a_top"), "kind": F.col("a_kind"), "far": far + F.col("a_far"), "first_inbound": F.coalesce("a_first_inbound", "first_inbound"), "first_far": F.coalesce(far + F.col("a_first_far"), "first_far"), **more}
+
+
+def _placed(ways: DataFrame, base: DataFrame, *more: str) -> DataFrame:
+    """(id, thread_id, root_kind, depth, first_inbound, first_inbound_depth, more) of ways that climb has ended, cycles told apart."""
+    trees = ways.where("up is null").select("id", F.col("top").alias("thread_id"), F.col("kind").alias("root_kind"), F.col("far").alias("depth"), "first_inbound", (F.col("far") - F.col("first_far")).alias("first_inbound_depth"), *more)
+    if not ways.where("up is not null").limit(1).count():
+        return trees
+    rings = _rings(ways.where("up is not null").select("id"), base)
+    return trees.unionByName(rings.select("id", "thread_id", F.lit("cycle").alias("root_kind"), F.lit(-1).alias("depth")), allowMissingColumns=True)
+
+
+def rooted(tweets: DataFrame) -> DataFrame:
+    """(id, thread_id, root_kind, depth, path) of tweets; path: the ids from the root on, which a chain of n needs n * n / 2 numbers for. See build."""
+    base = cut(parents(tweets))
+    ways = climb(_up(base, F.array("id").alias("path")), _merged(path=F.concat("a_path", "path")))
+    return _placed(ways, base, "path").select("id", "thread_id", "root_kind", "depth", "path")
+
+
+def build(tweets: DataFrame) -> DataFrame:
+    """(id, parent, inbound, ts, dangling, thread_id, root_kind, depth, first_inbound, first_inbound_depth, n_children, is_leaf, branch_id) of each tweet.
+
+    first_inbound: the inbound tweet nearest to the root on the way from it, and its depth. Tweets that
+    reach a cycle have the least id on it as thread_id, root_kind cycle, depth -1, branch 0 and no
+    first_inbound. branch_id counts the leaves that come before a tweet in preorder, siblings by
+    (ts, id): the leaves below earlier siblings of it and of all above it. Leaves below a tweet are
+    summed while ways double; sums over siblings are running sums of ranges, sums over ancestors a
+    second doubling. No row holds its ancestors and no task a thread or all children of a tweet.
     """
     base = cut(parents(tweets))
-    step = base.select("id", F.col("parent").alias("up"), F.array(F.struct("ts", "id", "inbound")).alias("chain"))
-    open_ = step.where("up is not null").count()
-    while open_:
-        above = step.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("chain").alias("a_chain"))
-        step = cut(step.join(above, F.col("up") == F.col("a_id"), "left").select("id", F.when(F.col("up").isNotNull(), F.col("a_up")).alias("up"), F.concat("chain", F.coalesce("a_chain", F.array().cast("array<struct<ts:timestamp,id:long,inbound:boolean>>"))).alias("chain")))
-        left = step.where("up is not null").count()
-        if left == open_:  # depths have no gaps, so what is left runs in cycles
-            break
-        open_ = left
-    trees = step.where("up is null").select("id", F.reverse("chain").alias("path"))
-    trees = trees.select("id", "path", F.col("path")[0]["id"].alias("thread_id"), (F.size("path") - 1).alias("depth"))
-    rings = _rings(step.where("up is not null").select("id"), base) if open_ else None
-    if rings is not None:
-        trees = trees.unionByName(rings.select("id", F.lit(None).cast(trees.schema["path"].dataType).alias("path"), "thread_id", F.lit(-1).alias("depth")))
-    kids = base.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n_children")).withColumnRenamed("parent", "k_id")
-    out = base.join(trees, "id").join(kids, F.col("id") == F.col("k_id"), "left").drop("k_id")
-    out = out.withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "is_leaf": F.col("n_children").isNull()})
-    roots = base.select(F.col("id").alias("r_id"), F.when(F.col("dangling"), "orphan").when(F.col("inbound"), "customer_root").otherwise("brand_root").alias("kind"))
-    out = out.join(roots, F.col("thread_id") == F.col("r_id"), "left").withColumn("root_kind", F.when(F.col("depth") < 0, "cycle").otherwise(F.col("kind"))).drop("r_id", "kind")
-    w = Window.partitionBy("thread_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    leaves = F.coalesce(F.sum(F.col("is_leaf").cast("int")).over(w), F.lit(0))
-    return out.withColumn("branch_id", F.when(F.col("depth") < 0, 0).otherwise(leaves))
+    kids = base.where("parent is not null").groupBy(F.col("parent").alias("k_id")).agg(F.count("*").alias("n_children"))
+    full = cut(base.join(kids, F.col("id") == F.col("k_id"), "left").drop("k_id").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
+    leaf = (F.col("n_children") == 0).cast("long").alias("leaves")
+    ways = climb(_up(full, leaf), _merged(leaves=F.col("leaves")), "leaves")
+    placed = _placed(ways, base, "leaves")
+    trees = full.join(placed.where("depth >= 0").select("id", "leaves"), "id").select("id", "parent", "ts", "leaves")
+    siblings = running(trees.where("parent is not null"), "parent", ["ts", "id"], "leaves", "before").select("id", F.col("parent").alias("up"), "before")
+    tops = trees.where("parent is null").select("id", F.lit(None).cast("long").alias("up"), F.lit(0).cast("long").alias("before"))
+    before = climb(siblings.unionByName(tops), {"before": F.col("before") + F.col("a_before")}).select("id", F.col("before").alias("branch_id"))
+    out = full.join(placed.drop("leaves"), "id").join(before, "id", "left")
+    return out.withColumns({"is_leaf": F.col("n_children") == 0, "branch_id": F.coalesce("branch_id", F.lit(0))})
 
 
 def _rings(nodes: DataFrame, base: DataFrame) -> DataFrame:
@@ -127,9 +199,8 @@ def assign(forest: DataFrame) -> DataFrame:
     at the first inbound tweet on the way from the root: directly below it, or deep. Tweets before
     one, and those in cycles, have none.
     """
-    root_in = F.get("path", F.lit(0))["inbound"]
-    first = F.get(F.filter("path", lambda x: x["inbound"]), F.lit(0))["id"]
-    at = F.array_position(F.transform("path", lambda x: x["id"]), F.coalesce(first, F.lit(-1)).cast("long")) - 1
+    at, first = F.col("first_inbound_depth"), F.col("first_inbound")
+    root_in = F.coalesce(at == 0, F.lit(False))
     conversation = F.when(F.col("depth") < 0, None).when(root_in, F.col("thread_id")).otherwise(first)
     stem = F.when(F.col("root_kind") == "orphan", "orphan_broadcast").otherwise("brand_broadcast")
     source = F.when(root_in, F.when(F.col("root_kind") == "orphan", "orphan_customer").otherwise("customer_root")).otherwise(F.when(at > 1, F.concat(stem, F.lit("_deep"))).otherwise(stem))

@@ -150,8 +150,8 @@ v AS (SELECT *, CASE WHEN root_in THEN thread_id ELSE path[first_in + 1] END AS
 
 @query(f"{_F} SELECT b.id, f.thread_id, coalesce(f.depth, -1) AS depth, {_KIND} AS root_kind, array_to_string(f.path, ',') AS path FROM b LEFT JOIN f ON b.id = f.id WHERE f.id IS NOT NULL")
 def forest_depth_root(spark, sf_dir):
-    out = forest.build(S.tweets(spark, sf_dir)).where("depth >= 0")
-    return out.select("id", "thread_id", "depth", "root_kind", F.array_join(F.transform("path", lambda x: x["id"].cast("string")), ",").alias("path"))
+    out = forest.rooted(S.tweets(spark, sf_dir)).where("depth >= 0")
+    return out.select("id", "thread_id", "depth", "root_kind", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 @query(f"""{_F}, c AS (SELECT b.id FROM b LEFT JOIN f ON b.id = f.id WHERE f.id IS NULL), w AS (SELECT id, id AS at, [id] AS seen FROM c UNION ALL SELECT w.id, b.parent, list_append(seen, b.parent) FROM w JOIN b ON b.id = w.at WHERE NOT list_contains(seen, b.parent)),
