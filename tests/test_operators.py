@@ -1,6 +1,9 @@
 import datetime as dt
 import hashlib
+import random
+from functools import reduce
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,13 +109,47 @@ def test_knn_ties(spark):
         vectors.top_k(query, corpus, 0)
 
 
-def test_more_queries_than_one_pass_takes(spark, monkeypatch):
-    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(30)]
-    queries, corpus = spark.createDataFrame(rows, "query_id long, qv array<float>"), spark.createDataFrame(rows, "item_id long, cv array<float>")
-    want = sorted(map(tuple, vectors.top_k(queries, corpus, 3).select("query_id", "item_id", "similarity", "rank").collect()))
-    monkeypatch.setattr(vectors, "MAX_QUERIES", 8)
-    assert vectors.query_blocks(queries) > 1
-    assert sorted(map(tuple, vectors.top_k(queries, corpus, 3).select("query_id", "item_id", "similarity", "rank").collect())) == want and len(want) == 90
+def by_hand(queries, corpus, k, same=None):
+    out = []
+    dot = lambda a, b: reduce(lambda s, xy: s + xy[0] * xy[1], zip(a, b, strict=True), 0.0)  # noqa: E731  in order: sum() compensates
+    for q, qv, qk in queries:
+        near = sorted((-dot(qv, cv), c) for c, cv, ck in corpus if same is None or qk != ck)[:k]
+        out += [(q, c, -s, rank + 1) for rank, (s, c) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "sample"), [(1024, 16_384), (7, 16_384), (16, 5)])
+def test_neighbours_by_hand(spark, monkeypatch, block, sample):
+    """Clustered vectors of different lengths, copies that tie, excluded pairs; the same in small blocks and with a useless sample."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", sample)
+    r = random.Random(4)
+    middle = [[r.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    near = lambda i: [float(np.float32(x * (1 + i % 3) + r.gauss(0, 0.1))) for x in middle[i % 9]]
+    corpus = [(i, near(i), r.choice([None, "a", "b"])) for i in range(300)]
+    corpus += [(400 + i, corpus[5][1], "c") for i in range(40)] + [(500, [0.0] * 6, "a")]
+    queries = [(i, near(i), r.choice([None, "a", "d"])) for i in range(50)] + [(60, corpus[5][1], "d"), (61, [0.0] * 6, "d")]
+    q = spark.createDataFrame([(*x, 7) for x in queries] + [(99, None, "a", 7)], "query_id long, qv array<float>, qt string, row int").repartition(3)
+    c = spark.createDataFrame([(*x, 8) for x in corpus] + [(600, None, "a", 8)], "item_id long, cv array<float>, ct string, cell int").repartition(3)
+    for exclude in (None, ("qt", "ct")):
+        got, share = vectors.neighbours(q, c, 4, exclude)
+        rows = got.collect()
+        assert sorted((x["query_id"], x["item_id"], x["similarity"], x["rank"]) for x in rows) == by_hand(queries, corpus, 4, exclude)
+        assert all(x["row"] == 7 and x["cell"] == 8 and (exclude is None or x["qt"] != x["ct"]) for x in rows)
+        pairs, compared = share.first()
+        assert pairs == 52 * 341 and compared <= pairs
+
+
+def test_few_pairs_are_compared(spark):
+    """On clustered vectors most cells can't hold a neighbour."""
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(40, 32)), 50, 0) * 4 + r.normal(size=(2000, 32)) * 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    near, share = vectors.neighbours(spark.createDataFrame(rows[::10], "query_id long, qv array<double>"), spark.createDataFrame(rows, "item_id long, cv array<double>"), 3)
+    pairs, compared = share.first()
+    assert near.where("rank = 1 and query_id <> item_id").count() == 0 and near.count() == 600 and compared < 0.3 * pairs
+    empty = spark.createDataFrame([], "item_id long, cv array<double>, more string")
+    assert vectors.top_k(spark.createDataFrame(rows[:3], "query_id long, qv array<double>"), empty, 3).count() == 0
 
 
 def test_allocation(spark):

@@ -76,7 +76,7 @@ def knn_answer(messages: DataFrame, bank: DataFrame, pool: DataFrame, vote_k: in
     (item_id, cv, first_reply_text).
     """
     far = bank.withColumnRenamed("text", "bank_text")
-    near = vectors.top_k(messages.select("query_id", "qv", "text"), far, vote_k, exclude=F.col("bank_text").eqNullSafe(F.col("text")))
+    near = vectors.top_k(messages.select("query_id", "qv", "text"), far, vote_k, exclude=("text", "bank_text"))
     expect_all(messages.select("query_id").join(near.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left"), F.col("n") >= vote_k, f"{vote_k} others can vote")
     voted = vectors.vote(near).select("query_id", F.col("label").alias("intent"), "votes")
     best = retrieved(messages.select("query_id", "qv"), pool, k)

@@ -69,7 +69,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, be
 
 
 def _votes(spark, sf_dir):
-    near = _ranked(spark, sf_dir, 5, exclude=F.col("item_id") == F.col("query_id"))
+    near = _ranked(spark, sf_dir, 5, exclude=("query_id", "item_id"))
     truth = near.select("query_id", F.col("q_label").alias("y_true")).distinct()
     return vectors.vote(near).join(truth, "query_id").select("query_id", "y_true", F.col("label").alias("y_pred"), "votes", "best")
 
