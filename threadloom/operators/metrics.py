@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,63 @@ def bootstrap(pairs: DataFrame, resamples: int = 1000, seed: int = 42, low: floa
     draws = draws.select("r", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "p").cast("binary")), 1, 8), 16, 10).cast("long") % n).alias("pos"))
     scores = draws.join(pairs, "pos").groupBy("r").agg(metric.alias("score"))
     return scores.agg(F.percentile("score", F.lit(low)).alias("low"), F.percentile("score", F.lit(high)).alias("high")).crossJoin(pairs.agg(F.count("*").alias("n"), metric.alias(name)))
+
+
+#: Values that are sorted to read a quantile off; the sketch's accuracy, and the part of the rows kept on either side of a rank.
+SORTED_VALUES, ACCURACY, ASIDE = 10_000, 10_000, 1 / 2_000
+
+
+def quantiles(rows: DataFrame, column: str, at: list[float]) -> list[float | None]:
+    """The exact quantiles of a column of any length, between two values in proportion; nulls and NaN are left out, no values give None.
+
+    Each rank is bracketed by a sketch's values a little below and above it, the brackets are checked
+    by counts and narrowed until few values or a single one is left. What is held are sketches and
+    counts, never the values; a round reads the rows twice. A bracket that the counts don't confirm
+    stays where it was on that side.
+    """
+    if any(not 0 <= q <= 1 for q in at):
+        raise ValueError("quantiles are from 0 to 1")
+    x = F.col(column).cast("double")
+    rows = rows.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    n, least, most = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(at)
+    ranks = sorted({r for q in at for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
+    open_ = {r: (least, most, 0, n) for r in ranks}  # rank -> the bracket, how many values lie below it, how many in it
+    value = {}
+    while True:
+        for r, (low, high, _, _) in list(open_.items()):
+            if low == high:
+                value[r] = low
+                del open_[r]
+        wide = {r: b for r, b in open_.items() if b[3] > SORTED_VALUES}
+        if not wide:
+            break
+        inside = lambda low, high: F.when(F.col("x").between(F.lit(low), F.lit(high)), F.col("x"))
+        part = {r: (r - below) / max(1, size - 1) for r, (_, _, below, size) in wide.items()}
+        asked = [F.percentile_approx(inside(low, high), [max(0.0, part[r] - ASIDE), min(1.0, part[r] + ASIDE)], ACCURACY) for r, (low, high, _, _) in wide.items()]
+        edges = dict(zip(wide, rows.agg(*asked).first(), strict=True))
+        counts = rows.agg(*[c for a, b in edges.values() for c in (F.count_if(F.col("x") < F.lit(a)), F.count_if(F.col("x") <= F.lit(b)))]).first()
+        for i, (r, (a, b)) in enumerate(edges.items()):
+            low, high, below, size = open_[r]
+            under, upto = counts[2 * i], counts[2 * i + 1]
+            low, start = (a, under) if under <= r else (low, below)
+            high, end = (b, upto) if r < upto else (high, below + size)
+            if (low, high) == open_[r][:2]:  # the sketch can't split it further: halve it between its ends
+                middle = low + (high - low) / 2 if low + (high - low) / 2 < high else low
+                upto = rows.agg(F.count_if(F.col("x") <= F.lit(middle))).first()[0]
+                if r < upto:
+                    high, end = middle, upto
+                else:
+                    low, start = rows.where(F.col("x") > F.lit(middle)).agg(F.min("x")).first()[0], upto
+            open_[r] = (low, high, start, end - start)
+    if open_:
+        kept = [F.sort_array(F.collect_list(F.when(F.col("x").between(F.lit(low), F.lit(high)), F.col("x")))) for low, high, _, _ in open_.values()]  # SORTED_VALUES at most each
+        for (r, (_, _, below, _)), held in zip(open_.items(), rows.agg(*kept).first(), strict=True):
+            value[r] = held[r - below]
+    out = []
+    for q in at:
+        p = q * (n - 1)
+        a, b = value[math.floor(p)], value[math.ceil(p)]
+        out.append(a + (b - a) * (p - math.floor(p)))
+    return out

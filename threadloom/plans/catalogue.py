@@ -44,9 +44,9 @@ def knn_topk(spark, sf_dir):
 @query(f"""WITH {_CORPUS}, t AS (SELECT similarity AS x FROM n WHERE rank = 1) SELECT count(*) AS n, round(min(x), 6) AS p0, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50,
 round(quantile_cont(x, 0.9), 6) AS p90, round(max(x), 6) AS p100, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM t""")
 def knn_top1_distribution(spark, sf_dir):
-    t, x = _ranked(spark, sf_dir, 1, True), F.col("similarity")
-    p = lambda q: r6(F.percentile(x, F.lit(q)))
-    return t.agg(F.count("*").alias("n"), r6(F.min(x)).alias("p0"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), r6(F.max(x)).alias("p100"), r6(F.avg(x)).alias("mean"), r6(F.stddev_pop(x)).alias("std"))
+    t, x = forest.cut(_ranked(spark, sf_dir, 1, True).select("similarity")), F.col("similarity")
+    p = {f"p{q:.0f}": r6(F.lit(v).cast("double")).alias(f"p{q:.0f}") for q, v in zip((10, 50, 90), metrics.quantiles(t, "similarity", [0.1, 0.5, 0.9]), strict=True)}
+    return t.agg(F.count("*").alias("n"), r6(F.min(x)).alias("p0"), *p.values(), r6(F.max(x)).alias("p100"), r6(F.avg(x)).alias("mean"), r6(F.stddev_pop(x)).alias("std"))
 
 
 _EDGES = [0.0, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01]
@@ -204,8 +204,9 @@ def conversation_summary(spark, sf_dir):
 
 @query(f"{_CONV}, n AS (SELECT count(*) AS c FROM v WHERE conversation_id IS NOT NULL GROUP BY conversation_id) SELECT " + ", ".join(f"round(quantile_cont(c, {p / 100}), 6) AS p{p}" for p in (25, 50, 75, 90, 99)) + " FROM n")
 def conversation_size_dist(spark, sf_dir):
-    n = forest.summarize(forest.assign(forest.build(S.tweets(spark, sf_dir))))
-    return n.agg(*[r6(F.percentile("n_tweets", F.lit(p / 100))).alias(f"p{p}") for p in (25, 50, 75, 90, 99)])
+    n = forest.cut(forest.summarize(forest.assign(forest.build(S.tweets(spark, sf_dir)))).select("n_tweets"))
+    at = (25, 50, 75, 90, 99)
+    return n.agg(F.count("*")).select(*[r6(F.lit(v).cast("double")).alias(f"p{p}") for p, v in zip(at, metrics.quantiles(n, "n_tweets", [p / 100 for p in at]), strict=True)])
 
 
 # --- turns -------------------------------------------------------------------------------------
@@ -379,9 +380,8 @@ q AS (SELECT stratum, arg_max(quota, i) AS quota FROM w GROUP BY stratum), d AS
 def equal_share_sample(spark, sf_dir):
     d = S.table(spark, sf_dir, "labels").withColumn("stratum", F.col("quality") * 2 + F.col("toxic")).where("stratum is not null")
     quota = sampling.equal_shares({r["stratum"]: r["n"] for r in d.groupBy("stratum").agg(F.count("*").alias("n")).collect()}, 60)
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(sampling.lot(44, F.col("doc_id"))))
     most = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col("stratum"))
-    return d.withColumn("r", rank).where(F.col("r") <= most).select("doc_id", "stratum")
+    return sampling.first_by_lot(d.withColumn("most", most), ["stratum"], "most", sampling.lot(44, F.col("doc_id"))).select("doc_id", "stratum")
 
 
 @query("WITH a AS (SELECT doc_id, quality AS p1, ((doc_id * 7) % 5 = 0)::INT AS p2 FROM labels), d AS (SELECT p1, p2, count(*) AS n FROM a WHERE p1 <> p2 GROUP BY ALL) SELECT p1, p2, n, row_number() OVER (ORDER BY n DESC, p1, p2) AS rank FROM d")
