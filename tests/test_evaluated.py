@@ -184,6 +184,7 @@ def test_labelling(spark):
     both, orphans = labelling.joined(first, spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (4, "a"), (99, "c")], "conversation_id long, intent string"))
     assert orphans == 1 and labelling.agreement(both, "abc").first()["accuracy"] == 0.25
     assert [tuple(r) for r in labelling.disagreements(both, "abc").collect()] == [("b", "a", 2, [1, 4]), ("c", "a", 1, [2])]
+    assert [tuple(r) for r in labelling.disagreements(both, "abc", shown=1).collect()] == [("b", "a", 2, [1]), ("c", "a", 1, [2])]
     assert [tuple(r) for r in labelling.involved(both, "abc").orderBy("rank").collect()] == [("a", 3, 1), ("b", 2, 2), ("c", 1, 3)]
 
 
@@ -197,6 +198,16 @@ def test_survey(spark):
     assert tuple(survey.several_brands(t.where("not inbound and conversation_id is not null")).first()) == (3, 1, pytest.approx(100 / 3))
 
 
+def test_names_in_texts(spark):
+    """Equality instead of a search for each name: the same pairs, whatever the names hold, and no nested loop."""
+    names = ["Acme", "acme", "Acme Air", "x@y", "é1", "LONGNAME", "a"]
+    texts = ["@acme air is late", "@ACMEplus", "mail x@y now", "@x@y hi", "@@a", "@É1", "acme", "@longnam", None, "", "@", "see @longname/@Acme\n@b", "a@\nAcme"]
+    inbound, brands = spark.createDataFrame(list(enumerate(texts)), "conversation_id long, text string"), spark.createDataFrame([(n,) for n in names] + [(None,)], "author_id string")
+    out = survey.addressed(inbound, brands)
+    assert sorted(map(tuple, out.collect())) == sorted((n, i) for n in names for i, t in enumerate(texts) if t and f"@{n.lower()}" in t.lower())
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and survey.addressed(inbound, brands.limit(0)).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     schema = spark.createDataFrame([], "a long, b string").schema
     path = tmp_path / "rows.jsonl"

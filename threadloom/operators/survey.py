@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 
+BROADCAST_BRANDS = 100_000
 
-def top_brands(replies: DataFrame, n: int = 8) -> DataFrame:
-    """(author_id, conversations): authors of outbound replies in the most conversations, ties by name."""
-    return replies.groupBy("author_id").agg(F.count_distinct("conversation_id").alias("conversations")).orderBy(F.desc("conversations"), "author_id").limit(n)
+
+def top_brands(replies: DataFrame, n: int | None = 8) -> DataFrame:
+    """(author_id, conversations): authors of outbound replies in the most conversations, ties by name; n None: all of them."""
+    every = replies.groupBy("author_id").agg(F.count_distinct("conversation_id").alias("conversations"))
+    return every if n is None else every.orderBy(F.desc("conversations"), "author_id").limit(n)
 
 
 def several_brands(replies: DataFrame) -> DataFrame:
@@ -20,22 +23,33 @@ def several_brands(replies: DataFrame) -> DataFrame:
 
 
 def addressed(inbound: DataFrame, brands: DataFrame) -> DataFrame:
-    """(author_id, conversation_id): conversations in which a customer wrote @brand, in any case, also at the start of a longer name."""
-    named = F.contains(F.lower("text"), F.concat(F.lit("@"), F.lower("author_id")))
-    return inbound.select("conversation_id", "text").join(F.broadcast(brands.select("author_id")), named).select("author_id", "conversation_id").distinct()
+    """(author_id, conversation_id): conversations in which a customer wrote @brand, in any case, also at the start of a longer name.
+
+    What follows each @ is cut to the length of every name that there is (a few lengths, whatever the
+    number of names), and these beginnings are joined with the names by equality. Names are not null.
+    """
+    names = brands.where("author_id is not null").select("author_id", F.lower("author_id").alias("_name"))
+    lengths = sorted(r[0] for r in names.select(F.length("_name").alias("n")).distinct().collect())
+    if not lengths:
+        return inbound.select(F.lit(None).cast("string").alias("author_id"), "conversation_id").limit(0)
+    after = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?s)@(?=(.{{0,{lengths[-1]}}}))"), 1)
+    starts = F.flatten(F.transform(after, lambda x: F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(x)), lambda n: F.substring(x, F.lit(1), n))))
+    said = inbound.select("conversation_id", F.explode(F.array_distinct(starts)).alias("_name")).distinct()
+    return said.join(names, "_name").select("author_id", "conversation_id").distinct()
 
 
-def report(tweets: DataFrame, n: int = 8) -> DataFrame:
-    """One row for each of the n top brands of tweets (id, author_id, inbound, conversation_id, text), tweets in no conversation left out.
+def report(tweets: DataFrame, n: int | None = 8) -> DataFrame:
+    """One row for each of the n top brands (None: of all) of tweets (id, author_id, inbound, conversation_id, text), tweets in no conversation left out.
 
     conversations, median_tweets (of its conversations), answered_pct (of conversations that address
     it, those that it replied in; null if there are none), redirect_pct, deflection_pct,
-    median_residual, non_english_pct, multipart_pct. The n brands' names are a broadcast of n rows.
+    median_residual, non_english_pct, multipart_pct. Names of up to BROADCAST_BRANDS brands are sent to all tasks.
     """
     tweets = tweets.where(F.col("conversation_id").isNotNull())
     replies = tweets.where(~F.col("inbound"))
     brands = top_brands(replies, n)
-    own = replies.join(F.broadcast(brands.select("author_id")), "author_id", "left_semi")
+    wanted = brands.select("author_id")
+    own = replies if n is None else replies.join(F.broadcast(wanted) if n <= BROADCAST_BRANDS else wanted, "author_id", "left_semi")
     text = own.select("author_id", "conversation_id", T.once(T.normalize(F.col("text"))).alias("t"))
     text = text.select("author_id", T.has_redirect(F.col("t")).alias("redirect"), F.size(T.residual_words(F.col("t"))).alias("residual"), T.is_non_english(F.col("t")).alias("foreign"), F.coalesce(T.is_multipart(F.col("t")), F.lit(False)).alias("multipart"))
     pct = lambda c: F.avg(c.cast("double")) * 100

@@ -244,7 +244,7 @@ def prompts(spark, sf_dir):
 
 _TWEETS = f"""WITH w AS (SELECT conv_id * 100 + turn AS id, role = 'user' AS inbound, CASE WHEN role = 'user' THEN 'cust' ELSE 'Brand' || ((conv_id + turn // 4) % 12) END AS author_id, CASE WHEN conv_id % 13 <> 0 THEN conv_id END AS conversation_id,
  CASE WHEN role = 'user' THEN '@BRAND' || (conv_id % 12) || ' ' || coalesce(text, '') WHEN conv_id % 2 = 0 THEN ([{', '.join(map(_q, S.REPLIES))}])[((conv_id + turn) % {len(S.REPLIES)})::INT + 1] ELSE text END AS text FROM conversations),
-a AS (SELECT * FROM w WHERE conversation_id IS NOT NULL), o AS (SELECT * FROM a WHERE NOT inbound), b AS (SELECT author_id, count(DISTINCT conversation_id) AS conversations FROM o GROUP BY author_id ORDER BY conversations DESC, author_id LIMIT 8)"""
+a AS (SELECT * FROM w WHERE conversation_id IS NOT NULL), o AS (SELECT * FROM a WHERE NOT inbound), b AS (SELECT author_id, count(DISTINCT conversation_id) AS conversations FROM o GROUP BY author_id)"""
 
 
 def _brand_tweets(spark, sf_dir):
@@ -265,7 +265,7 @@ n AS (SELECT author_id, {C._NORM} AS t FROM o SEMI JOIN b USING (author_id)), x
 r AS (SELECT author_id, avg(h::INT) * 100 AS rp, avg((h AND w <= 3)::INT) * 100 AS dp, median(w) AS mw, avg(f::INT) * 100 AS fp, avg(mp::INT) * 100 AS mpp FROM x GROUP BY 1)
 SELECT author_id, conversations, round(m, 6) AS median_tweets, round(p, 6) AS answered_pct, round(rp, 6) AS redirect_pct, round(dp, 6) AS deflection_pct, round(mw, 6) AS median_residual, round(fp, 6) AS non_english_pct, round(mpp, 6) AS multipart_pct FROM b JOIN md USING (author_id) LEFT JOIN an USING (author_id) JOIN r USING (author_id)""")
 def brand_report(spark, sf_dir):
-    out = survey.report(_brand_tweets(spark, sf_dir))
+    out = survey.report(_brand_tweets(spark, sf_dir), None)
     return out.select("author_id", "conversations", *[r6(c).alias(c) for c in ("median_tweets", "answered_pct", "redirect_pct", "deflection_pct", "median_residual", "non_english_pct", "multipart_pct")])
 
 
