@@ -30,7 +30,7 @@ TEMPLATES = {
 }
 #: Of a template's 2-grams, the part that must be found in order.
 LEAST = 0.8
-#: Diagonals that lie this near are one: a word more or less between two parts.
+#: Diagonals that lie this near are one: so many words more or fewer between two parts.
 NEAR = 2
 #: Rows of template 2-grams up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -62,10 +62,15 @@ def places(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, st
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     votes = grams.join(known, "gram").where("w1 = t1 and w2 = t2").select("id", "template", "label", "kind", "grams", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
     lines = votes.groupBy("id", "template", "label", "kind", "grams", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("at").alias("at_low"), F.max("at").alias("at_high"))
-    # Neighbouring diagonals are one place when the later part of the template follows in the text too.
-    w = Window.partitionBy("id", "template").orderBy("diagonal", "low")
-    after = (F.col("diagonal") - F.lag("diagonal").over(w) <= NEAR) & (F.col("at_low") > F.lag("at_high").over(w)) & (F.col("low") > F.lag("high").over(w)) & (F.col("kind") == "own")
-    lines = lines.withColumn("place", F.sum(F.when(F.coalesce(after, F.lit(False)), 0).otherwise(1)).over(w))
+    # Neighbouring diagonals are one place when the later part of the template follows in the text too:
+    # on a higher one after words that were added, on a lower one after words that are missing.
+    own = F.col("kind") == "own"
+    w = Window.partitionBy("id", "template").orderBy("diagonal")
+    apart = ~F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) <= NEAR) & own, F.lit(False))
+    lines = lines.withColumn("band", F.sum(apart.cast("int")).over(w))
+    w = Window.partitionBy("id", "template", "band").orderBy("low", "diagonal")
+    after = (F.col("at_low") > F.lag("at_high").over(w)) & (F.col("low") > F.lag("high").over(w))
+    lines = lines.withColumn("place", F.struct("band", F.sum(F.when(F.coalesce(after, F.lit(False)), 0).otherwise(1)).over(w).alias("n")))
     merged = lines.groupBy("id", "template", "label", "kind", "grams", "place").agg(F.sum("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + 1).alias("end"))
     need = F.when(F.col("kind") == "base", F.col("grams")).otherwise(F.ceil(F.lit(LEAST) * F.col("grams")))
     return merged.where(F.col("votes") >= need).select("id", "label", "kind", "start", "end", F.least(F.col("votes") / F.col("grams"), F.lit(1.0)).alias("share"))
