@@ -49,6 +49,21 @@ def test_templates_with_changes(spark):
         assert label in got[3 * i] and label in got[3 * i + 1]
 
 
+def test_templates_with_one_edit(spark):
+    """A word missing, added or replaced anywhere: found where 0.8 of the 2-grams are left."""
+    rows, want = [], {}
+    for label, text in sorted(license_scan.TEMPLATES.items()):
+        w = text.split()
+        for i in range(1, len(w) - 1):
+            for kind, new, lost in (("missing", w[:i] + w[i + 1 :], 2), ("two missing", w[:i] + w[i + 2 :], 3 if i + 2 < len(w) else 2), ("added", w[:i] + ["zz"] + w[i:], 1), ("two added", w[:i] + ["zz", "yy"] + w[i:], 1), ("replaced", w[:i] + ["zz"] + w[i + 1 :], 2)):
+                want[len(rows)] = (label, kind, 1 - lost / (len(w) - 1))
+                rows.append((len(rows), " ".join(["a", *new, "b"])))
+    got = {x["doc_id"]: (x["labels"].split(","), x["score"]) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, kind, share) in want.items():
+        if share >= 0.8 + 1e-9:
+            assert label in got[i][0] and got[i][1] >= share - 1e-9, (label, kind, rows[i])
+
+
 def test_fingerprints_by_hand(spark):
     r = random.Random(43)
     rows = [(i, "".join(r.choice("abcé") for _ in range(r.randrange(0, 300)))) for i in range(30)]
@@ -236,6 +251,16 @@ def test_circles_keep_their_turns(spark):
     assert got == {None: 0, 0: 1, 1: 2, 2: 3}
 
 
+def test_the_earliest_schema_counts(spark):
+    """Whatever the order of rows; a list of types is checked."""
+    tool = lambda *types: json.dumps({"tools": [{"name": "f", "parameters": {"properties": {"a": {"type": t}}}} for t in types]})
+    calls = json.dumps({"tool_calls": [{"id": str(i), "name": "f", "arguments": {"a": a}} for i, a in enumerate(["x", 5, None, True])]})
+    rows = [(1, 0, "system", tool(["string", "null"], "boolean")), (1, 1, "system", tool("integer")), (1, 2, "assistant", calls), (2, 5, "system", tool("integer")), (2, 6, "system", tool("string")), (2, 7, "assistant", calls), (3, None, "system", tool("boolean")), (3, 0, "system", tool("string")), (3, 1, "assistant", calls), (4, 0, "system", tool(["odd", "integer"])), (4, 0, "system", tool("string")), (4, 2, "assistant", calls)]
+    for order in (rows, rows[::-1]):
+        out = chat_format.format_chats(spark.createDataFrame(order, "conv_id long, turn int, role string, text string").coalesce(1)).where("kind = 'calls'")
+        assert {x["conv_id"]: x["n_invalid"] for x in out.collect()} == {1: 2, 2: 3, 3: 3, 4: 3}
+
+
 def test_schemas(spark):
     schema = {"name": "find", "parameters": {"properties": {"q": {"type": "string", "enum": ["x", "y"]}, "n": {"type": "integer"}, "l": {"type": "array", "items": {"type": "number"}}}, "required": ["q"], "additionalProperties": False}}
     loose = {"name": "loose", "parameters": {"properties": {"q": {"type": "string"}}, "additionalProperties": {"type": "string"}}}

@@ -15,14 +15,16 @@ _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "D
 
 
 def _is_type(value: Column, name: Column) -> Column:
+    """Whether value is of the type of that name, or of one of a JSON list of names; a type that is not known is not checked."""
     kind = F.schema_of_variant(value)
-    found = F.lit(True)  # a type that is not known is not checked
+    known, fits = F.lit(False), F.lit(False)
     for t, kinds in _TYPES.items():
-        fits = F.lit(False)
+        named = (name == t) | (F.startswith(name, F.lit("[")) & F.contains(name, F.lit(f'"{t}"')))
+        of = F.lit(False)
         for k in kinds:
-            fits = fits | kind.startswith(k)
-        found = F.when(name == t, fits).otherwise(found)
-    return found
+            of = of | kind.startswith(k)
+        known, fits = known | named, fits | (named & of)
+    return ~known | fits
 
 
 def _breaks(value: Column, rule: Column) -> Column:
@@ -82,7 +84,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     keep their turn. A call is invalid when its conversation has schemas but none of its tool, or
     its tool has one and a required argument is missing or null, an argument (or an element of a
     list, by items) is of another type, or not one of enum, or is not named where
-    additionalProperties is false. Objects inside arguments are not looked into.
+    additionalProperties is false. A type may be a list of names. Of several schemas of a tool the one
+    of the earliest turn counts, of one turn the first in the order of texts, of one text the first.
+    Objects inside arguments are not looked into.
     n_linked: calls with a result (for a result: 1 if its call is there). json is the message as
     canonical JSON: keys sorted, no blanks. Other texts are plain content, null and broken JSON too;
     null conversations are one conversation; null turns come first; repeated rows stay rows. Other
@@ -99,8 +103,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     calls = calls.select("conv_id", "turn", "k", "at", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
     first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "k")).alias("f")).select(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_id"), F.col("f.turn").alias("call_turn"), F.col("f.k").alias("call_k"))
     results = rows.where("kind = 'result'").select(F.col("conv_id").alias("r_conv"), F.col("answers").alias("r_id")).distinct()
-    tools = rows.where("kind = 'tools'").select("conv_id", F.explode("tools").alias("t")).select(F.col("conv_id").alias("t_conv"), F.col("t.name").alias("t_name"), F.col("t.parameters").alias("p"))
-    tools = tools.groupBy("t_conv", "t_name").agg(F.first("p").alias("p"))
+    tools = rows.where("kind = 'tools'").select("conv_id", F.struct("turn", "text").alias("said"), F.posexplode("tools").alias("at", "t")).select(F.col("conv_id").alias("t_conv"), F.col("t.name").alias("t_name"), F.col("t.parameters").alias("p"), F.struct("said", "at").alias("said"))
+    tools = tools.groupBy("t_conv", "t_name").agg(F.min_by("p", "said").alias("p"))
     given = F.from_json(F.to_json("arguments"), "map<string,variant>")
     checked = calls.join(tools, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("name") == F.col("t_name")), "left").withColumn("given", F.when(F.col("p").isNotNull(), given))
     schemas = tools.select(F.col("t_conv").alias("s_conv"), F.lit(True).alias("known")).distinct()
