@@ -122,6 +122,7 @@ def by_hand(queries, corpus, k, same=None):
 def test_neighbours_by_hand(spark, monkeypatch, block, sample):
     """Clustered vectors of different lengths, copies that tie, excluded pairs; the same in small blocks and with a useless sample."""
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "ASK_BLOCK", block)
     monkeypatch.setattr(vectors, "SAMPLE_ROWS", sample)
     r = random.Random(4)
     middle = [[r.gauss(0, 1) for _ in range(6)] for _ in range(9)]

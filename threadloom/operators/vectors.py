@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.operators.forest import cut
+from threadloom.operators.forest import cut, release
 
-#: Vectors are dealt to at most so many cells, the square root of their number; cells and queries are cut into blocks of so many rows.
-CELLS, BLOCK = 1024, 1024
+#: Vectors are dealt to at most so many cells, the square root of their number; cells are cut into blocks of so many rows, and queries near one another into larger ones, as an item moves once for each of these.
+CELLS, BLOCK, ASK_BLOCK = 1024, 1024, 4096
 #: Cells are fitted on so many rows at most, and on fewer long ones; each query's k-th best of them is its floor.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 1 << 22
 #: More than double precision loses in a product, relative to the lengths.
@@ -49,8 +49,8 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.full(len(scores), -np.inf) if scores.shape[1] < k else np.partition(scores, -k, 1)[:, -k]
 
 
-def _ask(rows: DataFrame, sample: np.ndarray, keys: np.ndarray, middle: np.ndarray, k: int) -> DataFrame:
-    """rows (row, key, v) with cell and floor: what the k-th best neighbour reaches at least, by a sample of the corpus."""
+def _ask(rows: DataFrame, sample: np.ndarray, keys: np.ndarray, middle: np.ndarray, group: np.ndarray, k: int) -> DataFrame:
+    """rows (row, key, v) with cell, the group of its own, and reach: what the k-th best neighbour reaches at least, by a sample of the corpus."""
     sizes = np.sqrt((sample**2).sum(1)).max()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def _ask(rows: DataFrame, sample: np.ndarray, keys: np.ndarray, middle: np.ndarr
                 at = slice(i, i + 512)
                 scores = np.where(own[at, None] == keys, -np.inf, x[at] @ sample.T) if len(keys) else x[at] @ sample.T
                 floor[at] = _best(scores, k) - SLACK * (1 + sizes * np.sqrt((x[at] ** 2).sum(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(x, middle), pa.int32()), pa.array(floor)], ["row", "key", "v", "cell", "reach"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group[_nearest(x, middle)], pa.int32()), pa.array(floor)], ["row", "key", "v", "cell", "reach"])
 
     return rows.mapInArrow(run, "row long, key long, v array<double>, cell int, reach double")
 
@@ -79,27 +79,28 @@ def _deal(rows: DataFrame, middle: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, cell int, reach double")
 
 
-def _blocks(rows: DataFrame, sizes: dict[int, int], order: str, probes=None) -> DataFrame:
-    """(block, cell, rows, keys, vs, reaches, probes, ids): cells cut into blocks by lot, rows of a block by order."""
-    cuts = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 0) // BLOCK) or 1) for c in range(max(sizes, default=0) + 1)]), F.col("cell") + 1)
+def _blocks(rows: DataFrame, sizes: dict[int, int], order: str, most: int, probes=None) -> DataFrame:
+    """(block, cell, rows, keys, vs, reaches, probes, asking, ids): cells cut into blocks by lot, rows of a block by order."""
+    cuts = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 0) // most) or 1) for c in range(max(sizes, default=0) + 1)]), F.col("cell") + 1)
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         x, reach = _matrix(table.column("v").combine_chunks()), table.column("reach").to_numpy()
         flat = [pa.array([v.tobytes()], pa.binary()) for v in (table.column("row").to_numpy(), table.column("key").to_numpy(), x, reach)]
-        to, ids = probes(x, reach) if probes else [], table.column(order).combine_chunks()
-        return pa.table([table.column("cell").slice(0, 1), *flat, pa.array([to], pa.list_(pa.int32())), pa.array([ids.to_pylist()], pa.list_(ids.type))], names=["cell", "rows", "keys", "vs", "reaches", "probes", "ids"])
+        asking = probes(x, reach).sum(0) if probes else np.zeros(0, int)
+        to, ids = np.flatnonzero(asking), table.column(order).combine_chunks()
+        return pa.table([table.column("cell").slice(0, 1), *flat, pa.array([to.tolist()], pa.list_(pa.int32())), pa.array([asking[to].tolist()], pa.list_(pa.int64())), pa.array([ids.to_pylist()], pa.list_(ids.type))], names=["cell", "rows", "keys", "vs", "reaches", "probes", "asking", "ids"])
 
     kind = rows.schema[order].dataType.simpleString()
-    packed = rows.withColumn("cut", F.pmod(F.xxhash64("row"), cuts)).groupBy("cell", "cut").applyInArrow(pack, f"cell int, rows binary, keys binary, vs binary, reaches binary, probes array<int>, ids array<{kind}>")
+    packed = rows.withColumn("cut", F.pmod(F.xxhash64("row"), cuts)).groupBy("cell", "cut").applyInArrow(pack, f"cell int, rows binary, keys binary, vs binary, reaches binary, probes array<int>, asking array<long>, ids array<{kind}>")
     return cut(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
-def _compare(asks: DataFrame, items: DataFrame, size: int, k: int, keyed: bool) -> DataFrame:
+def _compare(asks: DataFrame, items: DataFrame, size: int, k: int, keyed: bool, probes) -> DataFrame:
     """(q, c, similarity, item_id) of the pairs of blocks that asks' probes name: of each block the k best of each query that reach its floor."""
     named = items.select(F.col("cell").alias("probe"), F.col("rows").alias("cs"), F.col("keys").alias("cks"), F.col("vs").alias("xs"), "ids")
     pairs = asks.select("block", F.explode("probes").alias("probe")).join(named, "probe")
-    pairs = pairs.join(asks.select("block", "rows", "keys", "vs", "reaches").hint("merge"), "block").select("rows", "keys", "vs", "reaches", "cs", "cks", "xs", "ids")
+    pairs = pairs.join(asks.select("block", "rows", "keys", "vs", "reaches").hint("merge"), "block").select("probe", "rows", "keys", "vs", "reaches", "cs", "cks", "xs", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +108,14 @@ def _compare(asks: DataFrame, items: DataFrame, size: int, k: int, keyed: bool)
             for r in batch.to_pylist():
                 q, x = (np.frombuffer(r[n]).reshape(-1, size) for n in ("vs", "xs"))
                 rows, cs, keys, cks = (np.frombuffer(r[n], np.int64) for n in ("rows", "cs", "keys", "cks"))
+                reach = np.frombuffer(r["reaches"])
+                asking = np.flatnonzero(probes(q, reach, r["probe"])[:, 0])
+                q, rows, keys, reach = q[asking], rows[asking], keys[asking], reach[asking]
                 scores = q @ x.T
                 if keyed:
                     scores[keys[:, None] == cks] = -np.inf
                 slack = SLACK * (1 + np.sqrt((q**2).sum(1) * (x**2).sum(1).max(initial=0)))
-                floor = np.maximum(np.frombuffer(r["reaches"]), _best(scores, k) - slack)
+                floor = np.maximum(reach, _best(scores, k) - slack)
                 a, b = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
                 exact = np.cumsum(q[a] * x[b], axis=1)[:, -1] if len(a) else np.zeros(0)  # added in order, as dot does, so that equal vectors tie
                 order = np.lexsort((b, -exact, a))
@@ -151,7 +155,8 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, exclude: tuple[str
     asked = cut(queries.where("qv is not null").select("*", key(0).alias("_qk"), F.monotonically_increasing_id().alias("_q")))
     held = cut(corpus.where("cv is not null").select("*", key(1).alias("_ck"), F.monotonically_increasing_id().alias("_c")))
     n, of = held.agg(F.count("*"), F.max(F.size("cv"))).first()
-    if not n or not asked.limit(1).count():
+    asked_n = asked.count()
+    if not n or not asked_n:
         none = asked.drop("_q", "_qk", "qv").crossJoin(held.drop("_c", "_ck", "cv")).limit(0)
         return none.select("*", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")), spark.createDataFrame([(0, 0)], "pairs long, compared long")
     limit = min(SAMPLE_ROWS, max(256, SAMPLE_NUMBERS // of))
@@ -163,18 +168,23 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, exclude: tuple[str
     radius = np.array([cells[c]["reach"] if c in cells else -np.inf for c in range(len(middle))])
     sizes = np.sqrt((middle**2).sum(1)).max()
 
-    def probes(x: np.ndarray, floor: np.ndarray) -> list[int]:
+    def probes(x: np.ndarray, floor: np.ndarray, cell: int | None = None) -> np.ndarray:
+        """(queries, cells): whether the cell, or each, can hold a neighbour that reaches the query's floor."""
+        of = slice(None) if cell is None else slice(cell, cell + 1)
         length = np.sqrt((x**2).sum(1))
-        most = np.where(np.isfinite(radius), x @ middle.T + length[:, None] * np.where(np.isfinite(radius), radius, 0), -np.inf)
-        return np.flatnonzero((most + SLACK * (1 + length * sizes)[:, None] >= floor[:, None]).any(0) & np.isfinite(radius)).tolist()
+        there = np.isfinite(radius[of])
+        most = x @ middle[of].T + length[:, None] * np.where(there, radius[of], 0) + SLACK * (1 + length * sizes)[:, None]
+        return there & (most >= floor[:, None])
 
-    rows = cut(_ask(asked.select(F.col("_q").alias("row"), F.col("_qk").alias("key"), F.col("qv").cast("array<double>").alias("v")), sample, drawn.column("_ck").to_numpy() if exclude else np.zeros(0), middle, k))
+    group = _nearest(middle, centres(middle, -(-asked_n // ASK_BLOCK)))
+    rows = cut(_ask(asked.select(F.col("_q").alias("row"), F.col("_qk").alias("key"), F.col("qv").cast("array<double>").alias("v")), sample, drawn.column("_ck").to_numpy() if exclude else np.zeros(0), middle, group, k))
     per = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
-    asks = _blocks(rows, per, "row", probes)
-    blocks = _blocks(items, {c: r["n"] for c, r in cells.items()}, "item_id")
-    each = asks.select((F.length("rows") / 8).alias("m"), F.explode("probes").alias("cell")).join(F.broadcast(spark.createDataFrame([(c, r["n"]) for c, r in cells.items()], "cell int, n long")), "cell")
-    share = asks.agg((F.sum(F.length("rows") / 8) * n).cast("long").alias("pairs")).crossJoin(each.agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).cast("long").alias("compared")))
-    best = _compare(asks, blocks, of, k, exclude is not None)
+    asks = _blocks(rows, per, "row", ASK_BLOCK, probes)
+    blocks = _blocks(items, {c: r["n"] for c, r in cells.items()}, "item_id", BLOCK)
+    release(items, rows)
+    each = asks.select(F.explode(F.arrays_zip(F.col("probes").alias("cell"), F.col("asking").alias("m"))).alias("e")).select("e.cell", "e.m").join(F.broadcast(spark.createDataFrame([(c, r["n"]) for c, r in cells.items()], "cell int, n long")), "cell")
+    share = each.agg(F.lit(asked_n * n).cast("long").alias("pairs"), F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).cast("long").alias("compared"))
+    best = _compare(asks, blocks, of, k, exclude is not None, probes)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "item_id"))
     out = best.withColumn("rank", rank).where(F.col("rank") <= k)
     if more := [c for c in corpus.columns if c not in ("item_id", "cv")]:
