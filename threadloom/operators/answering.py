@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules as R
 from threadloom.functions import text as T
-from threadloom.operators import vectors
+from threadloom.operators import calls, vectors
+from threadloom.operators.forest import cut
 from threadloom.sources.checks import expect_all, expect_unique
 
 #: What the trivial baseline sends to everybody.
@@ -91,7 +94,93 @@ def majority_answer(messages: DataFrame, bank: DataFrame, positions: DataFrame)
     return messages.select("query_id").crossJoin(F.broadcast(most)).withColumns({"decision": F.lit("auto"), "reply": F.lit(CANNED)})
 
 
-# --- prompts -----------------------------------------------------------------------------------
+# --- a run -------------------------------------------------------------------------------------
+
+
+def classify_requests(messages: DataFrame, model: str, instructions: str) -> DataFrame:
+    return messages.select("query_id", F.lit(model).alias("model"), F.lit(instructions).alias("system"), classify_prompt(F.col("text")).alias("prompt"), F.lit(0).alias("variant"))
+
+
+def reply_requests(rows: DataFrame, model: str, instructions: str) -> DataFrame:
+    return rows.select("query_id", F.lit(model).alias("model"), F.lit(instructions).alias("system"), reply_prompt(F.col("text"), F.col("intent"), F.col("retrieved")).alias("prompt"), F.lit(0).alias("variant"))
+
+
+def understood(messages: DataFrame, raw: DataFrame, near: DataFrame, floor: float) -> DataFrame:
+    """messages (query_id, text) whose classifier's text is in raw (query_id, response), with intent, parse_ok, near's columns and those of decided."""
+    parsed = messages.select("query_id", "text").join(raw.select("query_id", "response"), "query_id").select("query_id", "text", T.once(T.parse_intent(F.col("response"))).alias("p"))
+    return decided(parsed.select("query_id", "text", "p.intent", "p.parse_ok").join(near, "query_id"), floor)
+
+
+def preflight(messages: DataFrame, near: DataFrame, cache: DataFrame, classify: tuple[str, str], reply: tuple[str, str], force_reply: bool = False, floor: float = R.SIMILARITY_FLOOR, most: int | None = None) -> DataFrame:
+    """calls.agent_budget of a run on messages; classify and reply are (model, instructions). More calls than most raises, before any goes out."""
+    held = cache.select("key", "response")
+    first = calls.asked(classify_requests(messages, *classify)).join(held, "key", "left").select("query_id", "response")
+    known = cut(understood(messages, first.where("response is not null"), near, floor))
+    classified = first.select("query_id", F.col("response").isNotNull().alias("cached")).join(known.select("query_id", "decision"), "query_id", "left")
+    drafts = calls.asked(reply_requests(known, *reply)).join(held, "key", "left").select("query_id", F.col("response").isNotNull().alias("cached"))
+    plan = cut(calls.agent_budget(classified, drafts, force_reply))
+    if most is not None and (total := plan.first()["total"]) > most:
+        raise calls.OverBudget(f"{total} calls are needed and {most} allowed; nothing has been sent")
+    return plan
+
+
+def run(messages: DataFrame, pool: DataFrame, cache: DataFrame, classify: tuple[str, str], reply: tuple[str, str], call: Callable | None = None, ledger: str | None = None, k: int = 3, force_reply: bool = False, floor: float = R.SIMILARITY_FLOOR, most: int | None = None, gap: float = calls.GAP_S) -> DataFrame:
+    """answer's columns for messages (query_id, text, qv): classified, decided and drafted by calls that the cache, the ledger or call answers.
+
+    pool (item_id, cv, opening_text, first_reply_text). Drafts are asked for only where none would be
+    thrown away. most: see preflight. Without call, what the cache lacks raises CacheMiss.
+    """
+    near = cut(retrieved(messages.select("query_id", "qv"), pool, k))
+    held = cache.select("key", "response")
+    if ledger:
+        held = held.union(calls.answered(messages.sparkSession, ledger).join(held.select("key"), "key", "left_anti").select("key", "response"))
+    if most is not None:
+        preflight(messages, near, held, classify, reply, force_reply, floor, most)
+    raw, _ = calls.complete(classify_requests(messages, *classify), held, call, ledger, gap)
+    rows = cut(understood(messages, raw, near, floor))
+    wanted = rows if force_reply else rows.where(F.col("decision") == "auto")
+    drafts, _ = calls.complete(reply_requests(wanted, *reply), held, call, ledger, gap)
+    out = rows.join(drafts.select("query_id", F.trim("response").alias("reply")), "query_id", "left")
+    return out.withColumn("reply_generated", F.col("reply").isNotNull())
+
+
+# --- instructions and prompts ------------------------------------------------------------------
+
+#: What each intent stands for, in our words; a caller with a taxonomy of its own gives its own.
+GLOSSES = {
+    "playback_library": "sound, playlists, downloads or saved items do not behave as they should",
+    "app_bug": "the application crashes, freezes or shows an error",
+    "content_issue": "something is missing from the catalogue, or wrong in it",
+    "account_access": "the customer cannot get into the account, or somebody else has",
+    "billing_dispute": "a charge is wrong, doubled or unwanted, or money should come back",
+    "subscription_query": "a question about plans, prices, offers or who may use them",
+    "feature_request": "a wish for something that the product does not do",
+    "how_to_question": "how to do something that works",
+    "other": "no request, or none of the above",
+}
+#: What each axis asks of a draft, and what its ends look like.
+RUBRIC = {
+    "groundedness": ("does every statement rest on the earlier replies?", "facts or rules of its own making", "nothing that the earlier replies do not carry"),
+    "correctness": ("is anything untrue, or promised that support cannot keep?", "an untruth, or a promise of money, a fix or a date", "nothing untrue and no such promise"),
+    "tone": ("does it read like the earlier replies?", "stiff, cold, or too familiar", "short, plain and friendly, as they are"),
+}
+
+
+def classify_instructions(glosses: dict[str, str] = GLOSSES) -> str:
+    """Instructions for a classifier over the given labels."""
+    return "\n".join(["Give the customer's message one label, by what the customer wants to be done.", "", *[f"- {label}: {gloss}" for label, gloss in glosses.items()], "", "Several wishes: the first one counts. Anger alone is no wish. A vague report of a fault is still that fault.", "Answer with the label and nothing else."])
+
+
+def reply_instructions(brand: str) -> str:
+    """Instructions for a writer of replies of a brand."""
+    return "\n".join([f"You answer customers for {brand}, in its own voice.", "Earlier conversations come first, with the replies that were sent; then the new message.", "", "Say nothing about the customer's account, which you cannot see. Promise only what those replies promise.", "Where they ask for details, ask for them too. Be as short as they are. Write the reply alone."])
+
+
+def judge_instructions(rubric: dict[str, tuple[str, str, str]] = RUBRIC, low: int = 1, high: int = 5) -> str:
+    """Instructions for a judge that scores each axis of the rubric."""
+    axes = [line for axis, (question, worst, best) in rubric.items() for line in (f"{axis}: {question}", f"  {low}: {worst}", f"  {high}: {best}")]
+    shape = ", ".join(f'"{axis}": n' for axis in rubric)
+    return "\n".join([f"Score the draft on each axis, in whole numbers from {low} to {high}. Earlier conversations and the new message come before it.", "", *axes, "", "Length is no fault. Answer with this JSON and nothing else:", "{" + shape + "}"])
 
 
 def precedent(items: Column, opening: str = "opening_text", reply: str = "first_reply_text", similarity: str | None = "similarity") -> Column:

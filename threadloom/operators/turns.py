@@ -80,5 +80,5 @@ def nested(turned: DataFrame) -> DataFrame:
     """One row for each conversation: its opening, its turns as an array of structs, and its first substantive reply."""
     rows = turned.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "role", "tweet_ids", "text"))).alias("turns"), F.sum("n_parts").alias("n_tweets"), F.count("*").alias("n_turns"))
     opening = turned.where((F.col("turn_index") == 0) & (F.col("role") == "customer")).select("conversation_id", F.col("tweet_ids")[0].alias("opening_tweet_id"), F.col("text").alias("opening_text"))
-    reply = first_reply(turned).select("conversation_id", F.col("tweet_ids").alias("first_reply_tweet_ids"), F.col("text").alias("first_reply_text"), F.col("agent_signature").alias("first_reply_signature"), F.col("turn_index").alias("first_reply_turn_index"))
+    reply = first_reply(turned).select("conversation_id", F.col("tweet_ids").alias("first_reply_tweet_ids"), F.col("text").alias("first_reply_text"), F.col("agent_signature").alias("first_reply_signature"), F.col("turn_index").alias("first_reply_turn_index"), F.col("orphan_part").alias("first_reply_orphan_part"))
     return rows.join(opening, "conversation_id", "left").join(reply, "conversation_id", "left")

@@ -247,9 +247,9 @@ _HAS = f"(regexp_matches(t, {_q(T.any_of(T.REDIRECTS.values()))}) AND NOT (regex
 _LEFT = "list_filter(string_split_regex(" + _BARE.replace(_NORM, "t") + rf", '\s+'), lambda w: w <> '' AND NOT list_contains({list(T.FILLER)}, w))"
 
 
-@query(f"""WITH {S.TURNS_SQL}, n AS (SELECT *, {_NORM} AS t FROM v), d AS (SELECT conversation_id, turn_index, tweet_ids, text, agent_signature, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_index) AS r FROM n WHERE role = 'brand' AND NOT ({_HAS} AND len({_LEFT}) <= 3)),
+@query(f"""WITH {S.TURNS_SQL}, n AS (SELECT *, {_NORM} AS t FROM v), d AS (SELECT conversation_id, turn_index, tweet_ids, text, agent_signature, n_parts = 1 AND n_marked = 1 AS orphan_part, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_index) AS r FROM n WHERE role = 'brand' AND NOT ({_HAS} AND len({_LEFT}) <= 3)),
 z AS (SELECT conversation_id, to_json(list(struct_pack(turn_index := turn_index, role := role, tweet_ids := tweet_ids, text := text) ORDER BY turn_index))::VARCHAR AS turns, sum(n_parts)::BIGINT AS n_tweets, count(*) AS n_turns FROM v GROUP BY conversation_id)
-SELECT z.*, w.tweet_ids[1] AS opening_tweet_id, w.text AS opening_text, array_to_string(d.tweet_ids, ',') AS first_reply_tweet_ids, d.text AS first_reply_text, d.agent_signature AS first_reply_signature, d.turn_index AS first_reply_turn_index
+SELECT z.*, w.tweet_ids[1] AS opening_tweet_id, w.text AS opening_text, array_to_string(d.tweet_ids, ',') AS first_reply_tweet_ids, d.text AS first_reply_text, d.agent_signature AS first_reply_signature, d.turn_index AS first_reply_turn_index, d.orphan_part AS first_reply_orphan_part
 FROM z LEFT JOIN v w ON w.conversation_id = z.conversation_id AND w.turn_index = 0 AND w.role = 'customer' LEFT JOIN d ON d.conversation_id = z.conversation_id AND d.r = 1""")
 def nested_conversations(spark, sf_dir):
     out = turns.nested(_turns(spark, sf_dir))
