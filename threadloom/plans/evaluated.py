@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import judging as J
 from threadloom.functions import rules as R
 from threadloom.functions import text as T
-from threadloom.operators import answering, calls, clusters, evaluation, forest, judging, labelling, sampling, survey
+from threadloom.operators import answering, calls, clusters, evaluation, forest, judging, labelling, sampling, survey, turns
 from threadloom.plans import catalogue as C
 from threadloom.plans import surrogates as S
 from threadloom.plans.registry import query, r6
@@ -282,6 +282,20 @@ def thread_summary(spark, sf_dir):
     return survey.thread_summary(forest.build(S.tweets(spark, sf_dir)).where("depth >= 0"))
 
 
+@query(f"""WITH {S.TURNS_SQL}, sb AS (SELECT conversation_id, count(*) AS c FROM p GROUP BY 1 HAVING bool_or(author_id = 'brand' AND NOT inbound)), s AS (SELECT conversation_id FROM sb WHERE c <= 6), vs AS (SELECT * FROM v SEMI JOIN s USING (conversation_id)),
+os AS (SELECT conversation_id, merge_group, max(resorted) AS resorted, count(CASE WHEN NOT inbound AND body IS NOT NULL THEN 1 END) AS signed FROM o SEMI JOIN s USING (conversation_id) GROUP BY ALL), n AS (SELECT *, {C._NORM} AS t FROM vs),
+d AS (SELECT *, n_parts = 1 AND n_marked = 1 AS orphan, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_index) AS r FROM n WHERE role = 'brand' AND NOT ({C._HAS} AND len({C._LEFT}) <= 3)), f AS (SELECT s.conversation_id, d.text, d.orphan FROM s LEFT JOIN d ON d.conversation_id = s.conversation_id AND d.r = 1)
+SELECT (SELECT count(DISTINCT conversation_id) FROM p) AS conversations, (SELECT count(*) FROM sb) AS of_brand, (SELECT sum(c) FROM sb)::BIGINT AS tweets, (SELECT count(*) FROM os WHERE resorted) AS resorted, (SELECT sum(signed) FROM os)::BIGINT AS signed, 0::BIGINT AS signed_by_several,
+sum(n_parts)::BIGINT AS capped_tweets, count(*) AS turns, count(*) FILTER (n_parts > 1) AS merged_groups, count(DISTINCT CASE WHEN n_parts > 1 THEN conversation_id END) AS merged_conversations, count(*) FILTER (n_parts = 1 AND n_marked = 1) AS orphan_parts,
+(SELECT count(*) FROM f) AS kept, (SELECT count(*) FROM f WHERE orphan) AS orphan_first, (SELECT count(text) FROM f) AS with_reply, (SELECT count(*) FROM f WHERE text IS NULL) AS without_reply, round(count(DISTINCT CASE WHEN n_parts > 1 THEN conversation_id END) * 100 / (SELECT count(*) FROM f), 6) AS merged_pct FROM vs""")
+def sample_summary(spark, sf_dir):
+    posts = S.posts(spark, sf_dir)
+    selected = turns.select_brand(posts, "brand")
+    merged = turns.clean(turns.merge_groups(turns.cap(selected, 6)))
+    turned = forest.cut(turns.turns(merged))
+    return survey.sample_summary(posts, selected, merged, turned, turns.nested(turned)).withColumn("merged_pct", r6("merged_pct"))
+
+
 @query(f"{C._CONV} SELECT source, count(DISTINCT conversation_id) AS conversations, count(*) AS tweets FROM v GROUP BY source")
 def conversation_counts(spark, sf_dir):
     return survey.conversation_counts(forest.assign(forest.build(S.tweets(spark, sf_dir)).where("depth >= 0")))
