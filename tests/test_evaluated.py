@@ -216,7 +216,13 @@ def test_sources_and_sinks(spark, tmp_path):
     path.write_text('{"a": 1}\n{"a": \n')
     with pytest.raises(Exception, match="(?i)malformed"):
         io.read_strict(spark, str(path), schema).collect()
-    assert [r["a"] for r in io.read_latest(spark, str(path), schema, "a").collect()] == [1]
+    with pytest.warns(UserWarning, match="1 lines are no records"):
+        assert [r["a"] for r in io.read_latest(spark, str(path), schema, "a").collect()] == [1]
+    assert [r["value"] for r in io.skipped(spark, str(path), schema, "a").collect()] == ['{"a": ']
+    for name, b in (("0", "old"), ("1", "new")):
+        (tmp_path / "several").mkdir(exist_ok=True)
+        (tmp_path / "several" / f"{name}.jsonl").write_text(f'{{"a": 1, "b": "{b}"}}\n' + '{"a": 2}\n' * (9 if b == "old" else 1))
+    assert {r["a"]: r["b"] for r in io.read_latest(spark, str(tmp_path / "several"), schema, "a").collect()} == {1: "new", 2: None}
     log = tmp_path / "log.jsonl"
     for i in range(3):
         io.append_record(str(log), {"a": i // 2, "b": f"é{i}"})
@@ -278,6 +284,16 @@ def test_paths_and_edges(spark):
         assert forest.warn_backwards(late).first()["backwards"] == 1
 
 
+def test_first_values_that_are_there(spark):
+    """Who wrote a turn and when come from its first tweet that has them; its signature is the last up to its end."""
+    at = [None, "2017-01-01 00:00:02", "2017-01-01 00:00:03"]
+    rows = [(1, 0, i, None if i == 0 else "acme", i != 0 and None, ts, f"part {i}", sig, 3, i, None) for i, (ts, sig) in enumerate(zip(at, ["AB", "CD", None], strict=True))]
+    cleaned = spark.createDataFrame(rows, "conversation_id long, merge_group long, id long, author_id string, inbound boolean, ts string, text string, signature string, n_parts long, position long, part_number int")
+    upto = turns.Window.partitionBy("conversation_id", "merge_group").orderBy("position")
+    got = turns.turns(cleaned.withColumn("signed", F.last("signature", ignorenulls=True).over(upto))).first()
+    assert (got["author_id"], got["created_at"], got["role"], got["agent_signature"]) == ("acme", at[1], "brand", "CD")
+
+
 def test_signature_of_the_first_reply(spark):
     rows = [(1, 0, "customer", "help", None), (1, 1, "brand", "restart the app and sign in once more", None), (1, 2, "brand", "then clean every downloaded file again", "LS")]
     t = spark.createDataFrame(rows, "conversation_id long, turn_index int, role string, text string, agent_signature string")

@@ -43,21 +43,23 @@ def merge_groups(tweets: DataFrame) -> DataFrame:
 
 
 def clean(grouped: DataFrame) -> DataFrame:
-    """Texts without signatures, and without the markers that merging makes stale."""
+    """Texts without signatures, and without the markers that merging makes stale; signed: the last signature of the group up to each tweet."""
     size = F.count("*").over(Window.partitionBy("conversation_id", "merge_group"))
     out = grouped.withColumns({"signature": F.when(~F.col("inbound"), T.signature(F.col("text"))), "text": F.when(~F.col("inbound"), T.without_signature(F.col("text"))).otherwise(F.col("text")), "n_parts": size})
+    upto = Window.partitionBy("conversation_id", "merge_group").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("signed", F.last("signature", ignorenulls=True).over(upto))
     return out.withColumn("text", F.when(F.col("position") > 0, T.without_prefix(F.col("text"))).when(F.col("n_parts") > 1, T.without_first_marker(F.col("text"))).otherwise(F.col("text")))
 
 
 def turns(cleaned: DataFrame) -> DataFrame:
-    """One row for each merged group, in turn order within its conversation."""
-    rows = F.array_sort(F.collect_list(F.struct("position", "id", "text", "author_id", "ts", "signature", "inbound", "part_number")))
+    """One row for each merged group, in turn order within its conversation: who wrote it and in which role from its first tweet that has it, when from its earliest."""
+    rows = F.array_sort(F.collect_list(F.struct("position", "id", "text", "author_id", "ts", "signed", "inbound", "part_number")))
     by = cleaned.groupBy("conversation_id", "merge_group").agg(rows.alias("r"))
-    signed = F.filter("r", lambda x: x["signature"].isNotNull())
+    first = lambda c: F.get(F.filter(F.transform("r", lambda x: x[c]), lambda v: v.isNotNull()), F.lit(0))
     marked = F.size(F.filter("r", lambda x: x["part_number"].isNotNull()))
     out = by.select(
-        "conversation_id", "merge_group", F.transform("r", lambda x: x["id"]).alias("tweet_ids"), F.when(F.col("r")[0]["inbound"], "customer").otherwise("brand").alias("role"), F.col("r")[0]["author_id"].alias("author_id"), F.col("r")[0]["ts"].alias("created_at"),
-        F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"), F.get(F.transform(signed, lambda x: x["signature"]), F.size(signed) - 1).alias("agent_signature"), F.size("r").alias("n_parts"), marked.alias("n_marked"),
+        "conversation_id", "merge_group", F.transform("r", lambda x: x["id"]).alias("tweet_ids"), F.when(first("inbound"), "customer").otherwise("brand").alias("role"), first("author_id").alias("author_id"), F.array_min(F.transform("r", lambda x: x["ts"])).alias("created_at"),
+        F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"), F.element_at("r", -1)["signed"].alias("agent_signature"), F.size("r").alias("n_parts"), marked.alias("n_marked"),
         ((F.size("r") == 1) & (marked == 1)).alias("orphan_part"),
     )
     return out.withColumn("turn_index", F.row_number().over(Window.partitionBy("conversation_id").orderBy("merge_group")) - 1)

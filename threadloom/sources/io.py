@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,11 +150,25 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("created_at", F.col("_ts")).drop("_ts")
 
 
+def _records(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """(at, value, r) of the lines that aren't blank: their place (by file, then in it), text, and record, null where it has no key or is broken."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("at"), "value").where(F.trim("value") != "")
+    return lines.withColumn("r", F.from_json("value", schema)).withColumn("r", F.when(F.col(f"r.{key}").isNotNull(), F.col("r")))
+
+
+def skipped(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """(file, value): lines that read_latest skips."""
+    return _records(spark, path, schema, key).where("r is null").select("at.file", "value")
+
+
 def read_latest(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """JSON lines, broken ones skipped; the last record of a key counts."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    rows = lines.select("_at", F.from_json("value", schema).alias("r")).where(F.col(f"r.{key}").isNotNull())
-    return rows.groupBy(F.col(f"r.{key}").alias("_k")).agg(F.max_by("r", "_at").alias("r")).select("r.*")
+    """JSON lines, broken ones skipped with a warning that counts them; the last record of a key counts, files in the order of their names."""
+    bad = skipped(spark, path, schema, key)
+    if n := bad.count():
+        warnings.warn(f"{n} lines are no records with {key} and are skipped, such as {[tuple(r) for r in bad.limit(3).collect()]}", stacklevel=2)
+    rows = _records(spark, path, schema, key).where("r is not null")
+    return rows.groupBy(F.col(f"r.{key}").alias("_k")).agg(F.max_by("r", "at").alias("r")).select("r.*")
 
 
 def upsert(existing: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
