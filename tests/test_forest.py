@@ -64,6 +64,12 @@ def test_a_chain_and_a_star(spark):
     assert got == walked(rows)
 
 
+def test_repeated_ids_raise(spark):
+    for rows in ([(1, None, True, 0), (1, 2, True, 1), (2, 1, True, 2)], [(None, None, True, 0)]):
+        with pytest.raises(ValueError, match="repeat or are null"):
+            built(spark, rows)
+
+
 def test_running_sums(spark):
     r = random.Random(9)
     rows = [(i, r.choice([1, 1, 1, None, 2]), r.randrange(9), r.randrange(-3, 4)) for i in range(400)]

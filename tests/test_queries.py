@@ -21,7 +21,7 @@ def test_conversations_hold_whole_texts(spark):
     for r in rows:
         for t in json.loads(r["turns"]):
             text = " ".join(t["text"].split())
-            assert all(said.get((r["conversation_id"], i % 100), "") in text for i in t["tweet_ids"])
+            assert all(said.get((r["conversation_id"], i % 1000), "") in text for i in t["tweet_ids"])
 
 
 def test_entry(spark):

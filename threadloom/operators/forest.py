@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.sources.checks import expect_unique
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where that is unset and Spark runs locally, a temporary one."""
@@ -89,6 +91,13 @@ def parents(tweets: DataFrame) -> DataFrame:
     return joined.select("id", F.col("known").alias("parent"), "inbound", "ts", (F.col("parent").isNotNull() & F.col("known").isNull()).alias("dangling"))
 
 
+def _known(tweets: DataFrame) -> DataFrame:
+    """parents of tweets, written; an id that is null or stands on several rows raises, as ways would multiply."""
+    base = cut(parents(tweets))
+    expect_unique(base, "id")
+    return base
+
+
 def _up(base: DataFrame, *more: Column) -> DataFrame:
     """The ways of climb: how far they go, where they end and of what kind that is, and the inbound tweet nearest to the end."""
     kind = F.when(F.col("dangling"), "orphan").when(F.col("inbound"), "customer_root").otherwise("brand_root")
@@ -112,7 +121,7 @@ def _placed(ways: DataFrame, base: DataFrame, *more: str) -> DataFrame:
 
 def rooted(tweets: DataFrame) -> DataFrame:
     """(id, thread_id, root_kind, depth, path) of tweets; path: the ids from the root on, which a chain of n needs n * n / 2 numbers for. See build."""
-    base = cut(parents(tweets))
+    base = _known(tweets)
     ways = climb(_up(base, F.array("id").alias("path")), _merged(path=F.concat("a_path", "path")))
     return _placed(ways, base, "path").select("id", "thread_id", "root_kind", "depth", "path")
 
@@ -127,7 +136,7 @@ def build(tweets: DataFrame) -> DataFrame:
     summed while ways double; sums over siblings are running sums of ranges, sums over ancestors a
     second doubling. No row holds its ancestors and no task a thread or all children of a tweet.
     """
-    base = cut(parents(tweets))
+    base = _known(tweets)
     kids = base.where("parent is not null").groupBy(F.col("parent").alias("k_id")).agg(F.count("*").alias("n_children"))
     full = cut(base.join(kids, F.col("id") == F.col("k_id"), "left").drop("k_id").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
     leaf = (F.col("n_children") == 0).cast("long").alias("leaves")

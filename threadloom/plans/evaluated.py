@@ -242,7 +242,7 @@ def prompts(spark, sf_dir):
 
 # --- survey and summaries ----------------------------------------------------------------------
 
-_TWEETS = f"""WITH w AS (SELECT conv_id * 100 + turn AS id, role = 'user' AS inbound, CASE WHEN role = 'user' THEN 'cust' ELSE 'Brand' || ((conv_id + turn // 4) % 12) END AS author_id, CASE WHEN conv_id % 13 <> 0 THEN conv_id END AS conversation_id,
+_TWEETS = f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, role = 'user' AS inbound, CASE WHEN role = 'user' THEN 'cust' ELSE 'Brand' || ((conv_id + turn // 4) % 12) END AS author_id, CASE WHEN conv_id % 13 <> 0 THEN conv_id END AS conversation_id,
  CASE WHEN role = 'user' THEN '@BRAND' || (conv_id % 12) || ' ' || coalesce(text, '') WHEN conv_id % 2 = 0 THEN ([{', '.join(map(_q, S.REPLIES))}])[((conv_id + turn) % {len(S.REPLIES)})::INT + 1] ELSE text END AS text FROM conversations),
 a AS (SELECT * FROM w WHERE conversation_id IS NOT NULL), o AS (SELECT * FROM a WHERE NOT inbound), b AS (SELECT author_id, count(DISTINCT conversation_id) AS conversations FROM o GROUP BY author_id)"""
 
@@ -253,7 +253,7 @@ def _brand_tweets(spark, sf_dir):
     user = F.col("role") == "user"
     brand = F.concat(F.lit("Brand"), ((F.col("conv_id") + F.floor(F.col("turn") / 4)) % 12).cast("string"))
     text = F.when(user, F.concat(F.lit("@BRAND"), (F.col("conv_id") % 12).cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))).when(F.col("conv_id") % 2 == 0, F.element_at(known, ((F.col("conv_id") + F.col("turn")) % len(S.REPLIES) + 1).cast("int"))).otherwise(F.col("text"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), user.alias("inbound"), F.when(user, "cust").otherwise(brand).alias("author_id"), F.when(F.col("conv_id") % 13 != 0, F.col("conv_id")).alias("conversation_id"), text.alias("text"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), user.alias("inbound"), F.when(user, "cust").otherwise(brand).alias("author_id"), F.when(F.col("conv_id") % 13 != 0, F.col("conv_id")).alias("conversation_id"), text.alias("text"))
 
 
 _MULTI = _q(T.MULTIPART.removeprefix("(?U)"))

@@ -21,16 +21,16 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply forest of the conversations: branching, orphans and cycles among it."""
     c = table(spark, sf_dir, "conversations").where("not (conv_id % 7 = 3 and turn = 0)")
     minute = F.when(F.col("conv_id") % 2 == 1, 100 - F.col("turn")).otherwise(F.col("turn"))
-    parent = F.when((F.col("turn") == 0) & (F.col("conv_id") % 11 == 5), F.col("conv_id") * 100 + 1).when(F.col("turn") > 0, F.col("conv_id") * 100 + F.floor((F.col("turn") - 1) / 2))
-    kids = F.concat(F.col("conv_id") * 100 + 2 * F.col("turn") + 1, F.lit(","), F.col("conv_id") * 100 + 2 * F.col("turn") + 2)
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), parent.alias("parent"), (F.col("role") == "user").alias("inbound"), F.timestamp_seconds(1509400800 + minute * 60).alias("ts"), kids.alias("responses"))
+    parent = F.when((F.col("turn") == 0) & (F.col("conv_id") % 11 == 5), F.col("conv_id") * 1000 + 1).when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor((F.col("turn") - 1) / 2))
+    kids = F.concat(F.col("conv_id") * 1000 + 2 * F.col("turn") + 1, F.lit(","), F.col("conv_id") * 1000 + 2 * F.col("turn") + 2)
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), parent.alias("parent"), (F.col("role") == "user").alias("inbound"), F.timestamp_seconds(1509400800 + minute * 60).alias("ts"), kids.alias("responses"))
 
 
 TWEETS_SQL = """
-t AS (SELECT conv_id * 100 + turn AS id,
-   CASE WHEN turn = 0 AND conv_id % 11 = 5 THEN conv_id * 100 + 1 WHEN turn > 0 THEN conv_id * 100 + (turn - 1) // 2 END AS parent0,
+t AS (SELECT conv_id * 1000 + turn AS id,
+   CASE WHEN turn = 0 AND conv_id % 11 = 5 THEN conv_id * 1000 + 1 WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2 END AS parent0,
    role = 'user' AS inbound, 1509400800 + 60 * CASE WHEN conv_id % 2 = 1 THEN 100 - turn ELSE turn END AS ts,
-   [conv_id * 100 + 2 * turn + 1, conv_id * 100 + 2 * turn + 2] AS responses
+   [conv_id * 1000 + 2 * turn + 1, conv_id * 1000 + 2 * turn + 2] AS responses
   FROM conversations WHERE NOT (conv_id % 7 = 3 AND turn = 0)),
 b AS (SELECT t.id, p.id AS parent, t.inbound, t.ts, t.parent0 IS NOT NULL AND p.id IS NULL AS dangling FROM t LEFT JOIN t p ON t.parent0 = p.id),
 f AS (SELECT id, id AS thread_id, 0 AS depth, [id] AS path, [inbound] AS ins, inbound AS root_in, dangling FROM b WHERE parent IS NULL
@@ -44,14 +44,14 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = F.when((F.col("conv_id") % 2 == 1) & F.col("turn").isin(1, 2), 3 - F.col("turn")).otherwise(F.col("turn"))
     text = F.concat(F.lit("@u"), F.col("conv_id"), F.lit(" "), F.col("turn"), F.lit(": "), F.col("text"), F.lit(" /AB"))
     return c.select(
-        F.col("conv_id").alias("conversation_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("turn") % 3 == 0).alias("inbound"), F.when(F.col("turn") % 3 == 0, "cust").otherwise("brand").alias("author_id"),
-        F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.floor((F.col("turn") - 1) / 2)).alias("parent"), F.timestamp_seconds(1509400800 + swapped * 60).alias("ts"), F.regexp_replace(text, r"\s+", " ").alias("text"),
+        F.col("conv_id").alias("conversation_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") % 3 == 0).alias("inbound"), F.when(F.col("turn") % 3 == 0, "cust").otherwise("brand").alias("author_id"),
+        F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor((F.col("turn") - 1) / 2)).alias("parent"), F.timestamp_seconds(1509400800 + swapped * 60).alias("ts"), F.regexp_replace(text, r"\s+", " ").alias("text"),
     )
 
 
 POSTS_SQL = r"""
-p AS (SELECT conv_id AS conversation_id, conv_id * 100 + turn AS id, turn % 3 = 0 AS inbound, CASE WHEN turn % 3 = 0 THEN 'cust' ELSE 'brand' END AS author_id,
-   CASE WHEN turn > 0 THEN conv_id * 100 + (turn - 1) // 2 END AS parent, CASE WHEN conv_id % 2 = 1 AND turn IN (1, 2) THEN 3 - turn ELSE turn END AS ts,
+p AS (SELECT conv_id AS conversation_id, conv_id * 1000 + turn AS id, turn % 3 = 0 AS inbound, CASE WHEN turn % 3 = 0 THEN 'cust' ELSE 'brand' END AS author_id,
+   CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2 END AS parent, CASE WHEN conv_id % 2 = 1 AND turn IN (1, 2) THEN 3 - turn ELSE turn END AS ts,
    CASE WHEN turn BETWEEN 0 AND 9 THEN turn END AS part_number, turn, '@u' || conv_id AS who, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body
   FROM conversations),
 l AS (SELECT *, lag(author_id) OVER w AS a0, lag(inbound) OVER w AS i0, lag(parent) OVER w AS p0, lag(id) OVER w AS id0 FROM p WINDOW w AS (PARTITION BY conversation_id ORDER BY ts, id)),
