@@ -119,6 +119,51 @@ def test_a_document_is_not_its_own_evidence(spark):
     assert alone["a"] == pytest.approx(alone["global_p"]) and alone["b"] == pytest.approx(alone["global_p"])
 
 
+def strength_by_hand(groups, parent, estimated):
+    """One-way random effects by moments: within over between."""
+    groups = [np.array(g) for g in groups if len(g)]
+    n, k = sum(map(len, groups)), len(groups)
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups) / (n - k)
+    apart = sum(len(g) * (g.mean() - q) ** 2 for g, q in zip(groups, parent, strict=True))
+    between = (apart - (k - estimated) * within) / (n - estimated * sum(len(g) ** 2 for g in groups) / n)
+    return min(max(within / between, 0.01), 1e6) if between > 0 else 1e6
+
+
+@pytest.mark.parametrize("effect", [0.0, 0.15, 0.4])
+def test_strengths_by_hand(spark, effect):
+    """Sites that differ are believed, sites that don't aren't; both levels and the posteriors from them, by plain sums."""
+    r = random.Random(int(effect * 100))
+    rows = [(f"h{h}", f"h{h}/{q}", min(1.0, max(0.0, r.gauss(0.5 + effect * (h % 3 - 1), 0.2)))) for h in range(9) for q in range(3) for _ in range(r.randrange(1, 30))]
+    rows += [("h0", "h0/none", None)]
+    df = spark.createDataFrame(rows, "host string, path string, p double")
+    got = {x["path"]: x for x in quality.posteriors(df, "p").collect()}
+    of = lambda j, name: [x[2] for x in rows if x[j] == name and x[2] is not None]
+    hosts = sorted({x[0] for x in rows})
+    overall = (sum(x[2] or 0 for x in rows) + 1) / (len(rows) - 1 + 2)
+    host_m = strength_by_hand([of(0, h) for h in hosts], [overall] * len(hosts), 1)
+    host_p = {h: (sum(of(0, h)) + host_m * overall) / (len(of(0, h)) + host_m) for h in hosts}
+    paths = sorted({x[1] for x in rows if x[2] is not None})
+    path_m = strength_by_hand([of(1, q) for q in paths], [host_p[q.split("/")[0]] for q in paths], 0)
+    for q in paths:
+        x = got[q]
+        assert (x["host_m"], x["path_m"], x["host_p"]) == (pytest.approx(host_m), pytest.approx(path_m), pytest.approx(host_p[x["host"]]))
+        assert x["path_p"] == pytest.approx((sum(of(1, q)) + path_m * x["host_p"]) / (len(of(1, q)) + path_m))
+    assert got["h0/none"]["path_p"] == pytest.approx(host_p["h0"])
+    assert (host_m > 50) == (effect == 0) and (effect < 0.4 or host_m < 3)
+
+
+def test_sites_move_documents(spark):
+    """Texts say nothing and sources do: a document's answer follows its site's others."""
+    r = random.Random(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" fine" * 3 if r.random() < (0.9 if i % 4 else 0.1) else " poor" * 3), f"s{i % 4}", "en") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(" fine" in t), 0) for i, t, _, _ in rows if i % 2], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    bad, good = ([x["quality_path"] for x in got if (x["host"] == "s0") == k] for k in (True, False))
+    assert max(bad) < 0.35 and min(good) > 0.6 and all((x["quality"] < x["quality_doc"]) == (x["host"] == "s0") for x in got if 0.001 < x["quality_doc"] < 0.999)
+
+
 def test_windows_as_native_and_by_hand(spark):
     r = random.Random(45)
     known = [f"w{i}" for i in range(120)]

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = re.compile(r"\w+")
-#: Words seen in fewer labelled documents of the sample say nothing.
-MIN_DOCS = 5
-
+#: A site's own documents hardly count beyond this many prior ones.
+LARGEST_STRENGTH = 1e6
 #: Sites up to which their sums are broadcast; beyond, the join shuffles, and Spark splits hot sites.
 BROADCAST_SITES = 100_000
 
@@ -42,14 +41,14 @@ class Evidence:
         self.weights, self.centre, self.scale, self.words = weights, centre, scale, words
 
     @classmethod
-    def fit(cls, rows: list[tuple[list[float], np.ndarray]], y: np.ndarray, max_words: int = 20_000) -> Evidence:
+    def fit(cls, rows: list[tuple[list[float], np.ndarray]], y: np.ndarray, least_docs: int = 5, max_words: int = 20_000) -> Evidence:
         every = np.concatenate([found for _, found in rows] or [np.zeros(0, np.uint32)])
         of = np.repeat(y, [len(found) for _, found in rows]) if len(rows) else y
         known, inverse = np.unique(every, return_inverse=True)
         both, ones = np.bincount(inverse, minlength=len(known)), np.bincount(inverse, of, minlength=len(known))
         n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
         ratio = np.log((ones + 0.5) / n1) - np.log((both - ones + 0.5) / n0)
-        often = np.flatnonzero(both >= MIN_DOCS)
+        often = np.flatnonzero(both >= least_docs)
         often = often[np.argsort(-np.abs(ratio[often]) * np.sqrt(both[often]), kind="stable")][:max_words]
         told = dict(zip(known[often].tolist(), ratio[often].tolist(), strict=True))
         x = np.array([cls._row(figures, found, told) for figures, found in rows], float).reshape(len(rows), 14)
@@ -97,13 +96,24 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(sites: DataFrame, mean: Column, parent: Column) -> float:
-    """Prior documents by which a site is shrunk to its parent: the method of moments on the sites' rates."""
-    row = sites.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * (mean - parent) ** 2).alias("between"), F.sum(parent * (1 - parent)).alias("within"), F.sum(F.col("n") * parent * (1 - parent)).alias("spread")).first()
-    if not row["k"] or not row["spread"]:
-        return 1.0
-    excess = (row["between"] - row["within"]) / row["spread"]  # between-site variance as a part of p(1 - p)
-    return float(min(max(1 / excess - 1, 1.0), 1e6)) if excess > 1e-6 else 1e6
+def _strength(sites: DataFrame, parent: Column, estimated: bool) -> float:
+    """Prior documents by which a site (k: sum, squares: sum of squares, n) is shrunk to its parent: variance within sites over variance between them.
+
+    The method of moments of one-way random effects: within is the documents' variance around their
+    own site's mean, N - K degrees of freedom; sites' means are spread around the parent by that, n
+    times less, and by the variance between. estimated: the parent is the sites' own overall mean.
+    """
+    mean = F.col("k") / F.col("n")
+    row = sites.where("n > 0").agg(
+        F.count("*").alias("sites"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("squares").alias("squares"), F.sum(F.col("k") * mean).alias("own"), F.sum(F.col("n") * (mean - parent) ** 2).alias("apart"),
+    ).first()
+    n, k = row["n"] or 0, row["sites"]
+    if n <= k:  # no site has two documents: nothing tells their noise from the sites' own differences
+        return LARGEST_STRENGTH
+    within = max(0.0, row["squares"] - row["own"]) / (n - k)
+    free = n - row["nn"] / n if estimated else n
+    between = (row["apart"] - (k - estimated) * within) / free if free > 0 else 0.0
+    return float(min(max(within / between, 0.01), LARGEST_STRENGTH)) if between > 0 else LARGEST_STRENGTH
 
 
 def posteriors(scored: DataFrame, p: str, host: str = "host", path: str = "path") -> DataFrame:
@@ -111,15 +121,15 @@ def posteriors(scored: DataFrame, p: str, host: str = "host", path: str = "path"
 
     The sums (host_k, host_n, path_k, path_n) and strengths (host_m, path_m) let a document be left out of its own site.
     """
-    paths = scored.groupBy(host, path).agg(F.sum(p).alias("k"), F.count(p).alias("n"))
-    hosts = paths.groupBy(host).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    none = F.lit(0.0)  # a site of null texts alone has no sums
+    paths = scored.groupBy(host, path).agg(F.coalesce(F.sum(p), none).alias("k"), F.coalesce(F.sum(F.col(p) * F.col(p)), none).alias("squares"), F.count(p).alias("n"))
+    hosts = paths.groupBy(host).agg(F.sum("k").alias("k"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
     whole = hosts.agg(F.sum("k"), F.sum("n")).first()
     overall = ((whole[0] or 0.0) + 1) / ((whole[1] or 0) + 2)
-    rate = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(overall)
-    m = _strength(hosts, rate, F.lit(overall))
+    m = _strength(hosts, F.lit(overall), True)
     hosts = hosts.select(F.col(host).alias("_h"), ((F.col("k") + m * overall) / (F.col("n") + m)).alias("host_p"), F.col("k").alias("host_k"), F.col("n").alias("host_n"), F.lit(m).alias("host_m"))
     joined = paths.join(hosts, F.col(host).eqNullSafe(F.col("_h"))).drop("_h")
-    m = _strength(joined, F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(F.col("host_p")), F.col("host_p"))
+    m = _strength(joined, F.col("host_p"), False)
     return joined.select(host, path, "host_p", ((F.col("k") + m * F.col("host_p")) / (F.col("n") + m)).alias("path_p"), F.lit(overall).alias("global_p"), "host_k", "host_n", "host_m", F.col("k").alias("path_k"), F.col("n").alias("path_n"), F.lit(m).alias("path_m"))
 
 
@@ -130,12 +140,13 @@ def left_out(p: str) -> tuple[Column, Column]:
     return by_host, (F.greatest(F.col("path_k") - own, F.lit(0.0)) + F.col("path_m") * by_host) / (F.col("path_n") - one + F.col("path_m"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", section_col: str = "lang", sample_docs: int = 8_000, keep_from: float = 0.5, toxic_from: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", section_col: str = "lang", sample_docs: int = 8_000, least_docs: int = 5, max_words: int = 20_000, keep_from: float = 0.5, toxic_from: float = 0.5) -> DataFrame:
     """(doc_id, host, path, quality_doc, quality_host, quality_path, quality, toxic_doc, toxic_path, toxic, keep) of each document.
 
     The classifiers of one document's text are fitted on a bounded sample, the sample_docs labelled
     documents whose id hashes lowest (labels: id_col, quality, toxic; rows with a null are left
-    out). Everything else covers all documents: their probabilities are averaged by host and by
+    out), on their form and the max_words words of the sample, in least_docs of its documents, that
+    tell the classes apart best. Everything else covers all documents: their probabilities are averaged by host and by
     path (host and section), shrunk towards the parents by strengths estimated from all sites, and
     a document's log-odds move by the log-odds of its path's other documents against the global
     ones: its own evidence counts once. keep: quality of
@@ -147,7 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(F.broadcast(picked), "_id").select("_id", "t", "quality", "toxic")
     sample = sorted(_shaped(picked), key=lambda r: r[0])
     rows = [(r[1], r[2]) for r in sample]
-    models = {name: Evidence.fit(rows, np.array([float(r[i] > 0) for r in sample])) for name, i in (("quality", 3), ("toxic", 4))}
+    models = {name: Evidence.fit(rows, np.array([float(r[i] > 0) for r in sample]), least_docs, max_words) for name, i in (("quality", 3), ("toxic", 4))}
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t"), F.col(host_col).cast("string").alias("host"), F.concat_ws("/", F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(section_col).cast("string"), F.lit(""))).alias("path"))
     from threadloom.llm.shared import written
 
