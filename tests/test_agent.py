@@ -20,7 +20,7 @@ def model(folder):
             pass
         if name == "llama-x":
             return "billing dispute" if "charged" in prompt else "App_Bug." if "crash" in prompt else "no idea"
-        return f" reply to {prompt.splitlines()[-3]} "
+        return f" reply to {prompt.splitlines()[-2]} "
 
     return call
 

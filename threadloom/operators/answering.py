@@ -185,18 +185,18 @@ def judge_instructions(rubric: dict[str, tuple[str, str, str]] = RUBRIC, low: in
 
 def precedent(items: Column, opening: str = "opening_text", reply: str = "first_reply_text", similarity: str | None = "similarity") -> Column:
     """The retrieved conversations as numbered blocks; similarity None leaves that out, so that it doesn't sway a judge."""
-    head = lambda x, i: F.concat(F.lit("--- past conversation "), (i + 1).cast("string"), F.format_string(" (similarity %.3f) ---", x[similarity]) if similarity else F.lit(" ---"))
+    head = lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.format_string("] similarity %.3f", x[similarity]) if similarity else F.lit("]"))
     block = F.transform(items, lambda x, i: F.concat_ws("\n", head(x, i), F.concat(F.lit("Customer: "), x[opening]), F.concat(F.lit("Reply: "), x[reply])))
-    return F.when(F.size(items) > 0, F.array_join(block, "\n\n")).otherwise("(no similar past conversation was found)")
+    return F.when(F.size(items) > 0, F.array_join(block, "\n\n")).otherwise("[nothing similar]")
 
 
 def classify_prompt(text: Column) -> Column:
-    return F.concat(F.lit("Message:\n"), text, F.lit("\n\nLabel:"))
+    return F.concat(F.lit("Customer: "), text, F.lit("\nLabel:"))
 
 
 def reply_prompt(text: Column, intent: Column, items: Column) -> Column:
-    return F.concat_ws("\n", precedent(items), F.lit(""), F.concat(F.lit("--- new message (classified as "), intent, F.lit(") ---")), F.concat(F.lit("Customer: "), text), F.lit(""), F.lit("Your reply:"))
+    return F.concat_ws("\n", precedent(items), F.lit(""), F.concat(F.lit("[new] "), intent), F.concat(F.lit("Customer: "), text), F.lit("Reply:"))
 
 
 def judge_prompt(text: Column, reply: Column, items: Column) -> Column:
-    return F.concat_ws("\n", precedent(items, similarity=None), F.lit(""), F.lit("--- new message ---"), F.concat(F.lit("Customer: "), text), F.lit(""), F.lit("--- draft reply to score ---"), reply, F.lit(""), F.lit("Scores:"))
+    return F.concat_ws("\n", precedent(items, similarity=None), F.lit(""), F.lit("[new]"), F.concat(F.lit("Customer: "), text), F.concat(F.lit("Draft: "), reply), F.lit("Scores:"))

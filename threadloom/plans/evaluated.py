@@ -232,12 +232,15 @@ def majority_answer(spark, sf_dir):
     return answering.majority_answer(messages, bank, positions)
 
 
-@query("SELECT vec_id AS query_id, 'Message:' || chr(10) || 'q' || vec_id || chr(10) || chr(10) || 'Label:' AS classify, '--- past conversation 1 (similarity 0.500) ---' || chr(10) || 'Customer: a' || chr(10) || 'Reply: b' || chr(10) || chr(10) || '--- past conversation 2 (similarity 0.250) ---' || chr(10) || 'Customer: c' || chr(10) || 'Reply: d' || chr(10) || chr(10) || '--- new message (classified as other) ---' || chr(10) || 'Customer: q' || vec_id || chr(10) || chr(10) || 'Your reply:' AS reply, '(no similar past conversation was found)' || chr(10) || chr(10) || '--- new message ---' || chr(10) || 'Customer: q' || vec_id || chr(10) || chr(10) || '--- draft reply to score ---' || chr(10) || 'r' || chr(10) || chr(10) || 'Scores:' AS judge FROM embeddings")
+@query("""WITH c AS (SELECT a.conv_id, a.text AS t, b.text AS r, printf('%.3f', (a.conv_id % 1000) / 1000.0::DOUBLE) AS s FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0)
+SELECT conv_id AS query_id, 'Customer: ' || t || chr(10) || 'Label:' AS classify, concat_ws(chr(10), '[1] similarity ' || s, 'Customer: ' || t, 'Reply: ' || r, '', '[new] other', 'Customer: ' || t, 'Reply:') AS reply,
+concat_ws(chr(10), '[nothing similar]', '', '[new]', 'Customer: ' || t, 'Draft: ' || r, 'Scores:') AS judge FROM c""")
 def prompts(spark, sf_dir):
-    item = lambda s, a, b: F.struct(F.lit(s).alias("similarity"), F.lit(a).alias("opening_text"), F.lit(b).alias("first_reply_text"))
-    items = F.array(item(0.5, "a", "b"), item(0.25, "c", "d"))
-    text = F.concat(F.lit("q"), "vec_id")
-    return S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), answering.classify_prompt(text).alias("classify"), answering.reply_prompt(text, F.lit("other"), items).alias("reply"), answering.judge_prompt(text, F.lit("r"), F.slice(items, 1, 0)).alias("judge"))
+    c = S.table(spark, sf_dir, "conversations")
+    first, second = c.where("turn = 0").select("conv_id", F.col("text").alias("t")), c.where("turn = 1").select("conv_id", F.col("text").alias("r"))
+    items = F.array(F.struct(((F.col("conv_id") % 1000) / 1000).alias("similarity"), F.col("t").alias("opening_text"), F.col("r").alias("first_reply_text")))
+    rows = first.join(second, "conv_id", "left")
+    return rows.select(F.col("conv_id").alias("query_id"), answering.classify_prompt(F.col("t")).alias("classify"), answering.reply_prompt(F.col("t"), F.lit("other"), items).alias("reply"), answering.judge_prompt(F.col("t"), F.col("r"), F.slice(items, 1, 0)).alias("judge"))
 
 
 # --- survey and summaries ----------------------------------------------------------------------
