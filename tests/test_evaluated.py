@@ -188,6 +188,12 @@ def test_labelling(spark):
     assert [tuple(r) for r in labelling.involved(both, "abc").orderBy("rank").collect()] == [("a", 3, 1), ("b", 2, 2), ("c", 1, 3)]
 
 
+def test_disagreements_keep_every_id(spark):
+    both = spark.range(2500).selectExpr("id", "'b' as y_true", "'a' as y_pred")
+    (row,) = labelling.disagreements(both, "abc").collect()
+    assert (row["n"], row["ids"]) == (2500, list(range(2500)))
+
+
 def test_survey(spark):
     rows = [(1, True, "c", 1, "@acmeplus help"), (2, False, "acme", 1, "Please DM us"), (3, False, "beta", 1, "restart the app and clean every file"), (4, True, "c", 2, "@ACME hi"), (5, False, "beta", 2, "1/2 hello there you"), (6, False, "acme", None, "lost"), (7, False, "beta", 3, "fine")]
     t = spark.createDataFrame(rows, "id long, inbound boolean, author_id string, conversation_id long, text string")

@@ -157,7 +157,7 @@ def label(spark, a) -> None:
         both, orphans = labelling.joined(first, spark.read.json(a.second))
         print(f"{orphans} of the second pass are not in the first")
         labelling.agreement(both, INTENTS).show()
-        labelling.disagreements(both, INTENTS).show(truncate=False)
+        labelling.disagreements(both, INTENTS, shown=1000).show(truncate=False)
         labelling.involved(both, INTENTS).show()
     else:
         labelling.relabel(spark.read.parquet(a.pool), first, a.total).show(a.total, truncate=False)
