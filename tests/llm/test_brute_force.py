@@ -184,6 +184,19 @@ def test_windows_as_native_and_by_hand(spark):
     assert found <= set(want) and len(found) >= 0.9 * len(want)
 
 
+def test_native_windows_across_stretches(spark, monkeypatch):
+    """Long texts in several rows of running sums, items whose counts need wider lanes, more items of a size than a group holds."""
+    r = random.Random(48)
+    known = [f"w{i}" for i in range(90)]
+    items = [(i, " ".join(r.choice(known) for _ in range(n))) for i, n in enumerate([15] * 10 + [20, 75])]
+    texts = [" ".join(" ".join([r.choice(known) for _ in range(r.randrange(60))] + [r.choice(items)[1]]) for _ in range(12)) for _ in range(4)] + [items[11][1], None, "", "w1"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "STRETCH", 64)
+    got, full = (sorted(map(tuple, run(docs, bench).drop("hamming").collect())) for run in (decontaminate.matches, decontaminate.native))
+    assert got == full and len(got) > 20
+    assert not decontaminate.native(docs, bench.limit(0)).collect() and not decontaminate.native(docs.limit(0), bench).collect()
+
+
 def test_windows_in_steps_and_item_blocks(spark, monkeypatch):
     r = random.Random(47)
     known = [f"w{i}" for i in range(90)]

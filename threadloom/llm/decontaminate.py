@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from threadloom.llm.license_scan import word_array
 from threadloom.llm.shared import Block, mix, written
@@ -25,6 +27,8 @@ SIMILAR = 0.8
 BLOCKS, GROUP = 4, 8
 #: Places of which the windows are fingerprinted at once (their sums fit a core's cache), and bytes of documents laid end to end.
 STEP, ROW_BYTES = 16384, 3 << 20
+#: Places of a text in a row of running sums, if no window is longer than a fourth of that.
+STRETCH = 2048
 #: Items, and characters of items, that a pass over the documents compares them with.
 BLOCK_ITEMS, BLOCK_CHARS = 256, 1_000_000
 #: Bytes of UTF-8 between words: ASCII beyond digits and (lower-cased) letters.
@@ -220,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     Items go to the workers in blocks of about BLOCK_ITEMS items or BLOCK_CHARS characters, each block
     compared with all documents in a pass of its own. Windows are made in Arrow batches: in
-    DataFrame operations alone (native) they exceed any limit by far.
+    DataFrame operations alone (native) they exceed the limit by far.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
@@ -247,22 +251,104 @@ def _best(found: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", F.col("b.start_word"), F.col("b.n_words"), F.col("b.hamming"), (-F.col("b")["col1"]).alias("similarity"))
 
 
+class _Lanes:
+    """Where the counts of 64 bits stand in whole numbers: bit b in lane b % each of number b // each.
+
+    A lane of `wide` bits holds the ones of a window; sums of a whole stretch may run over into the
+    next lane, as the difference of two such sums is again that of the window alone. The highest lane
+    has room for a stretch, so that no sum overflows.
+    """
+
+    def __init__(self, longest: int, stretch: int):
+        self.wide = longest.bit_length() + 1
+        self.each = (63 - max(stretch.bit_length(), self.wide)) // self.wide + 1
+        self.numbers = -(-64 // self.each)
+        self.half = (1 << self.wide - 1) - 1
+        self.one = sum(1 << k * self.wide for k in range(self.each))
+        self.flags = self.one << self.wide - 1
+
+    def spread(self, h: str, number: int) -> Column:
+        """The bits of h that number counts, each as a one in its lane."""
+        bits = [F.shiftleft(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long")), k * self.wide) for k, b in enumerate(range(number * self.each, min(64, (number + 1) * self.each)))]
+        return reduce(Column.bitwiseOR, bits)
+
+    def words(self, counts: list[Column], short: Column) -> list[Column]:
+        """The fingerprint, in one long for each `wide` numbers: a bit is set where its count and short (in each lane) come to a lane's highest bit."""
+        parts = [F.shiftrightunsigned((c + short).bitwiseAND(F.lit(self.flags)), self.wide - 1 - i % self.wide) for i, c in enumerate(counts)]
+        return [reduce(Column.bitwiseOR, parts[i : i + self.wide]) for i in range(0, len(parts), self.wide)]
+
+    def placed(self, fingerprint: str) -> list[Column]:
+        """The words of a fingerprint whose bits are in their own order."""
+        numbers = range(self.numbers)
+        parts = [F.shiftleft(self.spread(fingerprint, i), i % self.wide) for i in numbers]
+        return [reduce(Column.bitwiseOR, parts[i : i + self.wide]) for i in range(0, len(parts), self.wide)]
+
+
+def _kept(value: Column) -> Column:
+    """A whole number that is computed where it stands: the optimizer copies no column that isn't deterministic into those that use it."""
+    return value.bitwiseOR(F.shiftrightunsigned(F.monotonically_increasing_id(), 63).cast("long"))
+
+
+def _apart_by(words: list[Column], others: list[Column]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words, others, strict=True)])
+
+
 def native(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
-    """The same rows as matches, but for hamming, as words have other hashes, in DataFrame operations only: for small tables, as each window is a row of its own."""
-    items = _items(benchmark, item_col, item_text).withColumn("item_grams", once(F.col("item_grams"))).withColumn("item_print", once(simhash("item_grams")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), once(word_array(F.col(text_col).cast("string"))).alias("words")).where(F.size("words") >= SHINGLE)
-    rows = rows.select("doc_id", once(_all_hashed("words")).alias("all"))
-    sizes = items.agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    each = rows.crossJoin(F.broadcast(sizes)).select("doc_id", "all", F.explode("sizes").alias("n"))
-    windows = each.select("doc_id", "all", "n", F.explode(F.sequence(SHINGLE - F.col("n"), F.size("all") - 1)).alias("start"))
-    start = F.greatest(F.col("start"), F.lit(0))
-    end = F.least(F.col("start") + F.col("n") - (SHINGLE - 1), F.size("all"))
-    looked = windows.select("doc_id", "n", start.alias("start_word"), F.slice("all", start + 1, F.greatest(end - start, F.lit(0))).alias("grams"))
-    looked = looked.withColumn("grams", once(F.col("grams"))).withColumn("print", once(simhash("grams")))
-    left = looked.withColumn("b", F.explode(index_blocks("print", radius)))
-    right = items.withColumn("b", F.explode(index_blocks("item_print", radius)))
-    near = left.join(right.withColumnRenamed("n", "m"), (F.col("n") == F.col("m")) & (left["b"] == right["b"])).drop("b", "m")
-    near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= radius)
+    """The same rows as matches, but for hamming, as words have other hashes, in DataFrame operations only, by running sums; the documents are read once, whatever the number of items.
+
+    Shingles are rows, whose bits are added up over stretches of a text by window functions and become
+    arrays again, one row a stretch. A window's fingerprint is made of differences of two such sums,
+    in lanes of whole numbers, and compared with the items of its size, GROUP at a time; those within
+    radius are verified on their weighted shingles. All items are one table of prints by size, sent
+    to each executor. It takes far more time than matches (README).
+    """
+    items = _items(benchmark.where(F.col(item_text).isNotNull()), item_col, item_text).withColumn("m", F.size("item_grams"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    longest = items.agg(F.max("m")).first()[0]
+    if longest is None:
+        kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
+        return docs.sparkSession.createDataFrame([], f"{kinds}, start_word int, n_words int, hamming int, similarity double")
+    places = max(STRETCH, 4 * longest)
+    lanes = _Lanes(longest, places + longest)
+    numbers = range(lanes.numbers)
+    items = items.withColumn("item_grams", once(F.col("item_grams"))).withColumn("print", once(simhash("item_grams")))
+    words = range(-(-lanes.numbers // lanes.wide))
+    items = items.select("item_id", "n", "m", "item_grams", *[w.alias(f"own{i}") for i, w in enumerate(lanes.placed("print"))])
+    some = items.withColumn("g", F.floor((F.row_number().over(Window.partitionBy("m").orderBy("item_id")) - 1) / GROUP)).groupBy("m", "g").agg(F.collect_list(F.struct(*[f"own{i}" for i in words])).alias("prints"))
+    # A group with fewer items repeats its last one.
+    some = some.select("m", *[F.coalesce(F.element_at("prints", F.least(F.lit(j + 1), F.size("prints")))[f"own{i}"], F.lit(0).cast("long")).alias(f"item{j}_{i}") for j in range(GROUP) for i in words])
+
+    # Places count from longest - 1 before the text; a stretch's shingles are those of its places and of the windows that start there.
+    texts = rows.withColumn("uid", F.monotonically_increasing_id()).repartition("uid").select("doc_id", "uid", once(word_array(F.col("text"))).alias("words")).where(F.size("words") >= SHINGLE)
+    texts = texts.select("doc_id", "uid", once(_all_hashed("words")).alias("all")).withColumn("total", F.size("all"))
+    grams = texts.select("doc_id", "uid", "total", F.posexplode("all").alias("at", "h")).withColumn("at", F.col("at") + (longest - 1))
+    stretch = F.floor(F.col("at") / places).cast("int")
+    grams = grams.withColumn("stretch", F.explode(F.when((F.col("at") % places < longest) & (F.col("at") >= places), F.array(stretch - 1, stretch)).otherwise(F.array(stretch))))
+    known = items.select(F.explode("item_grams").alias("h")).distinct().withColumn("found", F.lit(1).cast("long"))
+    grams = grams.join(F.broadcast(known), "h", "left").withColumns({"found": F.coalesce("found", F.lit(0).cast("long")), **{f"x{i}": lanes.spread("h", i) for i in numbers}})
+    upto = Window.partitionBy("uid", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = grams.select("doc_id", "uid", "total", "stretch", "at", "h", *[F.coalesce(F.sum(c).over(upto), F.lit(0).cast("long")).alias(c) for c in ("found", *[f"x{i}" for i in numbers])])
+    one = sums.groupBy("uid", "stretch").agg(F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("at", "h", "found", *[f"x{i}" for i in numbers]))).alias("s"))
+    since = lambda c: F.concat(F.array(F.lit(0).cast("long")), F.col(f"s.{c}"))
+    one = one.select("doc_id", "stretch", F.coalesce(F.col("s")[0]["at"], F.lit(0)).alias("first"), F.size("s").alias("held"), F.least(F.lit(places), F.col("total") + (longest - 1) - F.col("stretch") * places).alias("starts"), F.col("s.h").alias("h"), since("found").alias("found"), *[since(f"x{i}").alias(f"x{i}") for i in numbers])
+    one = one.select("*", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("start")).withColumn("start", F.coalesce(F.col("start") + F.col("stretch") * places, F.lit(0)))
+    inside = lambda place: F.least(F.greatest(place, F.lit(0)), F.col("held"))
+    one = one.withColumn("since", _kept((F.col("start") - F.col("first")).cast("long")).cast("int")).withColumn("from", _kept(inside(F.col("since")).cast("long")).cast("int"))
+    # No place is beyond the sums.
+    upto_place = lambda c, place: F.col(c)[F.col(place)]
+    one = one.select("doc_id", "start", "since", "held", "from", "h", "found", *[f"x{i}" for i in numbers], *[upto_place(f"x{i}", "from").alias(f"b{i}") for i in numbers])
+    one = one.crossJoin(F.broadcast(some)).withColumn("to", _kept(inside(F.col("since") + F.col("m")).cast("long")).cast("int"))
+    short = (F.lit(lanes.half).cast("long") - F.shiftright(F.col("to") - F.col("from"), 1)) * F.lit(lanes.one).cast("long")
+    one = one.withColumn("short", _kept(short))
+    for i, w in enumerate(lanes.words([upto_place(f"x{i}", "to") - F.col(f"b{i}") for i in numbers], F.col("short"))):
+        one = one.withColumn(f"w{i}", _kept(w))
+    print_ = [F.col(f"w{i}") for i in words]
+    near = reduce(Column.__or__, [_apart_by(print_, [F.col(f"item{j}_{i}") for i in words]) <= radius for j in range(GROUP)])
+    # What is common is at most what is any item's.
+    most = upto_place("found", "to") - upto_place("found", "from")
+    near = one.where(near & (most * (1 + similar) >= similar * (F.col("to") - F.col("from") + F.col("m")) - 1e-9))
+    near = near.select("doc_id", "m", F.greatest(F.col("start") - (longest - 1), F.lit(0)).alias("start_word"), F.slice("h", F.col("from") + 1, F.col("to") - F.col("from")).alias("grams"), *print_).distinct()
+    near = near.join(F.broadcast(items), "m").withColumn("hamming", _apart_by(print_, [F.col(f"own{i}") for i in words])).where(F.col("hamming") <= radius)
     near = near.withColumn("similarity", weighted_jaccard("grams", "item_grams")).where(F.col("similarity") >= similar)
     return _best(near.select("doc_id", "item_id", F.struct(-F.col("similarity"), "start_word", F.col("n").alias("n_words"), "hamming").alias("b")))
 
