@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,26 @@ def test_native_windows_across_stretches(spark, monkeypatch):
     assert not decontaminate.native(docs, bench.limit(0)).collect() and not decontaminate.native(docs.limit(0), bench).collect()
 
 
+def test_weighted_jaccard_by_hand(spark):
+    r = random.Random(49)
+    rows = [([r.randrange(9) for _ in range(r.randrange(12))], r.sample(range(12), r.randrange(1, 12)) if r.random() < 0.5 else [r.randrange(9) for _ in range(r.randrange(12))]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontaminate.weighted_jaccard("a", "b").alias("s")).collect()
+    for x in got:
+        common = sum((Counter(x["a"]) & Counter(x["b"])).values())
+        assert abs(x["s"] - common / max(len(x["a"]) + len(x["b"]) - common, 1)) < 1e-12
+
+
+def test_lanes_hold_each_bit_once():
+    for longest in (1, 3, 11, 55, 75, 140, 1000, 5000):
+        lanes = decontaminate._Lanes(longest, max(decontaminate.STRETCH, 4 * longest) + longest)
+        assert sorted(b for bits in lanes.bits for b in bits) == list(range(64))
+
+
+def test_op5_stays_in_the_jvm(spark):
+    plan = decontaminate.op5_decontaminate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" in plan and not any(node in plan for node in ("InArrow", "InPandas", "EvalPython"))
+
+
 def test_windows_in_steps_and_item_blocks(spark, monkeypatch):
     r = random.Random(47)
     known = [f"w{i}" for i in range(90)]

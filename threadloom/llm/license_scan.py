@@ -39,15 +39,23 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def word_array(text: Column) -> Column:
-    """Words of a text: runs of digits, letters and all characters beyond ASCII, A-Z lower-cased and nothing else; a null text has none."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _BETWEEN)
-    # Separators at either end leave an empty string there.
+def word_parts(text: Column) -> Column:
+    """What stands between the separators of a text, A-Z lower-cased: its words, and an empty string where a separator is at an end."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), _BETWEEN)
+
+
+def inner_words(parts: Column | str) -> Column:
+    """The parts without empty ones at either end."""
     first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
     last = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
     return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
+def word_array(text: Column) -> Column:
+    """Words of a text: runs of digits, letters and all characters beyond ASCII, A-Z lower-cased and nothing else; a null text has none."""
+    return inner_words(word_parts(text))
+
+
 def _templates(spark: SparkSession, base: dict[str, str], templates: dict[str, str]) -> DataFrame:
     rows = [(i, label, kind, len(text.split()) - 1, j, *text.split()[j : j + 2]) for i, (label, text, kind) in enumerate([*((v, k, "base") for k, v in base.items()), *((k, v, "own") for k, v in templates.items())]) for j in range(len(text.split()) - 1)]
     df = spark.createDataFrame(rows, "template int, label string, kind string, grams int, at int, w1 string, w2 string")
