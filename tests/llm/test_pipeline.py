@@ -36,3 +36,9 @@ def test_leaks_by_row(spark, tmp_path):
     got = corpus_pipeline.drop_benchmark_leaks(spark, table(spark, rows), str(tmp_path))
     assert ids_and_texts(got) == sorted([(None, b), (4, d), (6, a)], key=str)
     assert got.where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_decontamination_stays_in_the_jvm(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = corpus_pipeline.drop_benchmark_leaks(spark, docs, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" in plan and not any(node in plan for node in ("InArrow", "InPandas", "EvalPython"))
